@@ -76,6 +76,7 @@ def building_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
     return table(spark, sf_dir, "supplier").select(
+        k.alias("building_no"),
         F.col("s_name").alias("id"),
         choose(F.col("s_nationkey"), ["cold", "hot", "mixed"]).alias("climate_zone"),
         (1000 * (k % 3 + 1)).cast("long").alias("floor_area_sqft"),
