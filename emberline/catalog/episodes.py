@@ -52,17 +52,19 @@ def recent_slope(spark, sf):
     return s.select("event_id", "indoor_slope_3", "indoor_slope_6", "outdoor_slope_3", "outdoor_slope_6")
 
 
-@query("SELECT event_id, off_min FROM {offs} WHERE is_off", "off_min")
+@query("SELECT event_id, off_min * 60 AS off_sec FROM {offs} WHERE is_off", "off_sec")
 def time_since_off(spark, sf):
-    return drift.time_since_off(telemetry(spark, sf), max_gap=MAX_GAP_MIN).where("off").select("event_id", "off_min")
+    t = drift.time_since_off(telemetry(spark, sf), max_gap=MAX_GAP_MIN).where("off")
+    return t.select("event_id", (F.col("off_min") * 60).alias("off_sec"))
 
 
 @query(
-    "SELECT * FROM {drift}",
+    "SELECT * REPLACE (time_since_hvac_off_min * 60 AS time_since_hvac_off_min) FROM {drift}",
     "recent_indoor_slope_15m recent_indoor_slope_30m recent_outdoor_slope_15m recent_outdoor_slope_30m time_since_hvac_off_min",
 )
 def drift_episodes(spark, sf):
-    return drift_table(spark, sf)
+    # Off time is shown in seconds: whole microseconds, so rounding cannot tie.
+    return drift_table(spark, sf).withColumn("time_since_hvac_off_min", F.col("time_since_hvac_off_min") * 60)
 
 
 @query("SELECT home_id, month, timestamp, event_id, episode_id, change_type, target_setpoint, start_temp, initial_gap, timestep_idx, n_steps, indoor, outdoor, heat_sp, cool_sp, humidity, heat_run, cool_run FROM {resp}")

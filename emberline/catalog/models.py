@@ -17,7 +17,7 @@ from emberline.plans.staging import stage
 from emberline.sources.adapters import thermostat_states
 
 # Small forests keep the check quick; the operators default to the full training parameters.
-QUICK = {"maxIter": 6, "maxDepth": 4}
+QUICK = {"maxIter": 4, "maxDepth": 3}
 QUICK_HOME = {"maxIter": 10}
 
 

@@ -15,7 +15,7 @@ from emberline.sources import sinks
 from emberline.sources import telemetry as src
 from emberline.sources.adapters import MAX_GAP_MIN, building_dim, home_dim, hourly_load, measurement_grid, raw_telemetry, table, telemetry
 
-QUICK_TREES = {"maxIter": 5, "maxDepth": 4}
+QUICK_TREES = {"maxIter": 4, "maxDepth": 3}
 
 
 def drift_table(spark, sf):
@@ -64,12 +64,13 @@ def scan_episode_starts(spark, sf):
     return src.scan_episode_starts(spark, path, e.schema, 10, 480, cols)
 
 
-@query("SELECT * FROM {drift}", "start_temp recent_indoor_slope_15m recent_indoor_slope_30m recent_outdoor_slope_15m recent_outdoor_slope_30m time_since_hvac_off_min")
+@query("SELECT * EXCLUDE (time_since_hvac_off_min) FROM {drift}", "start_temp recent_indoor_slope_15m recent_indoor_slope_30m recent_outdoor_slope_15m recent_outdoor_slope_30m")
 def scan_episodes(spark, sf):
     path = stage_path(spark, "drift")
     e = drift_table(spark, sf)
     sinks.write_episodes(e, path)
-    return src.scan_episodes(spark, path, e.schema, ["episode_id", "timestep_idx", "time_to_boundary_min"])
+    back = src.scan_episodes(spark, path, e.schema, ["episode_id", "timestep_idx", "time_to_boundary_min"])
+    return back.drop("time_since_hvac_off_min")
 
 
 @query("SELECT * FROM {tel}")

@@ -147,8 +147,8 @@ def tail_breakdown(preds: DataFrame, q: float = 0.95) -> DataFrame:
     strata = F.inline(
         F.array(
             F.struct(F.lit("duration").alias("dim"), report_duration_bucket("actual").alias("stratum")),
-            F.struct(F.lit("change_type"), F.col("change_type")),
-            F.struct(F.lit("system_running"), F.when(F.col("system_running") == 1, "running").otherwise("not running")),
+            F.struct(F.lit("change_type").alias("dim"), F.col("change_type").alias("stratum")),
+            F.struct(F.lit("system_running").alias("dim"), F.when(F.col("system_running") == 1, "running").otherwise("not running").alias("stratum")),
         )
     )
     flagged = preds.crossJoin(F.broadcast(cut)).withColumn("_tail", (ABS > F.col("cut")).cast("long"))

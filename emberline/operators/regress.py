@@ -117,7 +117,7 @@ def ridge_plus_offsets(
     return scored.withColumn("pred", clip(pred, lo, hi) if lo is not None else pred).drop("_log", "_off")
 
 
-def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 15) -> tuple[np.ndarray, DataFrame]:
+def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 15, tol: float = 1e-4) -> tuple[np.ndarray, DataFrame]:
     """Linear model with a normal random intercept per group, fitted by expectation-maximisation.
 
     Rows are reduced once to per-group sums. Each iteration is one aggregate over the group table; only
@@ -156,7 +156,10 @@ def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterat
             ux = np.array(tot.ux)
             beta = np.linalg.lstsq(sx, sxy - ux, rcond=1e-10)[0]
             sse = syy - 2 * beta @ sxy + beta @ sx @ beta - 2 * tot.uy + 2 * beta @ ux + tot.nuu
+            last = sigma2, tau2
             sigma2, tau2 = max(sse / n, 1e-9), max(tot.uu / groups, 1e-9)
+            if abs(sigma2 - last[0]) <= tol * sigma2 and abs(tau2 - last[1]) <= tol * sigma2:
+                break
         resid = F.col("sy") - sum((F.col("o")[i] * float(beta[i]) for i in range(p)), F.lit(0.0))
         w = F.lit(float(tau2)) / (F.lit(float(sigma2)) + F.col("n") * F.lit(float(tau2)))
         offsets = stats.select(group, "n", ones.alias("o"), F.col("s")[p - 1].alias("sy")).select(group, "n", (w * resid).alias("offset"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.plans.staging import stage
 from emberline.session import hot_rows
 
 CHUNK = "_chunk"
@@ -70,7 +71,9 @@ class Series:
         return Window.partitionBy(*([F.col(k) for k in self.keys] or [F.lit(0)])).orderBy(CHUNK)
 
     def _attach(self, summary: DataFrame) -> None:
-        self.df = self.df.join(summary, self._cells, "left")
+        # The summary (one row per key and chunk) is written out first. Joining it lazily would put a second
+        # copy of the whole lineage in the plan, and so double the plan with every operation.
+        self.df = self.df.join(stage(summary, "chunk-summary"), self._cells, "left")
 
     def select(self, *cols) -> "Series":
         keep = [*cols, CHUNK] if self.chunked else list(cols)
