@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalar import drift_direction, episode_id, equipment_running
@@ -201,30 +201,31 @@ def drift_segments(
     return joined.where(F.col("rn") >= F.col("seg_rn")).withColumn("timestep_idx", (F.col("rn") - F.col("seg_rn")).cast("long"))
 
 
-def first_passage(segments: DataFrame, step_min: int = STEP_MIN) -> DataFrame:
-    """One row per candidate segment: length, boundary, first crossing index (NULL if never) and label."""
+BOUNDARY = ["drift_direction", "target_boundary", "boundary_temp", "signed_boundary_gap", "distance_to_boundary"]
+
+
+def with_boundary(segments: DataFrame) -> DataFrame:
+    """Adds the boundary the start row drifts to, whether it can be drifted to, and which rows are past it."""
     d = drift_direction("start_temp", "start_outdoor", "start_heat", "start_cool")
-    rows = segments.withColumn("d", d).select("*", "d.*").drop("d")
-    crossed = F.when(F.col("drift_direction") == "cooling_drift", F.col("indoor") >= F.col("boundary_temp")).otherwise(
-        F.col("indoor") <= F.col("boundary_temp")
-    )
-    attrs = [*START, "drift_direction", "target_boundary", "boundary_temp", "signed_boundary_gap", "distance_to_boundary"]
-    seg = rows.groupBy("home_id", "month", "seg_rn").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min(F.when(crossed, F.col("timestep_idx"))).alias("crossing_timestep_idx"),
-        *[F.first(a, ignorenulls=True).alias(a) for a in attrs],
-    )
-    valid = (F.col("boundary_temp") != 0) & (F.col("distance_to_boundary") > 0)
-    return seg.withColumns(
+    rows = segments.withColumn("_d", d).select("*", "_d.*").drop("_d")
+    cooling = F.col("drift_direction") == "cooling_drift"
+    past = F.when(cooling, F.col("indoor") >= F.col("boundary_temp")).otherwise(F.col("indoor") <= F.col("boundary_temp"))
+    return rows.withColumns(
         {
-            "eligible": valid,
-            "time_to_boundary_min": F.when(valid, F.col("crossing_timestep_idx") * step_min),
+            "eligible": (F.col("boundary_temp") != 0) & (F.col("distance_to_boundary") > 0),
+            "_cross_at": F.when(past, F.col("timestep_idx")),
         }
     )
 
 
-def kept_segments(passages: DataFrame, min_minutes: float = MIN_TIME_TO_BOUNDARY_MIN) -> DataFrame:
-    return passages.where(F.col("eligible") & (F.col("time_to_boundary_min") >= min_minutes))
+def first_passage(segments: DataFrame, step_min: int = STEP_MIN) -> DataFrame:
+    """One row per candidate segment: length, boundary, first crossing index (NULL if never) and label."""
+    seg = with_boundary(segments).groupBy("home_id", "month", "seg_rn").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("_cross_at").alias("crossing_timestep_idx"),
+        *[F.first(a, ignorenulls=True).alias(a) for a in [*START, *BOUNDARY, "eligible"]],
+    )
+    return seg.withColumn("time_to_boundary_min", F.when(F.col("eligible"), F.col("crossing_timestep_idx") * step_min))
 
 
 def extraction_funnel(passages: DataFrame, min_minutes: float = MIN_TIME_TO_BOUNDARY_MIN) -> DataFrame:
@@ -248,21 +249,15 @@ def drift_episodes(
     max_change: float = MAX_SETPOINT_CHANGE_F,
 ) -> DataFrame:
     """Step table of kept segments, start row to crossing row, in the episode schema."""
-    segs = drift_segments(t, min_delta, max_change, max_gap)
-    kept = kept_segments(first_passage(segs, step_min), min_minutes)
-    head = kept.select(
-        "home_id",
-        "month",
-        "seg_rn",
-        "crossing_timestep_idx",
-        "time_to_boundary_min",
-        "drift_direction",
-        "target_boundary",
-        "boundary_temp",
-        "signed_boundary_gap",
-        "distance_to_boundary",
+    segs = with_boundary(drift_segments(t, min_delta, max_change, max_gap)).where("eligible")
+    # A window keeps the rows beside their segment's crossing: joining an aggregate back would run the
+    # segmentation twice. The window spills, and its key is one segment, not one home.
+    seg = Window.partitionBy("home_id", "month", "seg_rn")
+    crossed = segs.withColumn("crossing_timestep_idx", F.min("_cross_at").over(seg))
+    label = F.col("crossing_timestep_idx") * step_min
+    steps = crossed.withColumn("time_to_boundary_min", label).where(
+        (label >= min_minutes) & (F.col("timestep_idx") <= F.col("crossing_timestep_idx"))
     )
-    steps = segs.join(head, ["home_id", "month", "seg_rn"]).where(F.col("timestep_idx") <= F.col("crossing_timestep_idx"))
     return steps.select(
         "home_id",
         episode_id("home_id", F.lit("drift"), "start_ts").alias("episode_id"),

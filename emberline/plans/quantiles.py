@@ -45,6 +45,8 @@ def bracketed_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict
         F.percentile_approx("_v", low, SKETCH).alias("_lo"),
         F.percentile_approx("_v", high, SKETCH).alias("_hi"),
     )
+    # In a small group one rank is wider than the slack, so all of its values are candidates.
+    whole = F.col("_n") <= 2 * SKETCH
     brackets = sketch.select(
         *by,
         F.array(
@@ -52,8 +54,8 @@ def bracketed_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict
                 F.struct(
                     F.lit(n).alias("q"),
                     (F.lit(p) * (F.col("_n") - 1)).alias("t"),
-                    (F.lit(float("-inf")) if p == 0 else F.col("_lo")[i]).alias("lo"),
-                    (F.lit(float("inf")) if p == 1 else F.col("_hi")[i]).alias("hi"),
+                    F.when(whole | F.lit(p == 0), F.lit(float("-inf"))).otherwise(F.col("_lo")[i]).alias("lo"),
+                    F.when(whole | F.lit(p == 1), F.lit(float("inf"))).otherwise(F.col("_hi")[i]).alias("hi"),
                 )
                 for i, (n, p) in enumerate(probs.items())
             ]

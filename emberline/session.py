@@ -18,6 +18,8 @@ def build_session(app: str = "emberline", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs a round trip to the JVM for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
