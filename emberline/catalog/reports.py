@@ -162,8 +162,8 @@ def worst_predictions(spark, sf):
     from emberline.operators.profile import top_k
 
     p = predictions(spark, sf)
-    top = top_k(p, [F.round(metrics.ABS, 9).desc(), F.col("episode_id")], 20)
-    return top.select("episode_id", "actual", "pred", metrics.ERR.alias("error"), "abs_gap", "change_type", "system_running", "state", "outdoor_temp")
+    top = top_k(p, [F.round(metrics.abs_err(), 9).desc(), F.col("episode_id")], 20)
+    return top.select("episode_id", "actual", "pred", metrics.err().alias("error"), "abs_gap", "change_type", "system_running", "state", "outdoor_temp")
 
 
 CTES["hstats"] = """

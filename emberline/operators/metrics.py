@@ -9,24 +9,29 @@ from pyspark.sql import functions as F
 from emberline.functions.scalar import bucketize
 from emberline.plans.quantiles import agg_with_quantiles
 
-ERR = F.col("pred") - F.col("actual")
-ABS = F.abs(ERR)
+
+def err() -> Column:
+    return F.col("pred") - F.col("actual")
+
+
+def abs_err() -> Column:
+    return F.abs(err())
 
 
 def error_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
     """MAE, RMSE, bias, maximum, median, P90, P95, R2 and percentage error (targets above 1) per key."""
     y = F.col("actual")
-    sse = F.sum(ERR * ERR)
+    sse = F.sum(err() * err())
     aggs = [
         F.count(F.lit(1)).alias("n"),
-        F.avg(ABS).alias("mae"),
-        F.sqrt(F.avg(ERR * ERR)).alias("rmse"),
-        F.max(ABS).alias("max_error"),
-        F.avg(ERR).alias("bias"),
+        F.avg(abs_err()).alias("mae"),
+        F.sqrt(F.avg(err() * err())).alias("rmse"),
+        F.max(abs_err()).alias("max_error"),
+        F.avg(err()).alias("bias"),
         F.when(F.var_pop(y) > 1e-12, 1 - sse / (F.var_pop(y) * F.count(F.lit(1)))).otherwise(0.0).alias("r2"),
-        F.coalesce(F.avg(F.when(y > 1, ABS / y)) * 100, F.lit(0.0)).alias("mape"),
+        F.coalesce(F.avg(F.when(y > 1, abs_err() / y)) * 100, F.lit(0.0)).alias("mape"),
     ]
-    return agg_with_quantiles(preds, keys, aggs, ABS, {"median_ae": 0.5, "p90": 0.9, "p95": 0.95})
+    return agg_with_quantiles(preds, keys, aggs, abs_err(), {"median_ae": 0.5, "p90": 0.9, "p95": 0.95})
 
 
 def stratified_metrics(preds: DataFrame, strata: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -42,10 +47,10 @@ def stratified_metrics(preds: DataFrame, strata: dict[str, Column], keys: list[s
         .groupBy(*keys, "dim", "stratum")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(ABS).alias("mae"),
-            F.sqrt(F.avg(ERR * ERR)).alias("rmse"),
-            F.avg(ERR).alias("bias"),
-            F.coalesce(F.avg(F.when(F.col("actual") > 1, ABS / F.col("actual"))) * 100, F.lit(0.0)).alias("mape"),
+            F.avg(abs_err()).alias("mae"),
+            F.sqrt(F.avg(err() * err())).alias("rmse"),
+            F.avg(err()).alias("bias"),
+            F.coalesce(F.avg(F.when(F.col("actual") > 1, abs_err() / F.col("actual"))) * 100, F.lit(0.0)).alias("mape"),
         )
     )
 
@@ -110,10 +115,10 @@ def error_strata() -> dict[str, Column]:
 
 def per_home_errors(preds: DataFrame) -> DataFrame:
     return preds.groupBy("home_id").agg(
-        F.avg(ABS).alias("mae"),
-        F.stddev_samp(ABS).alias("std"),
+        F.avg(abs_err()).alias("mae"),
+        F.stddev_samp(abs_err()).alias("std"),
         F.count(F.lit(1)).alias("n_episodes"),
-        F.avg(ERR).alias("bias"),
+        F.avg(err()).alias("bias"),
         F.avg("actual").alias("avg_duration"),
     )
 
@@ -122,28 +127,28 @@ def calibration(preds: DataFrame) -> DataFrame:
     b = preds.withColumn("bucket", predicted_bucket("pred")).where(F.col("bucket").isNotNull())
     return b.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(ABS).alias("mae"),
-        F.avg(ERR).alias("bias"),
+        F.avg(abs_err()).alias("mae"),
+        F.avg(err()).alias("bias"),
         F.avg("actual").alias("mean_actual"),
         F.avg("pred").alias("mean_pred"),
     )
 
 
 def under_over(preds: DataFrame) -> DataFrame:
-    under, over = ERR < 0, ERR > 0
+    under, over = err() < 0, err() > 0
     return preds.agg(
         F.count(F.when(under, 1)).alias("n_under"),
         (F.avg(under.cast("double")) * 100).alias("under_pct"),
-        F.avg(F.when(under, ERR)).alias("under_mean_error"),
+        F.avg(F.when(under, err())).alias("under_mean_error"),
         F.count(F.when(over, 1)).alias("n_over"),
         (F.avg(over.cast("double")) * 100).alias("over_pct"),
-        F.avg(F.when(over, ERR)).alias("over_mean_error"),
+        F.avg(F.when(over, err())).alias("over_mean_error"),
     )
 
 
 def tail_breakdown(preds: DataFrame, q: float = 0.95) -> DataFrame:
     """Share of each stratum among errors above the q-quantile, next to its share of all rows."""
-    cut = agg_with_quantiles(preds, [], [], ABS, {"cut": q})
+    cut = agg_with_quantiles(preds, [], [], abs_err(), {"cut": q})
     strata = F.inline(
         F.array(
             F.struct(F.lit("duration").alias("dim"), report_duration_bucket("actual").alias("stratum")),
@@ -151,7 +156,7 @@ def tail_breakdown(preds: DataFrame, q: float = 0.95) -> DataFrame:
             F.struct(F.lit("system_running").alias("dim"), F.when(F.col("system_running") == 1, "running").otherwise("not running").alias("stratum")),
         )
     )
-    flagged = preds.crossJoin(F.broadcast(cut)).withColumn("_tail", (ABS > F.col("cut")).cast("long"))
+    flagged = preds.crossJoin(F.broadcast(cut)).withColumn("_tail", (abs_err() > F.col("cut")).cast("long"))
     g = flagged.select("_tail", strata).where(F.col("stratum").isNotNull()).groupBy("dim", "stratum").agg(
         F.sum("_tail").alias("n_tail"), F.count(F.lit(1)).alias("n_all")
     )
@@ -170,7 +175,7 @@ def error_contribution(preds: DataFrame, long_over: float = 120, short_under: fl
     """Long and short episodes: count, MAE, bias and share of the total absolute error."""
     kind = F.when(F.col("actual") > long_over, "long").when(F.col("actual") < short_under, "short").otherwise("other")
     g = preds.groupBy(kind.alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(ABS).alias("mae"), F.avg(ERR).alias("bias"), F.sum(ABS).alias("_a")
+        F.count(F.lit(1)).alias("n"), F.avg(abs_err()).alias("mae"), F.avg(err()).alias("bias"), F.sum(abs_err()).alias("_a")
     )
     w = Window.partitionBy(F.lit(0))
     return g.select(
