@@ -21,10 +21,11 @@ def active_split(spark, sf):
 def predictions(spark, sf):
     s = active_split(spark, sf)
     p = rates.predict_log_log(s.where("is_train"), s.where("not is_train"), "change_type", "log_gap", (3.5, 1.0))
-    return p.join(home_dim(spark, sf), "home_id", "left").select(
+    out = p.join(home_dim(spark, sf), "home_id", "left").select(
         F.lit("log_log").alias("model"), "episode_id", "event_id", "home_id", F.col("duration_min").cast("double").alias("actual"), "pred", "change_type",
         "initial_gap", "abs_gap", "system_running", "state", "month", "hour", "outdoor_temp",
     )
+    return stage(out, "predictions")  # reports read it several times
 
 
 def horizon_split(spark, sf):
@@ -44,7 +45,7 @@ def horizon_predictions(spark, sf):
     for name, p in models.items():
         one = p.select(F.lit(name).alias("model"), "home_id", "event_id", F.col("target").alias("actual"), "pred", "mode")
         out = one if out is None else out.unionByName(one)
-    return out
+    return stage(out, "horizon-predictions")
 
 
 _ERR = """count(*) AS n, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse, max(abs(pred - actual)) AS max_error, avg(pred - actual) AS bias,
@@ -172,14 +173,14 @@ CTES["hard"] = """
 SELECT * FROM (SELECT *, 'hard' AS label FROM {hstats} ORDER BY mae DESC, home_id LIMIT 10) UNION ALL SELECT * FROM (SELECT *, 'easy' AS label FROM {hstats} ORDER BY mae, home_id LIMIT 10)"""
 
 
-def home_labels(spark, sf):
-    h = metrics.per_home_errors(predictions(spark, sf)).withColumn("mae", F.round("mae", 9))
+def home_labels(p):
+    h = metrics.per_home_errors(p).withColumn("mae", F.round("mae", 9))
     return metrics.hardest_easiest(h, 10, 2)
 
 
 @query("SELECT * FROM {hard}", "mae std bias avg_duration")
 def hardest_easiest_homes(spark, sf):
-    return home_labels(spark, sf)
+    return home_labels(predictions(spark, sf))
 
 
 @query(
@@ -187,7 +188,8 @@ def hardest_easiest_homes(spark, sf):
     "abs_gap actual outdoor_temp system_running",
 )
 def hard_vs_easy_profile(spark, sf):
-    return metrics.group_profile(predictions(spark, sf), home_labels(spark, sf), ["abs_gap", "actual", "outdoor_temp", "system_running"])
+    p = predictions(spark, sf)
+    return metrics.group_profile(p, home_labels(p), ["abs_gap", "actual", "outdoor_temp", "system_running"])
 
 
 @query(

@@ -29,6 +29,8 @@ PER_HOME_FALLBACK = {"maxDepth": 4, "maxIter": 100, "stepSize": 0.1, "minInstanc
 ACTIVE_TYPE = "hybrid_gbm_active_time_to_target"
 DRIFT_TYPE = "gbm_drift_time_to_boundary"
 
+PER_HOME_ROWS = 200_000  # rows of one home that may meet in one task
+
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     filled = df.withColumns({f"_f_{f}": fill_default(F.col(f).cast("double"), 0) for f in features})
@@ -125,7 +127,7 @@ def gbm_per_home(train: DataFrame, test: DataFrame, features: list[str], lo: flo
     """
     p = {**PER_HOME, **(params or {})}
     spark = train.sparkSession
-    limit = hot_rows(spark)
+    limit = min(hot_rows(spark), PER_HOME_ROWS)
     both = train.select("home_id", "event_id", "log_duration", *features, F.lit(True).alias("_fit")).unionByName(
         test.select("home_id", "event_id", "log_duration", *features, F.lit(False).alias("_fit"))
     )

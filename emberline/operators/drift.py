@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -286,25 +285,3 @@ def drift_episodes(
         "cool_sp",
         "humidity",
     )
-
-
-def brute_force_segments(rows: pd.DataFrame, min_delta: float, max_change: float, max_gap: float) -> list[tuple[int, int]]:
-    """Sequential statement of the rule for one home-month, used by the tests: (start, end) row ranges."""
-    indoor, outdoor = rows["indoor"].to_numpy(), rows["outdoor"].to_numpy()
-    heat, cool = np.nan_to_num(rows["heat_sp"].to_numpy()), np.nan_to_num(rows["cool_sp"].to_numpy())
-    on = rows["running"].to_numpy()
-    when = rows["minute"].to_numpy()
-    ok = ~np.isnan(indoor) & ~np.isnan(outdoor) & ~on
-    found, i = [], 0
-    while i < len(rows):
-        if not ok[i] or abs(indoor[i] - outdoor[i]) < min_delta:
-            i += 1
-            continue
-        j = i + 1
-        while j < len(rows) and ok[j] and when[j] - when[j - 1] <= max_gap:
-            if max(abs(heat[j] - heat[i]), abs(cool[j] - cool[i])) > max_change:
-                break
-            j += 1
-        found.append((i, j))
-        i = j
-    return found

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,31 +121,3 @@ def episode_duration(episodes: DataFrame, step_min: int = 5) -> DataFrame:
     return episodes.groupBy("home_id", "episode_id", "change_type").agg(
         (F.count(F.lit(1)) * step_min).alias("duration_min"), F.min_by("initial_gap", "timestep_idx").alias("initial_gap")
     )
-
-
-def brute_force_responses(rows: pd.DataFrame, min_change: float, tol: float) -> list[tuple[int, int, str]]:
-    """Sequential statement of the rule for one home-month, used by the tests: (start, end, kind)."""
-    t, h, c = (rows[k].to_numpy(dtype="float64") for k in ("indoor", "heat_sp", "cool_sp"))
-    zero = (t == 0) | (h == 0) | (c == 0)
-    found, i = [], 1
-    with np.errstate(invalid="ignore"):
-        while i < len(rows):
-            kind = None
-            if not zero[i] and not zero[i - 1]:
-                if h[i] - h[i - 1] > min_change and t[i] < h[i]:
-                    kind, line, goal = "heat_increase", h, h[i]
-                elif c[i] - c[i - 1] < -min_change and t[i] > c[i]:
-                    kind, line, goal = "cool_decrease", c, c[i]
-            if kind is None:
-                i += 1
-                continue
-            j, hit = i, False
-            while j < len(rows) and not zero[j] and not (j > i and abs(line[j] - goal) > tol):
-                hit = t[j] >= goal if kind == "heat_increase" else t[j] <= goal
-                if hit:
-                    break
-                j += 1
-            if hit:
-                found.append((i, j, kind))
-            i = j + 1
-    return found

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting up to the limit; a longer table is left to a shuffle join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def lookup_with_fallback(
     df: DataFrame, levels: list[tuple[DataFrame, list[str]]], value: str, default: Column, out: str
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.plans.staging import stage
 from emberline.session import quantile_rows
 
 SKETCH = 10000
@@ -36,7 +37,8 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, floa
 
 
 def bracketed_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
-    vals = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # Only the keys and the value are kept, and they are written once: three passes follow.
+    vals = stage(df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()), "quantile-values")
     slack = 3.0 / SKETCH
     low = F.array(*[F.lit(max(p - slack, 0.0)) for p in probs.values()])
     high = F.array(*[F.lit(min(p + slack, 1.0)) for p in probs.values()])

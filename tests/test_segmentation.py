@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import sequential
 from emberline.operators import drift, responses
 from emberline.schema import TELEMETRY
 
@@ -57,7 +58,7 @@ def check_drift(spark, seeds):
         p = pd.DataFrame(random_rows(s), columns=["minute", "indoor", "outdoor", "heat_sp", "cool_sp", "run"])
         p["running"] = p["run"] > 0
         p.loc[p.indoor == 0, "indoor"] = np.nan
-        want += [(s, a, b) for a, b in drift.brute_force_segments(p, 3.0, 1.0, 10.0)]
+        want += [(s, a, b) for a, b in sequential.brute_force_segments(p, 3.0, 1.0, 10.0)]
     assert got == sorted(want) and len(want) > 20
 
 
@@ -68,7 +69,7 @@ def check_responses(spark, seeds):
     want = []
     for s in seeds:
         p = pd.DataFrame(random_rows(s), columns=["minute", "indoor", "outdoor", "heat_sp", "cool_sp", "run"])
-        want += [(s, a, z, k) for a, z, k in responses.brute_force_responses(p, 1.0, 0.5)]
+        want += [(s, a, z, k) for a, z, k in sequential.brute_force_responses(p, 1.0, 0.5)]
     assert got == sorted(want) and len(want) > 10
 
 
