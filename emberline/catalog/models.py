@@ -22,7 +22,8 @@ QUICK_HOME = {"maxIter": 10}
 
 
 def split_of(e: DataFrame, name: str, min_units: int) -> DataFrame:
-    return stage(samples.within_group_split(e, ["home_id"], "episode_id", min_units=min_units), name)
+    """Samples are written before the split reads them twice, and the split before fit and score read it."""
+    return stage(samples.within_group_split(stage(e, name), ["home_id"], "episode_id", min_units=min_units), name)
 
 
 def window_split(spark, sf):

@@ -14,7 +14,7 @@ from emberline.sources.adapters import home_dim
 
 def active_split(spark, sf):
     """Written once: the fit and the scoring both read it."""
-    a = samples.active_episode_samples(responses(spark, sf))
+    a = stage(samples.active_episode_samples(responses(spark, sf)), "active-samples")
     return stage(samples.within_group_split(a, ["home_id"], "episode_id"), "active-split")
 
 

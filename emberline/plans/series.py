@@ -66,9 +66,10 @@ class Series:
     def _reverse(self):
         return Window.partitionBy(*self._partition()).orderBy(*[F.col(c).desc() for c in self.order])
 
-    def _chunk_window(self):
+    def _chunk_window(self, reverse: bool = False):
         # One row per chunk: a key's chunk list is bounded by its rows / limit.
-        return Window.partitionBy(*([F.col(k) for k in self.keys] or [F.lit(0)])).orderBy(CHUNK)
+        place = F.col(CHUNK).desc() if reverse else F.col(CHUNK)
+        return Window.partitionBy(*([F.col(k) for k in self.keys] or [F.lit(0)])).orderBy(place)
 
     def _attach(self, summary: DataFrame) -> None:
         # The summary (one row per key and chunk) is written out first. Joining it lazily would put a second
@@ -177,24 +178,24 @@ class Series:
         return self._fill(columns, False)
 
     def _fill(self, columns: dict[str, Column], back: bool) -> "Series":
-        w = self.window()
-        pick = F.last if back else F.first
-        run = w.rowsBetween(Window.unboundedPreceding, 0) if back else w.rowsBetween(0, Window.unboundedFollowing)
+        # Forward looks run backwards: a frame that is open at its far end is re-read for every row.
+        upto = (Window.unboundedPreceding, 0)
+        run = (self.window() if back else self._reverse()).rowsBetween(*upto)
         if not self.chunked:
-            self.df = self.df.withColumns({n: pick(e, ignorenulls=True).over(run) for n, e in columns.items()})
+            self.df = self.df.withColumns({n: F.last(e, ignorenulls=True).over(run) for n, e in columns.items()})
             return self
         place = F.struct(*self.order)
         extreme = F.max_by if back else F.min_by
         ends = self.df.groupBy(*self._cells).agg(
             *[extreme(e, F.when(e.isNotNull(), place)).alias(f"_s_{n}") for n, e in columns.items()]
         )
-        span = self._chunk_window()
-        span = span.rowsBetween(Window.unboundedPreceding, -1) if back else span.rowsBetween(1, Window.unboundedFollowing)
+        span = self._chunk_window() if back else self._chunk_window(reverse=True)
+        span = span.rowsBetween(Window.unboundedPreceding, -1)
         self._attach(
-            ends.select(*self._cells, *[pick(f"_s_{n}", ignorenulls=True).over(span).alias(f"_c_{n}") for n in columns])
+            ends.select(*self._cells, *[F.last(f"_s_{n}", ignorenulls=True).over(span).alias(f"_c_{n}") for n in columns])
         )
         self.df = self.df.withColumns(
-            {n: F.coalesce(pick(e, ignorenulls=True).over(run), F.col(f"_c_{n}")) for n, e in columns.items()}
+            {n: F.coalesce(F.last(e, ignorenulls=True).over(run), F.col(f"_c_{n}")) for n, e in columns.items()}
         ).drop(*[f"_c_{n}" for n in columns])
         return self
 
