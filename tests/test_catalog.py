@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import check
 from emberline.catalog import load
@@ -52,3 +53,17 @@ def test_artifact_type_is_checked(spark, tmp_path):
     spark.createDataFrame([("other", [], {})], "model_type string, offsets array<string>, meta map<string,double>").write.parquet(f"{tmp_path}/m/meta")
     with pytest.raises(ValueError, match="expected model_type"):
         load_artifact(spark, f"{tmp_path}/m", "wanted", None)
+
+
+def test_episode_scan_pushes_filters_and_columns(spark, tmp_path):
+    from emberline.sources.telemetry import scan_episode_starts
+
+    rows = [("a", 0, True, 20), ("a", 1, True, 20), ("b", 0, True, 900), ("c", 0, False, 20)]
+    e = spark.createDataFrame(rows, "episode_id string, timestep_idx long, crossed_boundary boolean, time_to_boundary_min long").withColumn("x", F.lit(1.0))
+    e.write.parquet(f"{tmp_path}/e")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    got = scan_episode_starts(spark, f"{tmp_path}/e", e.schema, 15, 480, ["episode_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(timestep_idx,0)" in plan and "GreaterThanOrEqual(time_to_boundary_min" in plan
+    assert "x:double" not in plan
+    assert [r.episode_id for r in got.collect()] == ["a"]
