@@ -1,8 +1,10 @@
-"""Session defaults and the two run-time limits the operators check."""
+"""Session defaults, the folder that executors share, and the package on the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,11 +41,29 @@ def quantile_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder, else a local one (tests only)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The checkpoint folder, which all executors of a cluster can reach.
+
+    Without one, a session in local mode (one machine, as in tests) gets a temporary folder. On a cluster that is an
+    error: each executor would write to its own disk and readers would miss rows.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application; needed wherever a task calls a function of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_emberline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "emberline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._emberline_shipped = True
