@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.exact_dedup import exact_dedup
+from emberline.llm.common import text_or_empty
+from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
 from emberline.llm.packing import pack
+from emberline.llm.sharding import shuffle_into_shards
+from emberline.llm.wavelet import read_documents, write_token_shards
+from emberline.plans.staging import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,11 +35,30 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("text")
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = shuffle_into_shards(rows, shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id")))
+    prototypes = fit_languages(docs.filter(~F.col("held_out")))
+    return predict_language(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
+
+
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "token-shards")
+    write_token_shards(documents(spark, sf_dir), path, BPE)
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op4_line_dedup, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op4_line_dedup, op6_shard, op7_language_id, op9_wavelet, op10_exact_dedup)}
 
 # A-Z only, in either engine.
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
