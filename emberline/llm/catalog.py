@@ -12,6 +12,7 @@ from emberline.llm.exact_dedup import exact_dedup
 from emberline.llm.common import text_or_empty
 from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
+from emberline.llm.mixing import mix_schedule
 from emberline.llm.packing import pack
 from emberline.llm.sharding import shuffle_into_shards
 from emberline.llm.wavelet import read_documents, write_token_shards
@@ -48,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(documents(spark, sf_dir), max_repeats=2.0).drop("key").withColumn("weight", F.round("weight", 9))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "token-shards")
     write_token_shards(documents(spark, sf_dir), path, BPE)
@@ -58,12 +63,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op4_line_dedup, op6_shard, op7_language_id, op9_wavelet, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op4_line_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup)}
 
 # A-Z only, in either engine.
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op8_mix": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, source, text, 1 + len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS tokens FROM documents),
+totals AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM words GROUP BY source),
+largest AS (SELECT max(total) AS most, min(total) AS least FROM totals),
+-- without a budget, a source repeats as often as (its tokens / the most tokens) to the power (exponent - 1)
+halvings(k, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN fits THEN low ELSE mid END, CASE WHEN fits THEN mid ELSE high END
+  FROM (SELECT k, low, high, (low + high) / 2 AS mid, power(least::DOUBLE / most, (low + high) / 2 - 1) <= 2.0 AS fits FROM halvings, largest WHERE k < 60)),
+chosen AS (SELECT CASE WHEN power(least::DOUBLE / most, -1.0) <= 2.0 THEN 0.0 ELSE high END AS exponent FROM halvings, largest WHERE k = 60),
+plan AS (
+  SELECT t.source, total, CAST(round(power(total::DOUBLE / most, exponent - 1) * total) AS BIGINT) AS budget,
+    power(total::DOUBLE, exponent) / sum(power(total::DOUBLE, exponent)) OVER () AS weight
+  FROM totals t, largest, chosen),
+uses AS (
+  SELECT w.doc_id, w.source, w.tokens, p.total, p.budget, p.weight, CAST(g.i AS INTEGER) AS pass,
+    concat_ws('|', g.i, w.doc_id, upper(md5(concat_ws(chr(10), w.doc_id, coalesce(w.text, ''))))) AS tag
+  FROM words w JOIN plan p ON w.source IS NOT DISTINCT FROM p.source, range(0, 3) g(i) WHERE g.i * p.total < p.budget),
+placed AS (
+  SELECT *, pass * total + sum(tokens) OVER (PARTITION BY source, pass ORDER BY md5('3|' || tag) ROWS UNBOUNDED PRECEDING) AS ends FROM uses),
+kept AS (
+  SELECT *, CAST(floor((ends - tokens)::DOUBLE * (SELECT greatest(1, CAST(ceil(sum(budget) / 1048576.0) AS BIGINT)) FROM plan) / budget) AS BIGINT) AS block
+  FROM placed WHERE ends <= budget)
+SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, pass, block, row_number() OVER (PARTITION BY block ORDER BY md5('slot|3|' || tag)) - 1 AS slot, round(weight, 9) AS weight
+FROM kept""",
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
