@@ -13,6 +13,7 @@ from emberline.llm.exact_dedup import exact_dedup
 from emberline.llm.common import text_or_empty
 from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
+from emberline.llm.minhash_dedup import minhash_dedup
 from emberline.llm.mixing import mix_schedule
 from emberline.llm.packing import pack
 from emberline.llm.sharding import shuffle_into_shards
@@ -41,6 +42,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(documents(spark, sf_dir), percent=85)
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty("text")
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -68,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op2_embedding_dedup, op4_line_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op2_embedding_dedup, op4_line_dedup, op5_minhash_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup)}
 
 # A-Z only, in either engine.
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,6 +128,17 @@ frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING co
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id""",
+    "op5_minhash_dedup": f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (n + m - k)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+lowest AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN lowest ON doc_id = x""",
     "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {LOWERED.format("coalesce(text, '')")} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
