@@ -12,6 +12,7 @@ from emberline.llm.embedding_dedup import embedding_dedup
 from emberline.llm.exact_dedup import exact_dedup
 from emberline.llm.common import text_or_empty
 from emberline.llm.language_id import fit_languages, held_out, predict_language
+from emberline.llm.license_scan import TEMPLATES, license_scan
 from emberline.llm.line_dedup import line_dedup
 from emberline.llm.minhash_dedup import minhash_dedup
 from emberline.llm.mixing import mix_schedule
@@ -37,6 +38,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir), percent=80)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,7 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op2_embedding_dedup, op4_line_dedup, op5_minhash_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op2_embedding_dedup, op3_license_scan, op4_line_dedup, op5_minhash_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup)}
 
 # A-Z only, in either engine.
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,6 +124,20 @@ kept AS (
   FROM placed WHERE ends <= budget)
 SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, pass, block, row_number() OVER (PARTITION BY block ORDER BY md5('slot|3|' || tag)) - 1 AS slot, round(weight, 9) AS weight
 FROM kept""",
+    "op3_license_scan": f"""
+WITH texts AS (
+  SELECT NULL AS name, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT name, NULL, text FROM (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in TEMPLATES)}) v(name, text)),
+words AS (SELECT name, doc_id, list_filter(regexp_split_to_array({LOWERED.format("text")}, '[^\\pL\\pN]+'), lambda w: w <> '') AS w FROM texts),
+shingles AS (
+  SELECT name, doc_id, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS s
+  FROM words WHERE len(w) >= 5),
+parts AS (SELECT DISTINCT name, s, count(DISTINCT s) OVER (PARTITION BY name) AS n_template FROM shingles WHERE name IS NOT NULL),
+placed AS (SELECT d.doc_id, p.name, d.pos, d.s, p.n_template FROM shingles d JOIN parts p ON d.s = p.s WHERE d.name IS NULL),
+cut AS (SELECT *, pos - lag(pos) OVER (PARTITION BY doc_id, name ORDER BY pos) > greatest(4, ceil(n_template / 4)) AS new FROM placed),
+runs AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, name ORDER BY pos) AS part FROM cut)
+SELECT doc_id, name AS template, CAST(min(pos) AS INTEGER) AS first_word, CAST(max(pos) + 4 AS INTEGER) AS last_word, count(DISTINCT s) AS n_found, any_value(n_template) AS n_template
+FROM runs GROUP BY doc_id, name, part HAVING count(DISTINCT s) * 100 >= any_value(n_template) * 80""",
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
