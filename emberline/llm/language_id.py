@@ -141,7 +141,7 @@ def predict_language(df: DataFrame, prototypes: dict[str, list[float]], id_col:
     """
     ship_package(df.sparkSession)
     names = sorted(prototypes)
-    matrix = np.array([prototypes[k] for k in names], np.float64).reshape(len(names), -1)
+    matrix = np.array([prototypes[k] for k in names], np.float64).reshape(len(names), dimensions)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = (matrix / np.where(lengths > 0, lengths, 1)).astype(np.float32)
 
