@@ -13,6 +13,7 @@ from emberline.catalog.registry import query
 from emberline.catalog.reports import active_split, horizon_split
 from emberline.catalog.sqltext import CTES
 from emberline.operators import boosting, rates, regress, samples
+from emberline.plans.lookup import beside
 from emberline.plans.staging import stage
 from emberline.sources.adapters import thermostat_states
 
@@ -68,14 +69,14 @@ def predict_global_mean(spark, sf):
     return rates.predict_global_mean(*parts(remaining_split(spark, sf)), "remaining_min").select("event_id", "pred")
 
 
-@query("SELECT event_id, pred FROM {hpreds} WHERE model = 'thermal_drift'", "pred")
+@query("SELECT event_id, pred FROM {hpreds} WHERE model = 'drive_line'", "pred")
 def drift_regression(spark, sf):
     return rates.drift_regression(*parts(horizon_split(spark, sf)), []).select("event_id", "pred")
 
 
 @query(
-    """SELECT event_id, indoor + coalesce(a + b * thermal_drive, 0) AS pred FROM {tsplit} t LEFT JOIN
-      (SELECT home_id, regr_slope(target - indoor, thermal_drive) AS b, regr_intercept(target - indoor, thermal_drive) AS a FROM {tsplit} WHERE is_train GROUP BY 1) f USING (home_id) WHERE NOT is_train""",
+    """SELECT event_id, indoor + coalesce(a + b * outdoor_drive, 0) AS pred FROM {tsplit} t LEFT JOIN
+      (SELECT home_id, regr_slope(target - indoor, outdoor_drive) AS b, regr_intercept(target - indoor, outdoor_drive) AS a FROM {tsplit} WHERE is_train GROUP BY 1) f USING (home_id) WHERE NOT is_train""",
     "pred",
 )
 def drift_regression_per_home(spark, sf):
@@ -194,7 +195,7 @@ def smoothed_target_encoding(spark, sf):
 def shrunken_residual_offset(spark, sf):
     train, _ = parts(active_split(spark, sf))
     mean = train.agg(F.avg("log_duration").alias("g"))
-    resid = train.crossJoin(F.broadcast(mean)).withColumn("residual", F.col("log_duration") - F.col("g"))
+    resid = beside(train, mean).withColumn("residual", F.col("log_duration") - F.col("g"))
     home = rates.residual_offset(resid, ["home_id"]).select(F.lit("home").alias("level"), "home_id", F.lit(-1).cast("long").alias("mode"), "n", F.col("offset").alias("offset_min"))
     both = rates.residual_offset(resid, ["home_id", "is_heating"], 10, 3)
     return home.unionByName(both.select(F.lit("home_mode").alias("level"), "home_id", F.col("is_heating").alias("mode"), "n", F.col("offset").alias("offset_min")))
@@ -280,12 +281,12 @@ ols_ctes("tgh", "esplit", _TG, "y_true - current_temp", ["home_id"], 1.0, 3, whe
     UNION ALL SELECT 'home', event_id, current_temp + coalesce(h.fit, g.fit) FROM {tgr} g JOIN {esplit} e USING (event_id) LEFT JOIN (SELECT event_id, fit FROM {tgh}) h USING (event_id) WHERE NOT e.is_train""",
     "pred",
 )
-def thermal_gap_regression(spark, sf):
+def drive_gap_regression(spark, sf):
     train, test = parts(window_split(spark, sf))
-    return stacked({"global": regress.thermal_gap_regression(train, test, False), "home": regress.thermal_gap_regression(train, test, True, 3)})
+    return stacked({"global": regress.drive_gap_regression(train, test, False), "home": regress.drive_gap_regression(train, test, True, 3)})
 
 
-_T2 = {"gap": "abs(current_gap)", "thermal_drive": "thermal_drive"}
+_T2 = {"gap": "abs(current_gap)", "outdoor_drive": "outdoor_drive"}
 _T3 = {**_T2, "el": "elapsed_min"}
 ols_ctes("tt", "rsplit", _T2, "remaining_min", alpha=1.0)
 ols_ctes("tt3", "rsplit", _T3, "remaining_min", alpha=1.0)
@@ -343,7 +344,7 @@ def ridge_plus_offsets(spark, sf):
 @query()
 def random_intercept_model(spark, sf):
     train, test = parts(active_split(spark, sf))
-    wide = ["log_gap", "is_heating", "signed_thermal_drive", "outdoor_temp", "start_temp", "system_running", "hour_sin", "hour_cos", "indoor_humidity"]
+    wide = ["log_gap", "is_heating", "signed_outdoor_drive", "outdoor_temp", "start_temp", "system_running", "hour_sin", "hour_cos", "indoor_humidity"]
     return stacked(
         {
             "three": regress.predict_random_intercept(train, test, regress.ACTIVE_RIDGE_FEATURES),

@@ -38,7 +38,7 @@ def horizon_predictions(spark, sf):
     train, test = s.where("is_train"), s.where("not is_train")
     models = {
         "persistence": rates.predict_persistence(test, "indoor"),
-        "thermal_drift": rates.drift_regression(train, test, []),
+        "drive_line": rates.drift_regression(train, test, []),
         "mode_aware": rates.mode_aware_drift(train, test, []),
     }
     out = None
@@ -48,16 +48,16 @@ def horizon_predictions(spark, sf):
     return stage(out, "horizon-predictions")
 
 
-_ERR = """count(*) AS n, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse, max(abs(pred - actual)) AS max_error, avg(pred - actual) AS bias,
+_ERR = """count(*) AS n, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse, max(abs(pred - actual)) AS max_error, avg(pred - actual) AS bias, stddev_samp(abs(pred - actual)) AS std_ae,
   CASE WHEN var_pop(actual) > 1e-12 THEN 1 - sum((pred - actual) * (pred - actual)) / (var_pop(actual) * count(*)) ELSE 0 END AS r2, coalesce(avg(abs(pred - actual) / actual) FILTER (actual > 1) * 100, 0) AS mape,
-  quantile_cont(abs(pred - actual), 0.5) AS median_ae, quantile_cont(abs(pred - actual), 0.9) AS p90, quantile_cont(abs(pred - actual), 0.95) AS p95"""
-_ERR_COLS = "mae rmse max_error bias r2 mape median_ae p90 p95"
+  quantile_cont(abs(pred - actual), 0.5) AS median_ae, quantile_cont(abs(pred - actual), 0.75) AS p75, quantile_cont(abs(pred - actual), 0.9) AS p90, quantile_cont(abs(pred - actual), 0.95) AS p95, quantile_cont(abs(pred - actual), 0.99) AS p99"""
+_ERR_COLS = "mae rmse max_error bias std_ae r2 mape median_ae p75 p90 p95 p99"
 _STRAT = """count(*) AS n, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse, avg(pred - actual) AS bias, coalesce(avg(abs(pred - actual) / actual) FILTER (actual > 1) * 100, 0) AS mape"""
 
 CTES["hpreds"] = """
 SELECT 'persistence' AS model, home_id, event_id, target AS actual, indoor AS pred, mode FROM {hsplit} WHERE NOT is_train
-UNION ALL SELECT 'thermal_drift', home_id, event_id, target, indoor + a + b * thermal_drive, mode FROM {hsplit},
-  (SELECT regr_slope(target - indoor, thermal_drive) AS b, regr_intercept(target - indoor, thermal_drive) AS a FROM {hsplit} WHERE is_train) WHERE NOT is_train
+UNION ALL SELECT 'drive_line', home_id, event_id, target, indoor + a + b * outdoor_drive, mode FROM {hsplit},
+  (SELECT regr_slope(target - indoor, outdoor_drive) AS b, regr_intercept(target - indoor, outdoor_drive) AS a FROM {hsplit} WHERE is_train) WHERE NOT is_train
 UNION ALL SELECT 'mode_aware', t.home_id, t.event_id, t.target, indoor + coalesce(k, 0) * (CASE t.mode WHEN 'heating' THEN heat_sp WHEN 'cooling' THEN cool_sp ELSE outdoor_future END - indoor), t.mode
   FROM {hsplit} t LEFT JOIN (SELECT mode, sum(x * y) / (sum(x * x) + 1e-8) AS k FROM (SELECT mode, target - indoor AS y, CASE mode WHEN 'heating' THEN heat_sp WHEN 'cooling' THEN cool_sp ELSE outdoor_future END - indoor AS x FROM {hsplit} WHERE is_train) GROUP BY 1) f ON t.mode = f.mode
   WHERE NOT is_train"""

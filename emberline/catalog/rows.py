@@ -33,14 +33,14 @@ def gradient_class(spark, sf):
 
 
 @query(
-    """SELECT home_id, event_id, outdoor - indoor AS thermal_drive, CASE WHEN event_id % 2 = 0 THEN outdoor - indoor ELSE indoor - outdoor END AS active_drive,
+    """SELECT home_id, event_id, outdoor - indoor AS outdoor_drive, CASE WHEN event_id % 2 = 0 THEN outdoor - indoor ELSE indoor - outdoor END AS active_drive,
       CASE WHEN event_id % 2 = 0 THEN indoor - outdoor ELSE outdoor - indoor END AS drift_drive FROM {tel}""",
-    "thermal_drive active_drive drift_drive",
+    "outdoor_drive active_drive drift_drive",
 )
-def thermal_drive(spark, sf):
+def outdoor_drive(spark, sf):
     heating = F.col("event_id") % 2 == 0
     return telemetry(spark, sf).select(
-        *ID, fn.thermal_drive().alias("thermal_drive"), fn.signed_active_drive(heating).alias("active_drive"), fn.signed_drift_drive(heating).alias("drift_drive")
+        *ID, fn.outdoor_drive().alias("outdoor_drive"), fn.signed_active_drive(heating).alias("active_drive"), fn.signed_drift_drive(heating).alias("drift_drive")
     )
 
 

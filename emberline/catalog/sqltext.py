@@ -156,7 +156,7 @@ CTES["home_split"] = """
 SELECT home_id, state, CASE WHEN place < 0.7::DOUBLE THEN 'train' WHEN place < 0.7::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'test' END AS split
 FROM (SELECT *, (row_number() OVER (PARTITION BY state ORDER BY md5(home_id || ':42'), home_id) - 1)::DOUBLE / count(*) OVER (PARTITION BY state) AS place FROM {homes})"""
 CTES["hsamp"] = """
-SELECT home_id, ts, event_id, indoor, outdoor, outdoor_future, heat_sp, cool_sp, target, outdoor - indoor AS thermal_drive, gap AS gap_to_target, mode,
+SELECT home_id, ts, event_id, indoor, outdoor, outdoor_future, heat_sp, cool_sp, target, outdoor - indoor AS outdoor_drive, gap AS gap_to_target, mode,
   (mode = 'heating')::INT::DOUBLE AS is_heating, (mode = 'cooling')::INT::DOUBLE AS is_cooling, CAST(hour(ts) AS BIGINT) AS hour,
   sin(hour(ts) * (2 * pi() / 24)) AS hour_sin, cos(hour(ts) * (2 * pi() / 24)) AS hour_cos
 FROM (SELECT *, lead(indoor, 2) OVER w AS target, lead(outdoor, 2) OVER w AS outdoor_future, row_number() OVER w - 1 AS r0 FROM {moded}
@@ -169,8 +169,8 @@ SELECT * EXCLUDE (rn, n, cut), rn <= cut AS is_train FROM (SELECT *, floor(n * 0
 WHERE n >= 10 AND n - cut >= 3"""
 CTES["act"] = """
 SELECT home_id, episode_id, event_id, timestamp, change_type, n_steps * 5 AS duration_min, ln((n_steps * 5)::DOUBLE) AS log_duration, initial_gap, abs(initial_gap) AS abs_gap,
-  ln(abs(initial_gap) + 0.1::DOUBLE) AS log_gap, indoor AS start_temp, target_setpoint, outdoor AS outdoor_temp, outdoor - indoor AS thermal_drive,
-  CASE WHEN change_type = 'heat_increase' THEN outdoor - indoor ELSE indoor - outdoor END AS signed_thermal_drive,
+  ln(abs(initial_gap) + 0.1::DOUBLE) AS log_gap, indoor AS start_temp, target_setpoint, outdoor AS outdoor_temp, outdoor - indoor AS outdoor_drive,
+  CASE WHEN change_type = 'heat_increase' THEN outdoor - indoor ELSE indoor - outdoor END AS signed_outdoor_drive,
   CAST(hour(timestamp) AS BIGINT) AS hour, CAST(month(timestamp) AS BIGINT) AS month, CAST(isodow(timestamp) - 1 AS BIGINT) AS day_of_week,
   sin(hour(timestamp) * (2 * pi() / 24)) AS hour_sin, cos(hour(timestamp) * (2 * pi() / 24)) AS hour_cos,
   sin(month(timestamp) * (2 * pi() / 12)) AS month_sin, cos(month(timestamp) * (2 * pi() / 12)) AS month_cos,
@@ -188,14 +188,14 @@ SELECT home_id, episode_id, event_id, change_type, timestep_idx, target_setpoint
 FROM (SELECT *, lead(indoor, 1) OVER (PARTITION BY episode_id ORDER BY timestep_idx) AS y_true FROM {resp}) WHERE indoor IS NOT NULL AND y_true IS NOT NULL"""
 CTES["esplit"] = _SPLIT.replace("SRC", "ewin").replace("MIN", "2")
 CTES["rem"] = """
-SELECT home_id, episode_id, change_type, timestep_idx, event_id, initial_gap, target_setpoint - indoor AS current_gap, outdoor - indoor AS thermal_drive,
+SELECT home_id, episode_id, change_type, timestep_idx, event_id, initial_gap, target_setpoint - indoor AS current_gap, outdoor - indoor AS outdoor_drive,
   timestep_idx * 5 AS elapsed_min, n_steps * 5 - timestep_idx * 5 AS remaining_min
 FROM {resp} WHERE indoor IS NOT NULL AND outdoor IS NOT NULL AND n_steps * 5 - timestep_idx * 5 > 0"""
 CTES["rsplit"] = _SPLIT.replace("SRC", "rem").replace("MIN", "2")
 CTES["dsamp"] = """
 SELECT home_id, episode_id, event_id, timestamp, drift_direction, time_to_boundary_min::DOUBLE AS duration_min, ln(time_to_boundary_min::DOUBLE) AS log_duration, margin,
   ln(margin + 0.1::DOUBLE) AS log_margin, (drift_direction = 'warming_drift')::INT::DOUBLE AS is_heating,
-  CASE WHEN drift_direction = 'warming_drift' THEN start_temp - outdoor ELSE outdoor - start_temp END AS signed_thermal_drive, outdoor AS outdoor_temp, start_temp, start_outdoor, boundary_temp,
+  CASE WHEN drift_direction = 'warming_drift' THEN start_temp - outdoor ELSE outdoor - start_temp END AS signed_outdoor_drive, outdoor AS outdoor_temp, start_temp, start_outdoor, boundary_temp,
   CAST(hour(timestamp) AS BIGINT) AS hour, CAST(month(timestamp) AS BIGINT) AS month, CAST(isodow(timestamp) - 1 AS BIGINT) AS day_of_week,
   sin(hour(timestamp) * (2 * pi() / 24)) AS hour_sin, cos(hour(timestamp) * (2 * pi() / 24)) AS hour_cos,
   sin(month(timestamp) * (2 * pi() / 12)) AS month_sin, cos(month(timestamp) * (2 * pi() / 12)) AS month_cos
@@ -239,7 +239,7 @@ CTES["daypar"] = """
 SELECT run, count(*) FILTER (n = 24) AS n_days, CASE WHEN count(*) FILTER (n = 24) = 0 THEN max(mx) / (sum(sm) / sum(n)) ELSE avg(mx / av) FILTER (n = 24 AND av > 0) END AS daily_par
 FROM (SELECT run, block, count(*) AS n, max(consumption_kw) AS mx, avg(consumption_kw) AS av, sum(consumption_kw) AS sm FROM {blocks} GROUP BY 1, 2) GROUP BY run"""
 
-CTES["fc"] = "SELECT date_trunc('hour', ts) AS ts, avg(outdoor) AS temp FROM {tel} WHERE outdoor IS NOT NULL AND hour(ts) % 2 = 0 GROUP BY 1"
+CTES["fc"] = "SELECT date_trunc('hour', ts - to_hours(hour(ts) % 2)) + INTERVAL 7 MINUTE AS ts, avg(outdoor) AS temp FROM {tel} WHERE outdoor IS NOT NULL GROUP BY 1"
 CTES["win"] = """
 SELECT d + to_hours(a) AS wstart, d + to_hours(b) AS wend FROM (SELECT DISTINCT date_trunc('day', CAST(ts AS TIMESTAMP)) AS d FROM events), (VALUES (13, 14), (17, 20)) h(a, b)"""
 CTES["states"] = """

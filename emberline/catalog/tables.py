@@ -41,11 +41,11 @@ def home_state_dim(spark, sf):
     return src.home_state_dim(t)
 
 
-@query("SELECT * FROM {raw} WHERE NOT isnan(heat_sp)")
+@query("SELECT * FROM {raw}")
 def scan_telemetry_csv(spark, sf):
     path = stage_path(spark, "telemetry-csv")
     raw_telemetry(spark, sf).write.csv(path, header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return src.read_telemetry_csv(spark, path).where(~F.isnan("heat_sp"))
+    return src.read_telemetry_csv(spark, path)
 
 
 @query("SELECT user_id AS home_id, min(CASE WHEN user_id % 10 < 7 THEN 'train' WHEN user_id % 10 = 7 THEN 'val' ELSE 'test' END) AS split FROM events GROUP BY 1")
@@ -64,13 +64,12 @@ def scan_episode_starts(spark, sf):
     return src.scan_episode_starts(spark, path, e.schema, 10, 480, cols)
 
 
-@query("SELECT * EXCLUDE (time_since_hvac_off_min) FROM {drift}", "start_temp recent_indoor_slope_15m recent_indoor_slope_30m recent_outdoor_slope_15m recent_outdoor_slope_30m")
+@query("SELECT * FROM {drift}", "time_since_hvac_off_min start_temp recent_indoor_slope_15m recent_indoor_slope_30m recent_outdoor_slope_15m recent_outdoor_slope_30m")
 def scan_episodes(spark, sf):
     path = stage_path(spark, "drift")
     e = drift_table(spark, sf)
     sinks.write_episodes(e, path)
-    back = src.scan_episodes(spark, path, e.schema, ["episode_id", "timestep_idx", "time_to_boundary_min"])
-    return back.drop("time_since_hvac_off_min")
+    return src.scan_episodes(spark, path, e.schema, ["episode_id", "timestep_idx", "time_to_boundary_min"])
 
 
 @query("SELECT * FROM {tel}")

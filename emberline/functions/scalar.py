@@ -54,12 +54,12 @@ def gradient_class(indoor="indoor", outdoor="outdoor", heat="heat_sp", cool="coo
     )
 
 
-def thermal_drive(indoor="indoor", outdoor="outdoor") -> Column:
+def outdoor_drive(indoor="indoor", outdoor="outdoor") -> Column:
     return _c(outdoor) - _c(indoor)
 
 
 def signed_active_drive(heating: Column, indoor="indoor", outdoor="outdoor") -> Column:
-    return F.when(heating, thermal_drive(indoor, outdoor)).otherwise(-thermal_drive(indoor, outdoor))
+    return F.when(heating, outdoor_drive(indoor, outdoor)).otherwise(-outdoor_drive(indoor, outdoor))
 
 
 def signed_drift_drive(heating: Column, indoor="indoor", outdoor="outdoor") -> Column:

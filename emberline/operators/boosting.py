@@ -16,11 +16,11 @@ from emberline.session import hot_rows
 
 # Feature lists and training parameters.
 ACTIVE_FEATURES = [
-    "log_gap", "abs_gap", "is_heating", "system_running", "signed_thermal_drive", "outdoor_temp", "start_temp",
+    "log_gap", "abs_gap", "is_heating", "system_running", "signed_outdoor_drive", "outdoor_temp", "start_temp",
     "hour_sin", "hour_cos", "month_sin", "month_cos", "hour", "month", "day_of_week", "indoor_humidity",
 ]
 DRIFT_FEATURES = [
-    "margin", "log_margin", "is_heating", "signed_thermal_drive", "outdoor_temp", "start_temp", "boundary_temp",
+    "margin", "log_margin", "is_heating", "signed_outdoor_drive", "outdoor_temp", "start_temp", "boundary_temp",
     "hour_sin", "hour_cos", "month_sin", "month_cos", "hour", "month", "day_of_week",
 ]
 DEFAULTS = {"maxDepth": 6, "maxIter": 200, "stepSize": 0.1, "minInstancesPerNode": 10, "subsamplingRate": 0.8, "seed": 42}
@@ -191,7 +191,7 @@ def score_active(states: DataFrame, artifact: tuple, target: str, outdoor: str =
             "log_gap": log_shifted("_gap"),
             "is_heating": heating.cast("long"),
             "_running": F.col("system_running").cast("double"),
-            "signed_thermal_drive": signed_active_drive(heating, "indoor_temp_f", outdoor),
+            "signed_outdoor_drive": signed_active_drive(heating, "indoor_temp_f", outdoor),
             "indoor_humidity": F.lit(50.0),
         }
     )
@@ -209,7 +209,7 @@ def score_drift(states: DataFrame, artifact: tuple, boundary: str, outdoor: str
             "margin": F.col("_gap"),
             "log_margin": log_shifted("_gap"),
             "is_heating": heating.cast("double"),
-            "signed_thermal_drive": signed_drift_drive(heating, "indoor_temp_f", outdoor),
+            "signed_outdoor_drive": signed_drift_drive(heating, "indoor_temp_f", outdoor),
             "boundary_temp": F.col(boundary),
         }
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.plans.lookup import broadcast_if_small
 from emberline.plans.series import Series, epoch
 
 
@@ -53,8 +52,8 @@ def active_or_next_window(states: DataFrame, windows: DataFrame, horizon_min: in
     """First window, by start, that holds the state's time or begins within the horizon.
 
     A range join cut by day: each window is listed under every day on which a state could see it, so the
-    join is an equi-join on day plus the exact condition. Days are few and uneven, so the window list is
-    broadcast while a count shows it to be small.
+    join is an equi-join on day plus the exact condition. The planner broadcasts the
+    window list while its measured size is small.
     """
     horizon = F.make_interval(mins=F.lit(horizon_min))
     first_day = F.to_date(F.col("start") - horizon)
@@ -65,7 +64,7 @@ def active_or_next_window(states: DataFrame, windows: DataFrame, horizon_min: in
     sees = ((F.col("start") <= t) & (t < F.col("end"))) | ((F.col("start") > t) & (F.col("start") <= t + horizon))
     hits = (
         s.select(key, "timestamp", "_day")
-        .join(broadcast_if_small(listed), "_day")
+        .join(listed, "_day")
         .where(sees)
         .groupBy(key)
         .agg(F.min(F.struct("start", "end")).alias("_w"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalar import TOU_PRICES, tou_price
 from emberline.operators.joins import relative_to
+from emberline.plans.lookup import beside
 from emberline.plans.series import Series, epoch
 
 
@@ -94,15 +95,22 @@ def savings_vs_reference(kpis: DataFrame, reference: str, keys: list[str], polic
 
 def controller_summary(load: DataFrame, kpis: DataFrame, names: list[str], by: str = "run") -> DataFrame:
     """One row per controller: ratios, total, peak, mean and selected named indicator values."""
+    mean = F.avg("consumption_kw")
     base = load.groupBy(by).agg(
-        F.sum("consumption_kw").alias("total_kwh"), F.max("consumption_kw").alias("peak_kw"), F.avg("consumption_kw").alias("mean_kw")
+        F.sum("consumption_kw").alias("total_kwh"),
+        F.max("consumption_kw").alias("peak_kw"),
+        mean.alias("mean_kw"),
+        (F.max("consumption_kw") / F.nullif(mean, F.lit(0.0))).alias("par"),
     )
     picked = kpis.groupBy(by).agg(*[F.max(F.when(F.col("cost_function") == n, F.col("value"))).alias(n) for n in names])
-    return base.join(par(load, [by]), by).join(daily_par(load, [by]).drop("n_days"), by).join(picked, by, "left")
+    return base.join(daily_par(load, [by]).drop("n_days"), by).join(picked, by, "left")
 
 
 def sanity_checks(load: DataFrame, baseline: str, by: str = "run") -> DataFrame:
-    """Energy ratio, sign, NaN and temperature checks per run as rows; temperature appears only on failure."""
+    """Energy ratio, sign, NaN and temperature checks per run as rows; temperature appears only on failure.
+
+    Without the baseline run, as in the source, one failed check of its existence is the whole report.
+    """
     v = F.col("consumption_kw")
     clean = F.nanvl(v, F.lit(None).cast("double"))
     g = load.groupBy(by).agg(
@@ -114,7 +122,8 @@ def sanity_checks(load: DataFrame, baseline: str, by: str = "run") -> DataFrame:
         F.min("temp_c").alias("t0"),
         F.max("temp_c").alias("t1"),
     )
-    base = g.where(F.col(by) == baseline).select(F.col("e").alias("_b"))
+    base = g.where(F.col(by) == baseline).select(F.col("e").alias("_b"), F.lit(True).alias("_found"))
+    known = load.select(F.lit(baseline).alias(by)).limit(1)
     ratio = F.when(F.col("_b") > 0, F.col("e") / F.col("_b"))
 
     def check(name: str, passed: Column, message: Column) -> Column:
@@ -138,5 +147,8 @@ def sanity_checks(load: DataFrame, baseline: str, by: str = "run") -> DataFrame:
             F.concat(F.lit("mean="), text(F.col("av"), 1), F.lit(", max="), text(F.col("mx"), 1), F.lit(" kW")),
         ),
     )
-    one = g.crossJoin(F.broadcast(base))
-    return one.select(by, F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    report = beside(g, base).where("_found").select(by, F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    # Name and message of the check that the source makes first.
+    absent = check("Baseline exists", F.lit(False), F.lit("No baseline results"))
+    missing = beside(known, base).where("_found is null").select(by, F.inline(F.array(absent)))
+    return report.unionByName(missing)

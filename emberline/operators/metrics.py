@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalar import bucketize
+from emberline.plans.lookup import beside
 from emberline.plans.quantiles import agg_with_quantiles
 
 
@@ -19,7 +20,7 @@ def abs_err() -> Column:
 
 
 def error_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """MAE, RMSE, bias, maximum, median, P90, P95, R2 and percentage error (targets above 1) per key."""
+    """MAE, RMSE, bias, maximum, sample deviation, P50 to P99, R2 and percentage error (targets above 1) per key."""
     y = F.col("actual")
     sse = F.sum(err() * err())
     aggs = [
@@ -28,10 +29,11 @@ def error_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
         F.sqrt(F.avg(err() * err())).alias("rmse"),
         F.max(abs_err()).alias("max_error"),
         F.avg(err()).alias("bias"),
+        F.stddev_samp(abs_err()).alias("std_ae"),
         F.when(F.var_pop(y) > 1e-12, 1 - sse / (F.var_pop(y) * F.count(F.lit(1)))).otherwise(0.0).alias("r2"),
         F.coalesce(F.avg(F.when(y > 1, abs_err() / y)) * 100, F.lit(0.0)).alias("mape"),
     ]
-    return agg_with_quantiles(preds, keys, aggs, abs_err(), {"median_ae": 0.5, "p90": 0.9, "p95": 0.95})
+    return agg_with_quantiles(preds, keys, aggs, abs_err(), {"median_ae": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def stratified_metrics(preds: DataFrame, strata: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -55,6 +57,7 @@ def stratified_metrics(preds: DataFrame, strata: dict[str, Column], keys: list[s
     )
 
 
+# Edges and labels of the buckets that the reports use.
 def step_gap_bucket(x) -> Column:
     return bucketize(F.abs(x), [0, 1, 2, 3, 5, 100], ["0-1F", "1-2F", "2-3F", "3-5F", ">5F"])
 
@@ -113,6 +116,16 @@ def error_strata() -> dict[str, Column]:
     }
 
 
+def drift_strata() -> dict[str, Column]:
+    """Dimensions of the drift report: direction, margin to the boundary, and duration."""
+    return {"direction": F.col("drift_direction"), "margin": margin_bucket("margin"), "duration": drift_duration_bucket("actual")}
+
+
+def setpoint_strata() -> dict[str, Column]:
+    """Dimensions of the setpoint-response report: initial gap and minutes since the change."""
+    return {"initial_gap": initial_gap_bucket("initial_gap"), "elapsed": elapsed_bucket("elapsed_min")}
+
+
 def per_home_errors(preds: DataFrame) -> DataFrame:
     return preds.groupBy("home_id").agg(
         F.avg(abs_err()).alias("mae"),
@@ -156,7 +169,7 @@ def tail_breakdown(preds: DataFrame, q: float = 0.95) -> DataFrame:
             F.struct(F.lit("system_running").alias("dim"), F.when(F.col("system_running") == 1, "running").otherwise("not running").alias("stratum")),
         )
     )
-    flagged = preds.crossJoin(F.broadcast(cut)).withColumn("_tail", (abs_err() > F.col("cut")).cast("long"))
+    flagged = beside(preds, cut).withColumn("_tail", (abs_err() > F.col("cut")).cast("long"))
     g = flagged.select("_tail", strata).where(F.col("stratum").isNotNull()).groupBy("dim", "stratum").agg(
         F.sum("_tail").alias("n_tail"), F.count(F.lit(1)).alias("n_all")
     )
@@ -208,7 +221,7 @@ def group_profile(preds: DataFrame, labels: DataFrame, features: list[str]) -> D
 def improvement(metrics: DataFrame, baseline: str, col: str = "mae") -> DataFrame:
     """Percent by which each model lowers ``col`` against a named one."""
     b = metrics.where(F.col("model") == baseline).select(F.col(col).alias("_b"))
-    return metrics.crossJoin(F.broadcast(b)).select(
+    return beside(metrics, b).select(
         "model", col, (100 * (F.col("_b") - F.col(col)) / F.col("_b")).alias("improvement_pct")
     )
 

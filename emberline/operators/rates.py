@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.scalar import clip, clip_no_overshoot
-from emberline.plans.lookup import lookup_with_fallback
+from emberline.plans.lookup import beside, lookup_with_fallback
 from emberline.plans.quantiles import agg_with_quantiles
 
 EPS = 1e-8
@@ -25,7 +25,7 @@ def predict_persistence(test: DataFrame, col: str) -> DataFrame:
 
 def predict_global_mean(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
     m = train.agg(F.avg(y).alias("pred"))
-    return test.crossJoin(F.broadcast(m))
+    return beside(test, m)
 
 
 def stage_name(idx: str = "timestep_idx") -> Column:
@@ -40,7 +40,7 @@ def gap_fraction(train: DataFrame, test: DataFrame, scope: str) -> DataFrame:
     if scope == "stage":
         train, test = train.withColumn("stage", stage_name()), test.withColumn("stage", stage_name())
     if scope in ("global", "clipped"):
-        scored = test.crossJoin(F.broadcast(origin_slope(train, [], x, y).select("k")))
+        scored = beside(test, origin_slope(train, [], x, y).select("k")).withColumn("k", F.coalesce("k", zero))
     elif scope == "mode":
         scored = lookup_with_fallback(test, [(origin_slope(train, ["change_type"], x, y), ["change_type"])], "k", zero, "k")
     elif scope == "stage":
@@ -98,11 +98,11 @@ def group_median(train: DataFrame, test: DataFrame, keys: list[str], y: str) ->
 
 
 def drift_regression(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
-    """Temperature change on thermal drive, one slope and intercept; falls back to no change."""
-    x, y = F.col("thermal_drive"), F.col("target") - F.col("indoor")
+    """Temperature change on outdoor drive, one slope and intercept; falls back to no change."""
+    x, y = F.col("outdoor_drive"), F.col("target") - F.col("indoor")
     fit = train.groupBy(*keys).agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.count(F.lit(1)).alias("n"))
     fit = fit.where(F.col("n") >= 2).select(*keys, "a", "b")
-    scored = test.join(fit, keys, "left") if keys else test.crossJoin(F.broadcast(fit))
+    scored = test.join(fit, keys, "left") if keys else beside(test, fit)
     line = F.coalesce(F.col("a") + F.col("b") * x, F.lit(0.0))
     return scored.withColumn("pred", F.col("indoor") + line).drop("a", "b")
 
@@ -151,7 +151,7 @@ def target_encoding(train: DataFrame, keys: list[str], y: str, out: str, m: floa
     """Group mean pulled to the global mean with the weight of m rows."""
     g = train.agg(F.avg(y).alias("_g"))
     stats = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_m"))
-    return stats.crossJoin(F.broadcast(g)).select(
+    return beside(stats, g).select(
         *keys, "n", ((F.col("n") * F.col("_m") + m * F.col("_g")) / (F.col("n") + m)).alias(out)
     )
 
@@ -159,7 +159,7 @@ def target_encoding(train: DataFrame, keys: list[str], y: str, out: str, m: floa
 def add_encodings(train: DataFrame, df: DataFrame, mode: str, y: str = "log_duration") -> DataFrame:
     """home_encoded and home_mode_encoded, the global mean for unseen keys."""
     g = train.agg(F.avg(y).alias("_g"))
-    out = df.crossJoin(F.broadcast(g))
+    out = beside(df, g)
     for keys, name in ((["home_id"], "home_encoded"), (["home_id", mode], "home_mode_encoded")):
         out = lookup_with_fallback(out, [(target_encoding(train, keys, y, name), keys)], name, F.col("_g"), name)
     return out.drop("_g")
@@ -210,5 +210,5 @@ def newton_predict(train_steps: DataFrame, train: DataFrame, test: DataFrame, pe
     mid = agg_with_quantiles(train, [], [], F.col("duration_min"), {"_mid": 0.5})
     minutes = newton_minutes(F.col("k"), F.col("start_temp"), F.col("start_outdoor"), F.col("boundary_temp"))
     return (
-        scored.crossJoin(F.broadcast(mid)).withColumn("pred", F.greatest(F.lit(5.0), F.coalesce(minutes, F.col("_mid")))).drop("_mid")
+        beside(scored, mid).withColumn("pred", F.greatest(F.lit(5.0), F.coalesce(minutes, F.col("_mid")))).drop("_mid")
     )

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from emberline.functions.scalar import clip
 from emberline.operators.rates import residual_offset
 from emberline.plans.linear import gram, linear_value, solve, unpack
-from emberline.plans.lookup import lookup_with_fallback
+from emberline.plans.lookup import beside, lookup_with_fallback
 
-# thermal_drive is outdoor minus indoor, so beside both of them it adds nothing and is left out.
+# outdoor_drive is outdoor minus indoor, so beside both of them it adds nothing and is left out.
 HORIZON_FEATURES = {
     "thermal": ["indoor", "outdoor", "heat_sp", "cool_sp"],
     "mode": ["indoor", "outdoor", "heat_sp", "cool_sp", "is_heating", "is_cooling"],
@@ -30,7 +30,7 @@ MODE_FEATURES = {
 def ols_features(train: DataFrame, test: DataFrame, xs: list[str], y: str = "target") -> DataFrame:
     """One ordinary least squares fit on standardised features, applied to every test row."""
     coef = solve(gram(train, [], xs, y), standardize=True).select("coef")
-    return test.crossJoin(F.broadcast(coef)).withColumn("pred", linear_value(xs)).drop("coef")
+    return beside(test, coef).withColumn("pred", linear_value(xs)).drop("coef")
 
 
 def ols_per_mode(train: DataFrame, test: DataFrame, keys: list[str] | None = None, min_n: int = 1) -> DataFrame:
@@ -63,7 +63,7 @@ def ridge_with_homes(
     return lookup_with_fallback(test, levels, "coef", none, "coef").withColumn("fit", linear_value(xs)).drop("coef")
 
 
-def thermal_gap_regression(train: DataFrame, test: DataFrame, per_home: bool, min_n: int = 20) -> DataFrame:
+def drive_gap_regression(train: DataFrame, test: DataFrame, per_home: bool, min_n: int = 20) -> DataFrame:
     """15-minute change on (drive, gap): ordinary globally, ridge per home with a ridge global fallback."""
 
     def prep(d: DataFrame) -> DataFrame:
@@ -87,18 +87,18 @@ def time_to_target_ridge(train: DataFrame, test: DataFrame, per_home: bool, min_
 
     train, test = prep(train), prep(test)
     scored = (
-        ridge_with_homes(train, test, ["gap", "thermal_drive", "el"], "y", 1.0, 1.0, min_n)
+        ridge_with_homes(train, test, ["gap", "outdoor_drive", "el"], "y", 1.0, 1.0, min_n)
         if per_home
-        else ridge_with_homes(train, test, ["gap", "thermal_drive"], "y", 1.0, None, 1)
+        else ridge_with_homes(train, test, ["gap", "outdoor_drive"], "y", 1.0, None, 1)
     )
     return scored.withColumn("pred", F.greatest(F.lit(0.0), F.col("fit"))).drop("fit", "gap", "y", "el")
 
 
 DRIFT_RIDGE_FEATURES = [
-    "log_margin", "margin", "is_heating", "signed_thermal_drive", "outdoor_temp", "start_temp", "boundary_temp",
+    "log_margin", "margin", "is_heating", "signed_outdoor_drive", "outdoor_temp", "start_temp", "boundary_temp",
     "hour_sin", "hour_cos", "month_sin", "month_cos",
 ]
-ACTIVE_RIDGE_FEATURES = ["log_gap", "is_heating", "signed_thermal_drive"]
+ACTIVE_RIDGE_FEATURES = ["log_gap", "is_heating", "signed_outdoor_drive"]
 
 
 def ridge_plus_offsets(
@@ -106,9 +106,9 @@ def ridge_plus_offsets(
 ) -> DataFrame:
     """Global ridge on log minutes, then each key's shrunken mean residual, then exp."""
     coef = solve(gram(train, [], xs, "log_duration"), 1.0).select("coef")
-    scored = test.crossJoin(F.broadcast(coef)).withColumn("_log", linear_value(xs)).drop("coef")
+    scored = beside(test, coef).withColumn("_log", linear_value(xs)).drop("coef")
     if keys:
-        resid = train.crossJoin(F.broadcast(coef)).select(*keys, (F.col("log_duration") - linear_value(xs)).alias("residual"))
+        resid = beside(train, coef).select(*keys, (F.col("log_duration") - linear_value(xs)).alias("residual"))
         off = residual_offset(resid, keys, 10.0, min_n)
         scored = lookup_with_fallback(scored, [(off, keys)], "offset", F.lit(0.0), "_off")
     else:

@@ -12,7 +12,7 @@ from emberline.functions.scalar import (
     setpoint_gap,
     signed_active_drive,
     signed_drift_drive,
-    thermal_drive,
+    outdoor_drive,
     time_features,
 )
 from emberline.plans.series import Series, hash_series, telemetry_series
@@ -51,7 +51,7 @@ def horizon_samples(t: DataFrame, horizon: int = 6, stride: int = 72, offset: in
         "heat_sp",
         "cool_sp",
         "target",
-        thermal_drive().alias("thermal_drive"),
+        outdoor_drive().alias("outdoor_drive"),
         setpoint_gap().alias("gap_to_target"),
         mode.alias("mode"),
         (mode == "heating").cast("double").alias("is_heating"),
@@ -74,7 +74,7 @@ def elapsed_remaining(e: DataFrame, step_min: int = 5) -> DataFrame:
         "event_id",
         "initial_gap",
         (F.col("target_setpoint") - F.col("indoor")).alias("current_gap"),
-        (F.col("outdoor") - F.col("indoor")).alias("thermal_drive"),
+        (F.col("outdoor") - F.col("indoor")).alias("outdoor_drive"),
         el.alias("elapsed_min"),
         left.alias("remaining_min"),
     ).where(F.col("remaining_min") > 0)
@@ -136,8 +136,8 @@ def active_episode_samples(e: DataFrame, step_min: int = 5, lo: float = 5, hi: f
         F.col("indoor").alias("start_temp"),
         "target_setpoint",
         F.col("outdoor").alias("outdoor_temp"),
-        thermal_drive().alias("thermal_drive"),
-        signed_active_drive(heating).alias("signed_thermal_drive"),
+        outdoor_drive().alias("outdoor_drive"),
+        signed_active_drive(heating).alias("signed_outdoor_drive"),
         tf["hour"].alias("hour"),
         tf["month_of_year"].alias("month"),
         tf["day_of_week"].alias("day_of_week"),
@@ -178,7 +178,7 @@ def drift_samples(e: DataFrame, lo: float = 5, hi: float = 480) -> DataFrame:
         "margin",
         log_shifted("margin").alias("log_margin"),
         warming.cast("double").alias("is_heating"),
-        signed_drift_drive(warming, "start_temp", "outdoor").alias("signed_thermal_drive"),
+        signed_drift_drive(warming, "start_temp", "outdoor").alias("signed_outdoor_drive"),
         F.col("outdoor").alias("outdoor_temp"),
         "start_temp",
         "start_outdoor",

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting up to the limit; a longer table is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Each row of ``df`` next to the single row of ``one``; next to nulls if that is empty, so no row is lost."""
+    return df.join(F.broadcast(one), F.lit(True), "left")
 
 
 def lookup_with_fallback(
@@ -27,5 +24,5 @@ def lookup_with_fallback(
         hit = f"_hit{i}"
         hits.append(hit)
         side = table.select(*keys, F.col(value).alias(hit))
-        df = df.join(side, keys, "left") if keys else df.crossJoin(F.broadcast(side))
+        df = df.join(side, keys, "left") if keys else beside(df, side)
     return df.withColumn(out, F.coalesce(*[F.col(h) for h in hits], default)).drop(*hits)

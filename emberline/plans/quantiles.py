@@ -1,8 +1,7 @@
 """Exact, linearly interpolated quantiles that never hold one group's values in one task.
 
-``percentile`` keeps a map of a group's distinct values in the final aggregate. That is fine for a
-checked number of rows. Beyond it: (1) a mergeable sketch brackets each quantile, (2) rows under the
-bracket are counted, (3) only the values inside the bracket are ranked.
+(1) A mergeable sketch brackets each quantile, (2) rows under the bracket are counted, (3) only the values inside
+the bracket are ranked. Null and NaN are no values: they take no rank. This is the only way, for any number of rows.
 """
 
 from __future__ import annotations
@@ -10,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.plans.lookup import beside
 from emberline.plans.staging import stage
-from emberline.session import quantile_rows
 
 SKETCH = 10000
 
@@ -20,10 +19,6 @@ def agg_with_quantiles(
     df: DataFrame, by: list[str], aggs: list[Column], value: Column, probs: dict[str, float]
 ) -> DataFrame:
     """``groupBy(by).agg(*aggs)`` plus one exact quantile of ``value`` per entry of ``probs``."""
-    limit = quantile_rows(df.sparkSession)
-    small = df.limit(limit + 1).count() <= limit
-    if small:
-        return df.groupBy(*by).agg(*aggs, *[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
     quants = bracketed_quantiles(df, by, value, probs)
     base = df.groupBy(*by).agg(*aggs) if aggs else df.select(*by).distinct()
     if not by:
@@ -38,7 +33,7 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, floa
 
 def bracketed_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
     # Only the keys and the value are kept, and they are written once: three passes follow.
-    vals = stage(df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()), "quantile-values")
+    vals = stage(df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")), "quantile-values")
     slack = 3.0 / SKETCH
     low = F.array(*[F.lit(max(p - slack, 0.0)) for p in probs.values()])
     high = F.array(*[F.lit(min(p + slack, 1.0)) for p in probs.values()])
@@ -67,7 +62,7 @@ def bracketed_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict
         cond = [vals[c].eqNullSafe(brackets[c]) for c in by]
         rows = vals.join(brackets, cond).drop(*[brackets[c] for c in by])
     else:
-        rows = vals.crossJoin(F.broadcast(brackets))  # a single row
+        rows = beside(vals, brackets)  # a single row
     # Rows above every bracket never leave this stage; rows below one only add to its count.
     tagged = rows.select(
         *by, "_v", F.inline(F.filter("_b", lambda b: F.col("_v") <= b["hi"]))

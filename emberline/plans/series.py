@@ -3,8 +3,9 @@
 A plain ``Window.partitionBy(key)`` puts a key's whole history in one task. ``Series`` first counts
 rows per key (a map-side combined aggregate over the key and position columns only). If no key passes
 the limit, the plain window is used: one shuffle, one sort, shared by all calls. If some keys do, their
-position range is cut into chunks, windows run per (key, chunk), and what a chunk needs from its
-neighbours comes from a summary table with one row per (key, chunk).
+rows are cut into chunks of about equal row counts, windows run per (key, chunk), and what a chunk needs from its
+neighbours comes from a summary table with one row per (key, chunk). Both ways give the same result, null keys,
+null values and bursts included; keys join null-safe.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from emberline.plans.staging import stage
 from emberline.session import hot_rows
 
 CHUNK = "_chunk"
+CELLS = 64  # cells of equal row counts that a hot key is cut into first
 
 
 def epoch(ts: str = "ts") -> Column:
@@ -27,29 +29,40 @@ def hash_position(hash_col: str) -> Column:
     return F.conv(F.substring(hash_col, 1, 8), 16, 10).cast("double")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which null keys match each other; without keys, ``right`` is one row or none."""
+    if not on:
+        return left.join(right, F.lit(True), "left")
+    right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    match = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(right, match, "left").drop(*[f"_on_{c}" for c in on])
+
+
 class Series:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], position: Column, max_rows: int | None = None):
         """``position`` must never decrease along ``order``; chunk borders are placed on it."""
         self.keys = keys
         self.order = order
         limit = max_rows or hot_rows(df.sparkSession)
-        # At most total_rows / limit keys can pass this filter, so the table is small by construction.
+        # At most total_rows / limit keys can pass this filter. The sketch of positions is mergeable, so no key is gathered.
+        grid = F.percentile_approx(position, F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)]), 10 * CELLS)
         hot = (
             df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"), grid.alias("_grid"))
             .where(F.col("_n") > limit)
         )
         self.chunked = not hot.isEmpty()
         if not self.chunked:
             self.df = df
             return
-        pieces = F.ceil(F.col("_n") / F.lit(limit)) * 2
-        width = (F.col("_hi") - F.col("_lo")) / pieces
-        chunk = F.when(
-            width > 0, F.least(F.floor((position - F.col("_lo")) / width), pieces - 1)
-        ).otherwise(F.lit(0))
-        joined = df.join(F.broadcast(hot), keys, "left") if keys else df.crossJoin(F.broadcast(hot))
-        self.df = joined.withColumn(CHUNK, F.coalesce(chunk.cast("long"), F.lit(0))).drop("_n", "_lo", "_hi")
+        # Cells hold equal row counts up to ties; one is cut further, evenly in position, when it is still too long.
+        cell = F.size(F.filter("_grid", lambda g: g <= position))
+        edges = F.concat(F.array("_lo"), F.col("_grid"), F.array("_hi"))
+        low, high = F.get(edges, cell), F.get(edges, cell + 1)
+        pieces = F.ceil(F.col("_n") / F.lit(limit * CELLS)) * 2
+        inner = F.when(high > low, F.least(F.floor((position - low) / (high - low) * pieces), pieces - 1)).otherwise(F.lit(0))
+        joined = null_safe_join(df, stage(hot, "hot-keys"), keys)
+        self.df = joined.withColumn(CHUNK, F.coalesce((cell * pieces + inner).cast("long"), F.lit(0))).drop("_n", "_lo", "_hi", "_grid")
 
     # -- plumbing ---------------------------------------------------------------------------------
 
@@ -74,7 +87,7 @@ class Series:
     def _attach(self, summary: DataFrame) -> None:
         # The summary (one row per key and chunk) is written out first. Joining it lazily would put a second
         # copy of the whole lineage in the plan, and so double the plan with every operation.
-        self.df = self.df.join(stage(summary, "chunk-summary"), self._cells, "left")
+        self.df = null_safe_join(self.df, stage(summary, "chunk-summary"), self._cells)
 
     def select(self, *cols) -> "Series":
         keep = [*cols, CHUNK] if self.chunked else list(cols)
@@ -147,10 +160,16 @@ class Series:
         totals = self.df.groupBy(*self._cells).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in columns.items()])
         before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select(
-            *self._cells, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in columns]
+            *self._cells, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in columns]
         )
         self._attach(offsets)
-        self.df = self.df.withColumns({n: F.sum(e).over(run) + F.col(f"_o_{n}") for n, e in columns.items()}).drop(
+
+        def joined(n: str, e: Column) -> Column:
+            """Null until the first value, as a plain running sum is."""
+            own, ahead = F.sum(e).over(run), F.col(f"_o_{n}")
+            return F.coalesce(own + ahead, own, ahead)
+
+        self.df = self.df.withColumns({n: joined(n, e) for n, e in columns.items()}).drop(
             *[f"_o_{n}" for n in columns]
         )
         return self

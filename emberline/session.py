@@ -9,7 +9,6 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 HOT_ROWS_KEY = "spark.emberline.hotRows"
-QUANTILE_ROWS_KEY = "spark.emberline.quantileRows"
 
 
 def build_session(app: str = "emberline", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -35,11 +34,6 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_KEY, "1000000"))
 
 
-def quantile_rows(spark: SparkSession) -> int:
-    """Rows above which exact quantiles use bracketing instead of one hash map per group."""
-    return int(spark.conf.get(QUANTILE_ROWS_KEY, "2000000"))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors of a cluster can reach.
 

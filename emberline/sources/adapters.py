@@ -115,9 +115,9 @@ def hourly_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ts, temp: one outdoor value per even hour that has readings, so lookups can fall between points."""
-    t = telemetry(spark, sf_dir).where(F.col("outdoor").isNotNull() & (F.hour("ts") % 2 == 0))
-    return t.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("outdoor").alias("temp"))
+    """ts, temp: one outdoor value per two hours, at seven minutes past, so that most lookups fall between points."""
+    two_hours = F.date_trunc("hour", F.col("ts") - F.make_interval(hours=F.hour("ts") % 2)) + F.make_interval(mins=F.lit(7))
+    return telemetry(spark, sf_dir).where(F.col("outdoor").isNotNull()).groupBy(two_hours.alias("ts")).agg(F.avg("outdoor").alias("temp"))
 
 
 def peak_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

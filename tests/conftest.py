@@ -5,7 +5,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
-from emberline.session import HOT_ROWS_KEY, QUANTILE_ROWS_KEY, build_session  # noqa: E402
+from emberline.session import HOT_ROWS_KEY, build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,9 +18,7 @@ def spark():
 
 @pytest.fixture
 def chunked(spark):
-    """Limits so low that every series is cut and every quantile is bracketed."""
+    """Limits so low that every series is cut."""
     spark.conf.set(HOT_ROWS_KEY, "7")
-    spark.conf.set(QUANTILE_ROWS_KEY, "5")
     yield
     spark.conf.unset(HOT_ROWS_KEY)
-    spark.conf.unset(QUANTILE_ROWS_KEY)
