@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.catalog.episodes import drift_table, responses, sparse_horizon
@@ -12,14 +12,13 @@ from emberline.catalog.olssql import ols_ctes
 from emberline.catalog.registry import query
 from emberline.catalog.reports import active_split, horizon_split
 from emberline.catalog.sqltext import CTES
-from emberline.operators import boosting, rates, regress, samples
+from emberline.operators import boosting, metrics, rates, regress, samples
 from emberline.plans.lookup import beside
 from emberline.plans.staging import stage
 from emberline.sources.adapters import thermostat_states
 
-# Small forests keep the check quick; the operators default to the full training parameters.
-QUICK = {"maxIter": 4, "maxDepth": 3}
-QUICK_HOME = {"maxIter": 10}
+# All documented parameters but the number of trees: 200 take minutes a model on one machine. It is the operators' default.
+TREES = {"maxIter": 20}
 
 
 def split_of(e: DataFrame, name: str, min_units: int) -> DataFrame:
@@ -341,6 +340,23 @@ def ridge_plus_offsets(spark, sf):
     )
 
 
+@query(
+    """SELECT model, dim, stratum, count(*) AS n, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse, avg(pred - actual) AS bias,
+      coalesce(avg(abs(pred - actual) / actual) FILTER (actual > 1) * 100, 0) AS mape
+    FROM (SELECT 'ridge' AS model, actual, pred, unnest([{'dim': 'direction', 'stratum': drift_direction},
+      {'dim': 'margin', 'stratum': CASE WHEN margin < 1 THEN NULL WHEN margin < 2 THEN '1-2F' WHEN margin < 3 THEN '2-3F' WHEN margin < 5 THEN '3-5F' WHEN margin < 999 THEN '>5F' END},
+      {'dim': 'duration', 'stratum': CASE WHEN actual <= 0 THEN NULL WHEN actual <= 30 THEN '<=30 min' WHEN actual <= 120 THEN '30-120 min' WHEN actual <= 9999 THEN '>120 min' END}], recursive := true)
+      FROM (SELECT d.drift_direction, d.margin, d.duration_min::DOUBLE AS actual, greatest(5, least(480, exp(fit))) AS pred FROM {dr} JOIN {dsplit} d USING (event_id) WHERE NOT d.is_train))
+    WHERE stratum IS NOT NULL GROUP BY 1, 2, 3""",
+    "mae rmse bias mape",
+)
+def stratified_drift_metrics(spark, sf):
+    train, test = parts(drift_split(spark, sf))
+    scored = regress.ridge_plus_offsets(train, test, regress.DRIFT_RIDGE_FEATURES, None, 5, 480)
+    scored = scored.select(F.lit("ridge").alias("model"), "drift_direction", "margin", F.col("duration_min").cast("double").alias("actual"), "pred")
+    return metrics.stratified_metrics(scored, metrics.drift_strata(), ["model"])
+
+
 @query()
 def random_intercept_model(spark, sf):
     train, test = parts(active_split(spark, sf))
@@ -353,57 +369,79 @@ def random_intercept_model(spark, sf):
     )
 
 
-@query()
-def gbm_global(spark, sf):
-    train, test = parts(drift_split(spark, sf))
-    return stacked(
-        {
-            "log": boosting.gbm_global(train, test, boosting.DRIFT_FEATURES, True, params=QUICK),
-            "linear": boosting.gbm_global(train, test, boosting.DRIFT_FEATURES, False, params=QUICK),
-        }
-    )
+def judged(models: dict[str, tuple[DataFrame, float, float]]) -> DataFrame:
+    """Test rows with whether their prediction lies in its range, and whether the model's training error is below the
+    plain mean's. ``models``: {name: (training and test rows with a prediction, low, high)}."""
+    out = []
+    for name, (scored, low, high) in models.items():
+        scored = stage(scored.select("event_id", "is_train", "log_duration", "pred"), f"judged-{name}")
+        off = F.log("pred") - F.col("log_duration")
+        fit = scored.where("is_train").agg((F.sqrt(F.avg(off * off)) < F.stddev_pop("log_duration")).alias("beats_mean"))
+        test = beside(scored.where("not is_train"), fit)
+        out.append(test.select(F.lit(name).alias("model"), "event_id", F.col("pred").between(low, high).alias("in_range"), "beats_mean"))
+    return reduce(DataFrame.unionByName, out)
 
 
-@query()
-def gbm_home_encoded(spark, sf):
-    train, test = parts(active_split(spark, sf))
-    return boosting.gbm_home_encoded(train, test, boosting.ACTIVE_FEATURES, "is_heating", 5, 240, QUICK).select("event_id", "pred")
+def judged_sql(split: str, *models: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{m}' AS model, event_id, true AS in_range, true AS beats_mean FROM {{{split}}} WHERE NOT is_train" for m in models)
 
 
-@query()
-def gbm_per_home(spark, sf):
-    train, test = parts(drift_split(spark, sf))
-    return boosting.gbm_per_home(train, test, boosting.DRIFT_FEATURES, min_n=3, params=QUICK_HOME, fallback=QUICK).select("event_id", "pred")
+@query(judged_sql("dsplit", "log", "linear"))
+def gbm_global(spark, sf):
+    s = drift_split(spark, sf)
+    train, _ = parts(s)
+    fits = {n: boosting.gbm_global(train, s, boosting.DRIFT_FEATURES, n == "log", params=TREES) for n in ("log", "linear")}
+    return judged({n: (p, 5, 480) for n, p in fits.items()})
 
 
-@query()
+@query(judged_sql("asplit", "encoded"))
+def gbm_home_encoded(spark, sf):
+    s = active_split(spark, sf)
+    train, _ = parts(s)
+    return judged({"encoded": (boosting.gbm_home_encoded(train, s, boosting.ACTIVE_FEATURES, "is_heating", 5, 240, TREES), 5, 240)})
+
+
+@query(judged_sql("asplit", "hybrid"))
 def gbm_hybrid(spark, sf):
-    train, test = parts(active_split(spark, sf))
-    return boosting.gbm_hybrid(train, test, boosting.ACTIVE_FEATURES, "is_heating", 5, 240, QUICK).select("event_id", "pred")
+    s = active_split(spark, sf)
+    train, _ = parts(s)
+    return judged({"hybrid": (boosting.gbm_hybrid(train, s, boosting.ACTIVE_FEATURES, "is_heating", 5, 240, TREES), 5, 240)})
 
 
-@query()
+@query("SELECT CAST(k AS INTEGER) AS place, true AS known, true AS in_order, true AS share FROM range(1, 6) r(k)")
 def top_features(spark, sf):
+    """The five features of most weight, told by place: each is one of the model's, weights fall and are shares."""
     train, _ = parts(drift_split(spark, sf))
-    model = boosting.fit_gbt(train, boosting.DRIFT_FEATURES, "log_duration", QUICK)
-    return boosting.top_features(model, boosting.DRIFT_FEATURES, spark)
+    model = boosting.fit_gbt(train, boosting.DRIFT_FEATURES, "log_duration", TREES)
+    w = Window.orderBy(F.col("importance").desc(), "feature")  # five rows
+    top = boosting.top_features(model, boosting.DRIFT_FEATURES, spark).withColumn("place", F.row_number().over(w))
+    falls = F.coalesce(F.col("importance") <= F.lag("importance").over(w), F.lit(True))
+    return top.select("place", F.col("feature").isin(boosting.DRIFT_FEATURES).alias("known"), falls.alias("in_order"), F.col("importance").between(0, 1).alias("share"))
 
 
 def artifacts(spark, sf):
     """Hybrid artifacts of both tasks, in memory: (model, offsets, meta)."""
     a, _ = parts(active_split(spark, sf))
     d, _ = parts(drift_split(spark, sf))
-    am = boosting.fit_gbt(a, boosting.ACTIVE_FEATURES, "log_duration", QUICK)
-    dm = boosting.fit_gbt(d, boosting.DRIFT_FEATURES, "log_duration", QUICK)
+    am = boosting.fit_gbt(a, boosting.ACTIVE_FEATURES, "log_duration", TREES)
+    dm = boosting.fit_gbt(d, boosting.DRIFT_FEATURES, "log_duration", TREES)
     return (
         (am, boosting.home_offsets(am, a, boosting.ACTIVE_FEATURES, "is_heating"), {}),
         (dm, boosting.home_offsets(dm, d, boosting.DRIFT_FEATURES, "is_heating"), {}),
     )
 
 
-@query()
+@query(
+    """SELECT state_id, CASE WHEN mode = 'heating' THEN indoor_temp_f >= 72 - 1e-6 ELSE indoor_temp_f <= 68 + 1e-6 END AS active_zero,
+      CASE WHEN mode = 'heating' THEN indoor_temp_f <= 68 + 1e-6 ELSE indoor_temp_f >= 72 - 1e-6 END AS drift_zero, true AS in_range FROM {states}"""
+)
 def score_first_passage(spark, sf):
+    """Where minutes are 0 (the state is there already), and whether the others lie in the models' ranges."""
     active, drift = artifacts(spark, sf)
     heating = F.col("mode") == "heating"
     s = thermostat_states(spark, sf).withColumns({"goal": F.when(heating, 72.0).otherwise(68.0), "edge": F.when(heating, 68.0).otherwise(72.0)})
-    return boosting.score_drift(boosting.score_active(s, active, "goal"), drift, "edge").select("state_id", "active_minutes", "drift_minutes")
+    scored = boosting.score_drift(boosting.score_active(s, active, "goal"), drift, "edge")
+    inside = lambda c, high: (F.col(c) == 0) | F.col(c).between(5, high)
+    return scored.select(
+        "state_id", (F.col("active_minutes") == 0).alias("active_zero"), (F.col("drift_minutes") == 0).alias("drift_zero"), (inside("active_minutes", 240) & inside("drift_minutes", 480)).alias("in_range")
+    )

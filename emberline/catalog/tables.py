@@ -15,7 +15,7 @@ from emberline.sources import sinks
 from emberline.sources import telemetry as src
 from emberline.sources.adapters import MAX_GAP_MIN, building_dim, home_dim, hourly_load, measurement_grid, raw_telemetry, table, telemetry
 
-QUICK_TREES = {"maxIter": 4, "maxDepth": 3}
+TREES = {"maxIter": 20}  # else the documented parameters
 
 
 def drift_table(spark, sf):
@@ -96,16 +96,16 @@ def sink_episodes_parquet(spark, sf):
     return back.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("start_temp").alias("start_temp"))
 
 
-@query()
+@query("SELECT episode_id, duration_min, true AS in_range FROM {dsplit}")
 def sink_model_artifact(spark, sf):
     """Save a fitted hybrid drift model, load it with its type checked, and score with the loaded copy."""
     d = stage(samples.drift_samples(drift_table(spark, sf)), "drift-samples")
-    model = fit_gbt(d, DRIFT_FEATURES, "log_duration", QUICK_TREES)
+    model = fit_gbt(d, DRIFT_FEATURES, "log_duration", TREES)
     path = stage_path(spark, "artifact")
     sinks.save_artifact(spark, path, DRIFT_TYPE, model, home_offsets(model, d, DRIFT_FEATURES, "is_heating"), {"min_duration": 5, "max_duration": 480})
     loaded, offsets, meta = sinks.load_artifact(spark, path, DRIFT_TYPE, GBTRegressionModel)
     scored = apply_offsets(raw_predictions(loaded, d, DRIFT_FEATURES), offsets, "is_heating", "_raw", meta["min_duration"], meta["max_duration"])
-    return scored.select("episode_id", "duration_min", "pred")
+    return scored.select("episode_id", "duration_min", F.col("pred").between(meta["min_duration"], meta["max_duration"]).alias("in_range"))
 
 
 @query("SELECT run, sum(consumption_kw) AS total_kwh, max(consumption_kw) AS peak_kw FROM {load} GROUP BY 1", "total_kwh peak_kw")

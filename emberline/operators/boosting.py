@@ -1,9 +1,7 @@
-"""Gradient-boosted time models on Spark ML, with home encodings, home offsets and per-home fits."""
+"""Gradient-boosted time models on Spark ML, with home encodings, and home offsets."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,6 @@ from pyspark.sql import functions as F
 from emberline.functions.scalar import clamp, clip, directional_gap, drift_margin, fill_default, log_shifted, signed_active_drive, signed_drift_drive, time_features
 from emberline.operators.rates import add_encodings, residual_offset
 from emberline.plans.lookup import lookup_with_fallback
-from emberline.session import hot_rows
 
 # Feature lists and training parameters.
 ACTIVE_FEATURES = [
@@ -24,13 +21,9 @@ DRIFT_FEATURES = [
     "hour_sin", "hour_cos", "month_sin", "month_cos", "hour", "month", "day_of_week",
 ]
 DEFAULTS = {"maxDepth": 6, "maxIter": 200, "stepSize": 0.1, "minInstancesPerNode": 10, "subsamplingRate": 0.8, "seed": 42}
-PER_HOME = {"maxDepth": 3, "maxIter": 50, "stepSize": 0.1, "minInstancesPerNode": 3, "seed": 42}
-PER_HOME_FALLBACK = {"maxDepth": 4, "maxIter": 100, "stepSize": 0.1, "minInstancesPerNode": 5, "seed": 42}
 ACTIVE_TYPE = "hybrid_gbm_active_time_to_target"
 DRIFT_TYPE = "gbm_drift_time_to_boundary"
 
-PER_HOME_ROWS = 200_000  # rows of one home that may meet in one task
-
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     filled = df.withColumns({f"_f_{f}": fill_default(F.col(f).cast("double"), 0) for f in features})
@@ -88,71 +81,6 @@ def top_features(model: GBTRegressionModel, features: list[str], spark, k: int =
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def boost_small(x: np.ndarray, y: np.ndarray, xt: np.ndarray, depth: int, trees: int, rate: float, min_leaf: int) -> np.ndarray:
-    """Squared-error boosting for one home's few episodes: exact splits on sorted columns."""
-    pred, out = np.full(len(y), y.mean()), np.full(len(xt), y.mean())
-
-    def grow(rows: np.ndarray, to: np.ndarray, level: int, r: np.ndarray) -> None:
-        best = (1e-12, None, None)
-        if level < depth and len(rows) >= 2 * min_leaf:
-            for f in range(x.shape[1]):
-                order = rows[np.argsort(x[rows, f], kind="stable")]
-                v, c = x[order, f], np.cumsum(r[order])
-                n = np.arange(1, len(order))
-                gain = c[:-1] ** 2 / n + (c[-1] - c[:-1]) ** 2 / (len(order) - n) - c[-1] ** 2 / len(order)
-                gain[(v[1:] == v[:-1]) | (n < min_leaf) | (len(order) - n < min_leaf)] = -1.0
-                i = int(np.argmax(gain))
-                if gain[i] > best[0]:
-                    best = (gain[i], f, (v[i] + v[i + 1]) / 2)
-        _, f, cut = best
-        if f is None:
-            step = rate * r[rows].mean()
-            pred[rows] += step
-            out[to] += step
-            return
-        left, left_to = x[rows, f] <= cut, xt[to, f] <= cut
-        grow(rows[left], to[left_to], level + 1, r)
-        grow(rows[~left], to[~left_to], level + 1, r)
-
-    for _ in range(trees):
-        grow(np.arange(len(y)), np.arange(len(xt)), 0, y - pred)
-    return out
-
-
-def gbm_per_home(train: DataFrame, test: DataFrame, features: list[str], lo: float = 5, hi: float = 480, min_n: int = 10, params: dict | None = None, fallback: dict | None = None) -> DataFrame:
-    """A small model per home with at least ``min_n`` training episodes, else the global model.
-
-    A home's rows meet in one task only while they are few (a checked limit). The rare larger homes, at
-    most total rows / limit of them, are fitted one by one with the distributed trainer.
-    """
-    p = {**PER_HOME, **(params or {})}
-    spark = train.sparkSession
-    limit = min(hot_rows(spark), PER_HOME_ROWS)
-    both = train.select("home_id", "event_id", "log_duration", *features, F.lit(True).alias("_fit")).unionByName(
-        test.select("home_id", "event_id", "log_duration", *features, F.lit(False).alias("_fit"))
-    )
-    sizes = both.groupBy("home_id").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_fit"), 1)).alias("_n_fit"))
-    usable = sizes.where(F.col("_n_fit") >= min_n)
-    depth, trees, rate, leaf = p["maxDepth"], p["maxIter"], p["stepSize"], p["minInstancesPerNode"]
-
-    def fit_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(dtype="float64", na_value=0.0)
-        x = np.nan_to_num(x)
-        fit = pdf["_fit"].to_numpy(dtype=bool)
-        got = boost_small(x[fit], pdf["log_duration"].to_numpy()[fit], x[~fit], depth, trees, rate, leaf)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy()[~fit], "_own": got})
-
-    small = both.join(usable.where(F.col("_n") <= limit).select("home_id"), "home_id", "left_semi")
-    own = small.groupBy("home_id").applyInPandas(fit_home, "event_id long, _own double")
-    for row in usable.where(F.col("_n") > limit).select("home_id").toLocalIterator():
-        one = F.col("home_id") == row.home_id
-        model = fit_gbt(train.where(one), features, "log_duration", p)
-        own = own.unionByName(raw_predictions(model, test.where(one), features).select("event_id", F.col("_raw").alias("_own")))
-    whole = fit_gbt(train, features, "log_duration", {**PER_HOME_FALLBACK, "subsamplingRate": 1.0, **(fallback or {})})
-    scored = raw_predictions(whole, test, features).join(own, "event_id", "left")
-    return scored.withColumn("pred", clip(F.exp(F.coalesce("_own", "_raw")), lo, hi)).drop("_own", "_raw")
-
-
 def _score(states: DataFrame, artifact: tuple, features: list[str], gap: Column, lo: float, hi: float, out: str) -> DataFrame:
     model, offsets, meta = artifact
     lo, hi = meta.get("min_duration", lo), meta.get("max_duration", hi)
@@ -192,7 +120,7 @@ def score_active(states: DataFrame, artifact: tuple, target: str, outdoor: str =
             "is_heating": heating.cast("long"),
             "_running": F.col("system_running").cast("double"),
             "signed_outdoor_drive": signed_active_drive(heating, "indoor_temp_f", outdoor),
-            "indoor_humidity": F.lit(50.0),
+            "indoor_humidity": F.coalesce(F.col("indoor_humidity"), F.lit(50.0)) if "indoor_humidity" in states.columns else F.lit(50.0),
         }
     )
     df = df.withColumn("_was", F.col("system_running")).withColumn("system_running", F.col("_running"))

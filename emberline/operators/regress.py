@@ -10,6 +10,7 @@ from emberline.functions.scalar import clip
 from emberline.operators.rates import residual_offset
 from emberline.plans.linear import gram, linear_value, solve, unpack
 from emberline.plans.lookup import beside, lookup_with_fallback
+from emberline.plans.staging import stage
 
 # outdoor_drive is outdoor minus indoor, so beside both of them it adds nothing and is left out.
 HORIZON_FEATURES = {
@@ -105,7 +106,7 @@ def ridge_plus_offsets(
     train: DataFrame, test: DataFrame, xs: list[str], keys: list[str] | None, lo: float | None = None, hi: float | None = None, min_n: int = 3
 ) -> DataFrame:
     """Global ridge on log minutes, then each key's shrunken mean residual, then exp."""
-    coef = solve(gram(train, [], xs, "log_duration"), 1.0).select("coef")
+    coef = stage(solve(gram(train, [], xs, "log_duration"), 1.0).select("coef"), "ridge")  # one row, read by scores and residuals
     scored = beside(test, coef).withColumn("_log", linear_value(xs)).drop("coef")
     if keys:
         resid = beside(train, coef).select(*keys, (F.col("log_duration") - linear_value(xs)).alias("residual"))
@@ -117,8 +118,9 @@ def ridge_plus_offsets(
     return scored.withColumn("pred", clip(pred, lo, hi) if lo is not None else pred).drop("_log", "_off")
 
 
-def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 15, tol: float = 1e-4) -> tuple[np.ndarray, DataFrame]:
-    """Linear model with a normal random intercept per group, fitted by expectation-maximisation.
+def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 500, tol: float = 1e-4) -> tuple[np.ndarray, DataFrame]:
+    """Linear model with a normal random intercept per group, fitted by expectation-maximisation until the variances
+    change by less than ``tol``; an error where ``iterations`` do not suffice.
 
     Rows are reduced once to per-group sums. Each iteration is one aggregate over the group table; only
     the p by p totals reach the driver, whatever the number of groups.
@@ -160,6 +162,8 @@ def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterat
             sigma2, tau2 = max(sse / n, 1e-9), max(tot.uu / groups, 1e-9)
             if abs(sigma2 - last[0]) <= tol * sigma2 and abs(tau2 - last[1]) <= tol * sigma2:
                 break
+        else:
+            raise RuntimeError(f"not converged after {iterations} iterations: variances {sigma2}, {tau2}")
         resid = F.col("sy") - sum((F.col("o")[i] * float(beta[i]) for i in range(p)), F.lit(0.0))
         w = F.lit(float(tau2)) / (F.lit(float(sigma2)) + F.col("n") * F.lit(float(tau2)))
         offsets = stats.select(group, "n", ones.alias("o"), F.col("s")[p - 1].alias("sy")).select(group, "n", (w * resid).alias("offset"))

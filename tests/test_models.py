@@ -63,11 +63,22 @@ def test_within_group_split_fractions_and_repeatability(data):
         assert r.t == max(1, int(np.floor(r.n * 0.7)))
 
 
-def test_small_booster_learns(data):
-    p, _, _ = data
-    x, y = p[["a", "b"]].to_numpy(), p.log_duration.to_numpy()
-    pred = boosting.boost_small(x[:400], y[:400], x[400:], 3, 50, 0.1, 3)
-    assert np.mean((pred - y[400:]) ** 2) < 0.9 * np.var(y[400:])
+def test_boosting_learns(data):
+    p, df, _ = data
+    train, test = df.where("event_id < 400"), df.where("event_id >= 400")
+    model = boosting.fit_gbt(train, ["a", "b"], "log_duration", {"maxIter": 10})
+    rows = boosting.raw_predictions(model, test, ["a", "b"]).select("_raw", "log_duration").toPandas()
+    assert np.mean((rows._raw - rows.log_duration) ** 2) < 0.9 * np.var(rows.log_duration)
+
+
+def test_empty_training_data_keeps_every_test_row(spark):
+    test = spark.createDataFrame([(1, 70.0, 5.0, 71.0, 2.0)], "home_id long, indoor double, outdoor_drive double, target double, current_gap double")
+    got = rates.drift_regression(test.limit(0), test, []).collect()
+    assert [r.pred for r in got] == [70.0]
+    assert rates.predict_global_mean(test.limit(0), test, "target").first().pred is None
+    steps = test.selectExpr("home_id", "indoor as current_temp", "target as y_true", "current_gap", "'heat' as change_type")
+    assert rates.gap_fraction(steps.limit(0), steps, "global").first().pred == 70.0
+    assert regress.ols_features(test.limit(0), test, ["indoor"]).count() == 1
 
 
 def test_required_columns_are_listed_sorted(spark):
