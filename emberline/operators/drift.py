@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalar import drift_direction, episode_id, equipment_running
 from emberline.plans.series import Series, telemetry_series
+from emberline.plans.staging import stage
 from emberline.schema import MEASURES, RUNTIME_COLUMNS
+from emberline.session import ship_package
 
 # Thresholds of the segmentation.
 MIN_DELTA_F = 3.0
@@ -110,12 +112,17 @@ def time_since_off(t: DataFrame, max_gap: float = MAX_GAP_MIN) -> DataFrame:
 
 
 START = ["start_ts", "start_temp", "start_outdoor", "start_heat", "start_cool", "slope_in_3", "slope_in_6", "slope_out_3", "slope_out_6", "off_min"]
-RUN_SCHEMA = (
-    "home_id long, month int, island long, run long, seg_rn long, start_ts timestamp, start_temp double, start_outdoor double,"
+START_SCHEMA = (
+    "island long, run long, seg_rn long, start_ts timestamp, start_temp double, start_outdoor double,"
     " start_heat double, start_cool double, slope_in_3 double, slope_in_6 double, slope_out_3 double, slope_out_6 double, off_min double"
 )
 
 
+def carried(t: DataFrame) -> list[str]:
+    """Columns that segments take along as they are: event ids, states, splits, whatever the table has besides the readings."""
+    return [c for c in t.columns if c not in ("home_id", "month", "ts", *MEASURES)]
+
+
 def _anchor_walk(max_change: float):
     """Greedy anchoring over runs sorted by (home, month, island, run); state is one anchor, whatever the size."""
 
@@ -157,8 +164,15 @@ def drift_segments(
     max_gap: float = MAX_GAP_MIN,
     columns: list[str] = RUNTIME_COLUMNS,
 ) -> DataFrame:
-    """Every row that belongs to a candidate segment, with its index in it and the start row's attributes."""
-    s = telemetry_series(with_equipment(t, columns), by_month=True).row_number()
+    """Every row that belongs to a candidate segment, with its index in it and the start row's attributes.
+
+    Home ids keep their type and other columns pass through. The table is read once: whether a home-month has equipment
+    is a sum in the partitioning all steps share, and the off rows are written before runs and segments read them.
+    """
+    used = F.lit(False)
+    for c in columns:
+        used = used | F.coalesce(F.col(c) > 0, F.lit(False))
+    s = telemetry_series(t, by_month=True).row_number().total({"_used": used.cast("long")}).where(F.col("_used") > 0)
     add_gap(s)
     add_recent_slopes(s, ["indoor", "outdoor"], [3, 6], max_gap)
     add_time_since_off(s, max_gap, columns)
@@ -171,7 +185,7 @@ def drift_segments(
             "run": (F.col("off") & moved).cast("long"),
         }
     )
-    rows = s.done().where("off").drop("_h", "_c", "prev_ts", "gap_min", "breaks", "off")
+    rows = stage(s.done().where("off").drop("_h", "_c", "_used", "prev_ts", "gap_min", "breaks", "off"), "drift-rows")
     elig = F.abs(F.col("indoor") - F.col("outdoor")) >= min_delta
     first = F.struct(
         F.col("rn").alias("elig_rn"),
@@ -186,6 +200,7 @@ def drift_segments(
         F.col("outdoor_slope_6").alias("slope_out_6"),
         F.col("off_min"),
     )
+    ship_package(t.sparkSession)
     runs = rows.groupBy("home_id", "month", "island", "run").agg(
         F.min("heat0").alias("heat"), F.min("cool0").alias("cool"), F.min_by(first, F.when(elig, F.col("rn"))).alias("f")
     )
@@ -193,9 +208,9 @@ def drift_segments(
         runs.select("home_id", "month", "island", "run", "heat", "cool", "f.*")
         .repartition("home_id", "month", "island")
         .sortWithinPartitions("home_id", "month", "island", "run")
-        .mapInPandas(_anchor_walk(max_change), RUN_SCHEMA)
+        .mapInPandas(_anchor_walk(max_change), f"home_id {t.schema['home_id'].dataType.simpleString()}, month {t.schema['month'].dataType.simpleString()}, {START_SCHEMA}")
     )
-    keep = ["home_id", "month", "island", "run", "rn", "ts", "event_id", *MEASURES]
+    keep = ["home_id", "month", "island", "run", "rn", "ts", *carried(t), *MEASURES]
     joined = rows.select(*keep).join(walked, ["home_id", "month", "island", "run"])
     return joined.where(F.col("rn") >= F.col("seg_rn")).withColumn("timestep_idx", (F.col("rn") - F.col("seg_rn")).cast("long"))
 
@@ -261,7 +276,7 @@ def drift_episodes(
         "home_id",
         episode_id("home_id", F.lit("drift"), "start_ts").alias("episode_id"),
         F.col("ts").alias("timestamp"),
-        "event_id",
+        *carried(t),
         "timestep_idx",
         "drift_direction",
         "start_temp",

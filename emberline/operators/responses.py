@@ -15,20 +15,13 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalar import episode_id, nan_to_null
 from emberline.plans.series import telemetry_series
+from emberline.plans.staging import stage
 from emberline.schema import MEASURES
+from emberline.session import ship_package
 
 MIN_CHANGE_F = 1.0
 TARGET_TOLERANCE_F = 0.5
 
-WALK = ["start_rn", "start_ts", "kind", "target_setpoint", "start_temp", "reached"]
-BASE = ["home_id", "month", "block", "rn", "ts", "event_id", *MEASURES]
-WALK_SCHEMA = (
-    "home_id long, month int, block long, rn long, ts timestamp, event_id long, indoor double, outdoor double, heat_sp double,"
-    " cool_sp double, humidity double, heat_run double, cool_run double, start_rn long, start_ts timestamp, kind string,"
-    " target_setpoint double, start_temp double, reached int"
-)
-
-
 def _respond(tol: float):
     """State machine over rows sorted by (home, month, block, rn). State is one open episode."""
 
@@ -38,7 +31,7 @@ def _respond(tol: float):
             keys = list(zip(pdf["home_id"], pdf["month"], pdf["block"]))
             indoor, heat, cool = (pdf[c].to_numpy(dtype="float64") for c in ("indoor", "heat_sp", "cool_sp"))
             zero, trig = pdf["zero"].to_numpy(), pdf["trigger"].to_numpy()
-            rn, ts = pdf["rn"].to_numpy(), list(pdf["ts"])
+            rn = pdf["rn"].to_numpy()
             rows, picks = [], []
             for i, key in enumerate(keys):
                 if key != block:
@@ -47,21 +40,20 @@ def _respond(tol: float):
                     if trig[i] is None:
                         continue
                     rising = trig[i] == "heat_increase"
-                    open_ep = (rn[i], ts[i], trig[i], heat[i] if rising else cool[i], indoor[i])
+                    open_ep = (rn[i], rising, heat[i] if rising else cool[i])
                 else:
-                    rising = open_ep[2] == "heat_increase"
+                    rising = open_ep[1]
                     setpoint = heat[i] if rising else cool[i]
-                    if zero[i] or abs(setpoint - open_ep[3]) > tol:
+                    if zero[i] or abs(setpoint - open_ep[2]) > tol:
                         open_ep = None  # this row is consumed: it cannot start the next episode
                         continue
-                reached = indoor[i] >= open_ep[3] if rising else indoor[i] <= open_ep[3]
+                reached = indoor[i] >= open_ep[2] if rising else indoor[i] <= open_ep[2]
                 rows.append(i)
-                picks.append((*open_ep, int(reached)))
+                picks.append((open_ep[0], int(reached)))
                 if reached:
                     open_ep = None
-            out = pdf.iloc[rows][BASE].reset_index(drop=True)
-            got = pd.DataFrame(picks, columns=WALK)
-            got = got.astype({"start_rn": "int64", "start_ts": "datetime64[ns]", "target_setpoint": "float64", "start_temp": "float64", "reached": "int32"})
+            out = pdf.iloc[rows][["home_id", "month", "rn"]].reset_index(drop=True)
+            got = pd.DataFrame(picks, columns=["start_rn", "reached"]).astype({"start_rn": "int64", "reached": "int32"})
             yield pd.concat([out, got], axis=1)
 
     return walk
@@ -71,8 +63,11 @@ def setpoint_responses(raw: DataFrame, min_change: float = MIN_CHANGE_F, tol: fl
     """Step table of episodes that reached their target.
 
     Works on readings with sentinels: a zero temperature or setpoint ends an episode, while a NaN one only
-    makes its comparisons false.
+    makes its comparisons false. Home ids keep their type; columns besides the readings pass through. Only places,
+    readings and triggers go through the walk; its steps find their rows, written once, by place.
     """
+    ship_package(raw.sparkSession)
+    extra = [c for c in raw.columns if c not in ("home_id", "month", "ts", *MEASURES)]
     i, h, c = (nan_to_null(x) for x in ("indoor", "heat_sp", "cool_sp"))
     off = F.lit(False)
     s = telemetry_series(raw, by_month=True).row_number()
@@ -86,20 +81,33 @@ def setpoint_responses(raw: DataFrame, min_change: float = MIN_CHANGE_F, tol: fl
     s.cumsum({"block": F.coalesce("_ps", F.lit(True)).cast("long")})
     s.last_seen({"_trig_at": F.when(F.col("trigger").isNotNull(), F.col("block"))})
     # Rows before the first trigger of their block cannot belong to an episode.
-    live = s.done().where(F.col("_trig_at") == F.col("block"))
+    live = stage(s.done().where(F.col("_trig_at") == F.col("block")).select("home_id", "month", "block", "rn", "ts", *extra, *MEASURES, "zero", "trigger"), "response-rows")
+    place = ["home_id", "month", "rn"]
+    types = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in ("home_id", "month"))
     walked = (
-        live.select(*BASE, "zero", "trigger")
+        live.select(*place, "block", "indoor", "heat_sp", "cool_sp", "zero", "trigger")
         .repartition("home_id", "month", "block")
         .sortWithinPartitions("home_id", "month", "block", "rn")
-        .mapInPandas(_respond(tol), WALK_SCHEMA)
+        .mapInPandas(_respond(tol), f"{types}, rn long, start_rn long, reached int")
+    )
+    rising = F.col("trigger") == "heat_increase"
+    starts = live.where("trigger is not null").select(
+        "home_id",
+        "month",
+        F.col("rn").alias("start_rn"),
+        F.col("ts").alias("start_ts"),
+        F.col("trigger").alias("kind"),
+        F.when(rising, F.col("heat_sp")).otherwise(F.col("cool_sp")).alias("target_setpoint"),
+        F.col("indoor").alias("start_temp"),
     )
     ep = Window.partitionBy("home_id", "month", "start_rn")
-    kept = walked.withColumns({"_done": F.max("reached").over(ep), "n_steps": F.count(F.lit(1)).over(ep)}).where(F.col("_done") == 1)
+    steps = walked.withColumns({"_done": F.max("reached").over(ep), "n_steps": F.count(F.lit(1)).over(ep)}).where(F.col("_done") == 1)
+    kept = steps.join(starts, ["home_id", "month", "start_rn"]).join(live.drop("block", "zero", "trigger"), place)
     return kept.select(
         "home_id",
         "month",
         F.col("ts").alias("timestamp"),
-        "event_id",
+        *extra,
         episode_id("home_id", "kind", "start_ts").alias("episode_id"),
         F.col("kind").alias("change_type"),
         "target_setpoint",

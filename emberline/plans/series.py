@@ -221,7 +221,8 @@ class Series:
 
 def telemetry_series(df: DataFrame, by_month: bool = False) -> Series:
     keys = ["home_id", "month"] if by_month else ["home_id"]
-    return Series(df, keys, ["ts", "event_id"], epoch("ts"))
+    # Readings at one instant follow their event id where the table has one.
+    return Series(df, keys, [c for c in ("ts", "event_id") if c in df.columns], epoch("ts"))
 
 
 def hash_series(df: DataFrame, keys: list[str], unit: str, seed: int) -> Series:
