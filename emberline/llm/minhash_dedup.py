@@ -155,8 +155,10 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (128-bit set hash, map-side combined). 2. Each class is entered in the multi-index; buckets of one class are dropped.
     3. In each bucket every class is held against the smallest one: pairs within the signature radius are confirmed on whole sets, and
     joined to components. Copies of a text so cost one comparison each, however many they are. 4. Buckets that still hold
-    several components are compared in full, in blocks over many tasks and without writing pairs out: only those of two
-    components, of sizes that allow the similarity and within the radius are confirmed. So no link that joins components within the radius is left out.
+    several components are compared in full, in blocks over many tasks, and a pair only in its first common bucket. Shingles
+    that no other document of these buckets has bound each intersection from above: documents and pairs whose bound is
+    below the similarity cannot link and are let go. Pairs of two components within the radius are confirmed on whole
+    sets. So no link within the radius that joins components is left out.
 
     ``percent`` should be 80 or more. The chance that a pair just at the threshold lies outside the radius is ``index.miss(percent / 100)``.
     Null or blank text has no shingles: n_shingles 0, its own component, kept. Null ids are allowed; component_id is the smallest id that is not
@@ -210,14 +212,18 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = stage(multi.drop("hub").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "minhash-placed")
     unstage(multi)
     split = stage(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "minhash-split")
-    open_rows = placed.join(split, "key").join(sig, "id").select("key", "n", "id", "component", "n_shingles", "sig")
+    left = stage(placed.join(split, "key").select("id").distinct().join(classes.select("id", "n_shingles"), "id"), "minhash-left")
+    left = _linkable(left, texts, percent)
+    open_rows = placed.join(split, "key").join(left, "id").join(classes.select("id", "sig"), "id").select("key", "n", "id", "component", "n_shingles", "own", "sig")
 
     def crossing(c, left, right):
         size, comp, sigs = c["n_shingles"], c["component"], c["sig"]
+        most = size - c["own"]
         found = []
         for k in range(0, len(left), 64):
             part = left[k : k + 64]
-            fit = (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(size[part][:, None], size[right][None, :]) >= percent * np.maximum(size[part][:, None], size[right][None, :]))
+            bound = np.minimum(most[part][:, None], most[right][None, :])
+            fit = (comp[part][:, None] != comp[right][None, :]) & (100 * bound >= percent * (size[part][:, None] + size[right][None, :] - bound))
             i, j = np.nonzero(fit)
             i, j = part[i], right[j]
             once = i < j if left is right else np.ones(len(i), bool)
@@ -227,7 +233,11 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         i, j = np.concatenate(found, 1)
         if not len(i):
             return None
-        return {"a": c["id"][i], "b": c["id"][j]}
+        rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+        keys = index.keys(sigs[rows]).view(np.int64)
+        i_keys, j_keys = keys[at[: len(i)]], keys[at[len(i) :]]
+        first = i_keys[np.arange(len(i)), (i_keys == j_keys).argmax(1)] == c["key"][i]
+        return {"a": c["id"][i[first]], "b": c["id"][j[first]]} if first.any() else None
 
     rest = stage(compared(open_rows, block_rows, crossing, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "minhash-rest")
     more = confirmed(rest, "minhash-more")
@@ -241,6 +251,32 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("did").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("did") == component, F.lit(True)).alias("kept"))
 
 
+def _linkable(left: DataFrame, texts: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """Those of ``left`` (id, n_shingles) that may have a link among them, with ``own``: shingles no other one has.
+
+    An intersection holds none of a document's own shingles, so it has n_shingles - own at most, and a union n_shingles at least.
+    Documents let go in one round leave others with more shingles of their own in the next.
+    """
+
+    def exploded(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
+                if sets:
+                    ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
+
+    held = stage(texts.join(left.select("id"), "id", "left_semi").mapInArrow(exploded, "id long, shingle long"), "minhash-shingles")
+    for _ in range(rounds):
+        single = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+        own = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        left = left.select("id", "n_shingles").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        left = stage(left.filter(100 * (F.col("n_shingles") - F.col("own")) >= percent * F.col("n_shingles")), "minhash-left")
+        held = held.join(left.select("id"), "id", "left_semi")
+    return left
+
+
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, text) of one row of each wanted class. An id that repeats with other texts is told apart by its set's hash."""
 
