@@ -13,7 +13,7 @@ SAMPLE = [
     "grid_to_long", "mode_episodes", "setpoint_changes", "horizon_samples", "setpoint_responses", "gradient_totals", "policy_kpis",
     "sanity_checks", "baseline_relative", "stratified_home_split", "peak_decision", "validate_domain", "log_log_ridge",
 ]
-CHUNKED = ["mode_episodes", "asof_interpolate", "daily_par"]
+CHUNKED = ["mode_episodes", "asof_interpolate", "daily_par", "setpoint_changes", "horizon_samples", "drift_episodes", "policy_kpis", "window_overlap_check", "within_home_split", "dense_episode_ids"]
 
 
 @pytest.fixture(scope="module")

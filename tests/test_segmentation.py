@@ -130,3 +130,15 @@ def test_row_that_breaks_a_response_cannot_start_one(spark):
     # A jump of exactly one degree is no trigger.
     rows = [(0, 66, 50, 66, 80, 0), (5, 66, 50, 67, 80, 0), (10, 67, 50, 67, 80, 0)]
     assert responses.setpoint_responses(spark.createDataFrame(series(rows), TELEMETRY)).count() == 0
+
+
+def test_text_ids_no_event_ids_and_columns_that_pass_through(spark):
+    raw = raw_frame(spark, SEEDS[:4])
+    named = raw.withColumns({"home_id": F.sha2(F.col("home_id").cast("string"), 256), "state": F.lit("TX"), "split": F.lit("test"), "outdoor_humidity": F.col("outdoor") / 2}).drop("event_id")
+    for build, labels in ((lambda t: drift.drift_episodes(cleaned(t)), "drift_direction"), (responses.setpoint_responses, "change_type")):
+        old, new = build(raw), build(named)
+        assert dict(new.dtypes)["home_id"] == "string" and {"state", "split", "outdoor_humidity"} <= set(new.columns) and "event_id" not in new.columns
+        cols = ["timestamp", "timestep_idx", labels, "indoor"]
+        want = sorted(tuple(map(str, r)) for r in old.select(F.sha2(F.col("home_id").cast("string"), 256), *cols).collect())
+        assert sorted(tuple(map(str, r)) for r in new.select("home_id", *cols).collect()) == want and want
+        assert new.where("outdoor_humidity <> outdoor / 2 or state <> 'TX'").count() == 0

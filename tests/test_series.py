@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.plans.quantiles import bracketed_quantiles
+from emberline.plans.quantiles import bracketed_quantiles, quantiles
 from emberline.plans.series import Series
 
 
@@ -40,6 +40,36 @@ def test_chunked_equals_plain(spark, limit):
     assert got == want
 
 
+def test_null_keys_null_sums_bursts_and_ties(spark):
+    """Null keys and values, most rows at one instant, and rows that no position tells apart."""
+    rows = [(None if i % 3 else 0, 5 if i < 200 else i, i, None if i % 7 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, p long, i long, v double")
+
+    def walk(limit):
+        s = Series(df, ["k"], ["p", "i"], F.col("p").cast("double"), limit)
+        s.shift({"a": (F.col("v"), 1), "b": (F.col("i"), -3)}).cumsum({"cs": F.col("v")}).row_number().total({"n": F.lit(1), "t": F.col("v")})
+        s.last_seen({"ls": F.col("v")}).next_seen({"ns": F.col("v")})
+        return s.chunked, s.done().select("k", "p", "i", "v", "a", "b", "cs", "rn", "n", "t", "ls", "ns").orderBy("i").collect()
+
+    hot, got = walk(10)
+    cold, want = walk(10**6)
+    assert hot and not cold and got == want
+
+
+def test_a_burst_is_cut_into_even_chunks(spark):
+    rows = [(0, i if i < 10 else 10**6 + i, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, p long, i long")
+    s = Series(df, ["k"], ["p", "i"], F.col("p").cast("double"), 100)
+    assert max(r["count"] for r in s.df.groupBy("_chunk").count().collect()) <= 100
+
+
+def test_quantiles_skip_nan_and_null(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, 3.0), (1, None), (2, float("nan"))], "g long, v double")
+    got = {r.g: r for r in quantiles(df, ["g"], F.col("v"), {"q": 0.5}).collect()}
+    assert got[1].q == 2.0 and got[2].q is None
+    assert quantiles(df.limit(0), [], F.col("v"), {"q": 0.5}).first().q is None
+
+
 def test_bracketed_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 2, 60000) * (rng.random(60000) < 0.3), "v": np.round(rng.lognormal(2, 1, 60000), 3)})
