@@ -118,9 +118,9 @@ def ridge_plus_offsets(
     return scored.withColumn("pred", clip(pred, lo, hi) if lo is not None else pred).drop("_log", "_off")
 
 
-def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 500, tol: float = 1e-4) -> tuple[np.ndarray, DataFrame]:
+def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 200, tol: float = 1e-5) -> tuple[np.ndarray, DataFrame]:
     """Linear model with a normal random intercept per group, fitted by expectation-maximisation until the variances
-    change by less than ``tol``; an error where ``iterations`` do not suffice.
+    change by less than the share ``tol``; an error where ``iterations`` do not suffice.
 
     Rows are reduced once to per-group sums. Each iteration is one aggregate over the group table; only
     the p by p totals reach the driver, whatever the number of groups.
@@ -146,24 +146,39 @@ def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterat
         tau2 = sigma2 / 2
         ones = F.array(F.col("n").cast("double"), *[F.col("s")[i] for i in range(p - 1)])
         sums = stats.select("n", ones.alias("o"), F.col("s")[p - 1].alias("sy"))
-        for _ in range(iterations):
-            resid = F.col("sy") - sum((F.col("o")[i] * float(beta[i]) for i in range(p)), F.lit(0.0))
-            w = F.lit(tau2) / (F.lit(sigma2) + F.col("n") * F.lit(tau2))
-            tot = sums.withColumns({"u": w * resid, "v": w * F.lit(sigma2)}).agg(
+        def step(theta: np.ndarray) -> np.ndarray:
+            """One round of expectation and maximisation: (log sigma2, log tau2, beta)."""
+            s2, t2, b = float(np.exp(theta[0])), float(np.exp(theta[1])), theta[2:]
+            resid = F.col("sy") - sum((F.col("o")[i] * float(b[i]) for i in range(p)), F.lit(0.0))
+            w = F.lit(t2) / (F.lit(s2) + F.col("n") * F.lit(t2))
+            tot = sums.withColumns({"u": w * resid, "v": w * F.lit(s2)}).agg(
                 F.sum(F.col("u") * F.col("u") + F.col("v")).alias("uu"),
                 F.sum(F.col("n") * (F.col("u") * F.col("u") + F.col("v"))).alias("nuu"),
                 F.sum(F.col("u") * F.col("sy")).alias("uy"),
                 F.array(*[F.sum(F.col("u") * F.col("o")[i]) for i in range(p)]).alias("ux"),
             ).first()
             ux = np.array(tot.ux)
-            beta = np.linalg.lstsq(sx, sxy - ux, rcond=1e-10)[0]
-            sse = syy - 2 * beta @ sxy + beta @ sx @ beta - 2 * tot.uy + 2 * beta @ ux + tot.nuu
-            last = sigma2, tau2
-            sigma2, tau2 = max(sse / n, 1e-9), max(tot.uu / groups, 1e-9)
-            if abs(sigma2 - last[0]) <= tol * sigma2 and abs(tau2 - last[1]) <= tol * sigma2:
+            b = np.linalg.lstsq(sx, sxy - ux, rcond=1e-10)[0]
+            sse = syy - 2 * b @ sxy + b @ sx @ b - 2 * tot.uy + 2 * b @ ux + tot.nuu
+            return np.concatenate(([np.log(max(sse / n, 1e-9)), np.log(max(tot.uu / groups, 1e-9))], b))
+
+        # Squared extrapolation (Varadhan and Roland 2008): two rounds give a step and its change; the round after steadies it.
+        theta = np.concatenate(([np.log(sigma2), np.log(tau2)], beta))
+        for _ in range(iterations):
+            one = step(theta)
+            if np.abs(one[:2] - theta[:2]).max() <= tol:
+                theta = one
                 break
+            two = step(one)
+            r, v = one[:2] - theta[:2], two[:2] - 2 * one[:2] + theta[:2]
+            length = max(1.0, np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300))
+            jump = two.copy()
+            jump[:2] = np.clip(theta[:2] + 2 * length * r + length * length * v, two[:2] - 3, two[:2] + 3)
+            jump[:2] = np.maximum(jump[:2], np.log(1e-9))
+            theta = step(jump)
         else:
-            raise RuntimeError(f"not converged after {iterations} iterations: variances {sigma2}, {tau2}")
+            raise RuntimeError(f"not converged after {iterations} rounds: variances {np.exp(theta[:2])}")
+        sigma2, tau2, beta = float(np.exp(theta[0])), float(np.exp(theta[1])), theta[2:]
         resid = F.col("sy") - sum((F.col("o")[i] * float(beta[i]) for i in range(p)), F.lit(0.0))
         w = F.lit(float(tau2)) / (F.lit(float(sigma2)) + F.col("n") * F.lit(float(tau2)))
         offsets = stats.select(group, "n", ones.alias("o"), F.col("s")[p - 1].alias("sy")).select(group, "n", (w * resid).alias("offset"))

@@ -63,7 +63,7 @@ def setpoint_responses(raw: DataFrame, min_change: float = MIN_CHANGE_F, tol: fl
     """Step table of episodes that reached their target.
 
     Works on readings with sentinels: a zero temperature or setpoint ends an episode, while a NaN one only
-    makes its comparisons false. Home ids keep their type; columns besides the readings pass through. Only places,
+    makes its comparisons false and is NULL in the result. Home ids keep their type; columns besides the readings pass through. Only places,
     readings and triggers go through the walk; its steps find their rows, written once, by place.
     """
     ship_package(raw.sparkSession)
@@ -115,7 +115,7 @@ def setpoint_responses(raw: DataFrame, min_change: float = MIN_CHANGE_F, tol: fl
         F.abs(F.col("target_setpoint") - F.col("start_temp")).alias("initial_gap"),
         (F.col("rn") - F.col("start_rn")).cast("long").alias("timestep_idx"),
         "n_steps",
-        *MEASURES,
+        *[nan_to_null(m).alias(m) for m in MEASURES],
     )
 
 

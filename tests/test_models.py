@@ -40,7 +40,7 @@ def test_collinear_fit_predicts_like_least_squares(data):
 
 def test_random_intercept_recovers_home_effects(data):
     _, df, effect = data
-    beta, offsets = regress.random_intercept(df, "home_id", ["a", "b"], "log_duration", 30)
+    beta, offsets = regress.random_intercept(df, "home_id", ["a", "b"], "log_duration")
     got = np.array([r.offset for r in offsets.orderBy("home_id").collect()])
     assert np.allclose(beta[1:], [0.02, -0.03], atol=0.01)
     assert np.corrcoef(got, effect)[0, 1] > 0.98
