@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.plans.series import Series, epoch
+from emberline.plans.series import Series, epoch, null_safe_join
 
 
-def _merge(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str) -> Series:
-    """Left rows and reference points on one ordered line; points sort before rows at the same instant."""
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str, out: str, mode: str = "backward", cell_min: int = 60) -> DataFrame:
+    """Attach ``value`` of the reference series to every left row.
+
+    ``backward``: latest point at or before the row. ``interpolate``: linear in time between neighbours.
+    NULL where the series does not reach; null keys match each other.
+
+    Rows and points are put in cells of ``cell_min`` minutes. Inside a cell (and key) they form one ordered line, points
+    before rows at the same instant. What a cell needs from outside is the nearest point in an earlier or later cell: a
+    table with one row per key and cell, from a map-side combined aggregate. So no task gets more than a cell, and an empty
+    ``by`` is as safe as any key.
+    """
+    if mode not in ("backward", "interpolate"):
+        raise ValueError(f"unknown mode {mode!r}")
+    cell = F.floor(F.unix_micros("_t") / F.lit(cell_min * 60_000_000)).alias("_cell")
     row = F.struct(*[F.col(c) for c in left.columns])
     lines = left.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast("double").alias("_v"))
     marks = right.select(
         *by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(lines.schema["_row"].dataType).alias("_row"), F.col(value).cast("double").alias("_v")
     )
-    return Series(lines.unionByName(marks), by, ["_t", "_side"], epoch("_t"))
-
-
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str, out: str, mode: str = "backward") -> DataFrame:
-    """Attach ``value`` of the reference series to every left row.
-
-    ``backward``: latest point at or before the row. ``interpolate``: linear in time between neighbours.
-    NULL where the series does not reach. One shuffle of both sides; an empty ``by`` is safe as well,
-    since the line is cut into chunks when it is long.
-    """
-    s = _merge(left, right, by, ts, value)
+    line = lines.unionByName(marks).select("*", cell)
     point = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    s.last_seen({"_p": point})
+    at = F.when(F.col("_side") == 0, F.col("_t"))
+    ends = line.groupBy(*by, "_cell").agg(F.max_by(point, at).alias("_last"), F.min_by(point, at).alias("_first"))
+    cells = Window.partitionBy(*by or [F.lit(0)])  # a row per cell
+    before = cells.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = cells.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = {"_past": F.last("_last", ignorenulls=True).over(before), "_next": F.last("_first", ignorenulls=True).over(after)}
+    wanted = ["_past"] if mode == "backward" else ["_past", "_next"]
+    joined = null_safe_join(line, ends.select(*by, "_cell", *[near[c].alias(c) for c in wanted]), [*by, "_cell"])
+    own = Window.partitionBy(*by, "_cell")
+    upto = own.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.withColumn("_p", F.coalesce(F.last(point, ignorenulls=True).over(upto), F.col("_past")))
     if mode == "backward":
         hit = F.col("_p.v")
-    elif mode == "interpolate":
-        s.next_seen({"_q": point})
+    else:
+        # Forward looks run backwards: a frame that is open at its far end is re-read for every row.
+        onward = own.orderBy(F.col("_t").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        joined = joined.withColumn("_q", F.coalesce(F.last(point, ignorenulls=True).over(onward), F.col("_next")))
         here, a, b = F.unix_micros("_t"), F.unix_micros("_p.t"), F.unix_micros("_q.t")
         hit = F.when(F.col("_p.t") == F.col("_t"), F.col("_p.v")).when(
             F.col("_q.t").isNotNull() & (b > a), F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * ((here - a) / (b - a))
         )
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return s.done().where(F.col("_side") == 1).select("_row.*", hit.alias(out))
+    return joined.where(F.col("_side") == 1).select("_row.*", hit.alias(out))
 
 
 def overlapping_windows(windows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions.scalar import TOU_PRICES, tou_price
 from emberline.operators.joins import relative_to
 from emberline.plans.lookup import beside
-from emberline.plans.series import Series, epoch
+from emberline.plans.series import Series, null_safe_join
 
 
 def par(load: DataFrame, by: list[str], value: str = "consumption_kw") -> DataFrame:
@@ -51,20 +51,21 @@ def hourly_profile(load: DataFrame, by: list[str], step: str = "step", value: st
 def policy_kpis(history: DataFrame, by: list[str], prices: list[float] = TOU_PRICES, peak: tuple[int, int] = (17, 20)) -> DataFrame:
     """Energy, peak, comfort and cost per run.
 
-    The step length is the distance of a run's first two rows (1 h if there is one row). All sums are
-    plain and are scaled by it afterwards, so one aggregate serves everything.
+    The step length is the distance of a run's first two rows (1 h if there is one row): two minima, nothing is
+    sorted. All sums are plain and are scaled by it afterwards, so one aggregate serves everything.
     """
-    s = Series(history, by, ["timestamp", "event_id"], epoch("timestamp")).row_number("_rn")
-    s.shift({"_prev": (F.col("timestamp"), 1)})
+    place = F.struct("timestamp", "event_id")
+    rows = null_safe_join(history, history.groupBy(*by).agg(F.min(place).alias("_first")), by)
+    second = F.min(F.when(place > F.col("_first"), place))["timestamp"]
     power = F.col("hvac_power_kw")
     lower, upper = F.col("heat_setpoint") - 1.0, F.col("cool_setpoint") + 1.0
     t = F.col("indoor_temp")
     dev = F.when(t < lower, lower - t).when(t > upper, t - upper).otherwise(0.0)
     in_peak = (F.col("hour") >= peak[0]) & (F.col("hour") < peak[1])
-    step = (F.unix_micros("timestamp") - F.unix_micros("_prev")) / 3.6e9
-    sums = s.done().groupBy(*by).agg(
+    step = (F.unix_micros(second) - F.unix_micros(F.min("_first")["timestamp"])) / 3.6e9
+    sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.max(F.when(F.col("_rn") == 2, step)), F.lit(1.0)).alias("dt"),
+        F.coalesce(step, F.lit(1.0)).alias("dt"),
         F.sum(power).alias("p"),
         F.max(power).alias("peak_kw"),
         F.avg(power).alias("m"),
