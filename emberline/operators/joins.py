@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.plans.series import Series, epoch, null_safe_join
@@ -60,30 +60,25 @@ def overlapping_windows(windows: DataFrame) -> DataFrame:
     return s.done().where(F.col("start") < F.col("prev_end"))
 
 
-def active_or_next_window(states: DataFrame, windows: DataFrame, horizon_min: int, key: str = "state_id") -> DataFrame:
+def active_or_next_window(states: DataFrame, windows: DataFrame, horizon_min: int) -> DataFrame:
     """First window, by start, that holds the state's time or begins within the horizon.
 
-    A range join cut by day: each window is listed under every day on which a state could see it, so the
-    join is an equi-join on day plus the exact condition. The planner broadcasts the
-    window list while its measured size is small.
+    A range join cut by day: each window is listed under every day on which a state could see it. A day's windows, few by
+    nature, form one sorted array, so a state meets a single row of its day and picks its window there: states are
+    neither shuffled by key nor aggregated, and the planner broadcasts the day table while it is small.
     """
     horizon = F.make_interval(mins=F.lit(horizon_min))
     first_day = F.to_date(F.col("start") - horizon)
     last_day = F.to_date(F.col("end"))
     listed = windows.select("start", "end", F.explode(F.sequence(first_day, last_day)).alias("_day"))
-    s = states.withColumn("_day", F.to_date("timestamp"))
+    days = listed.groupBy("_day").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_windows"))
     t = F.col("timestamp")
-    sees = ((F.col("start") <= t) & (t < F.col("end"))) | ((F.col("start") > t) & (F.col("start") <= t + horizon))
-    hits = (
-        s.select(key, "timestamp", "_day")
-        .join(listed, "_day")
-        .where(sees)
-        .groupBy(key)
-        .agg(F.min(F.struct("start", "end")).alias("_w"))
-    )
-    return states.join(hits, key, "left").select(
-        *states.columns, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end")
-    )
+
+    def sees(w: Column) -> Column:
+        return ((w["start"] <= t) & (t < w["end"])) | ((w["start"] > t) & (w["start"] <= t + horizon))
+
+    met = states.withColumn("_day", F.to_date("timestamp")).join(days, "_day", "left").withColumn("_w", F.get(F.filter("_windows", sees), 0))
+    return met.select(*states.columns, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"))
 
 
 def relative_to(df: DataFrame, ref: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
