@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberline.session import ship_package
+
 
 def gram(df: DataFrame, keys: list[str], xs: list[str], y: str) -> DataFrame:
     """n, sums and cross-products of [xs, y] per group. All partial sums combine before the shuffle."""
@@ -47,6 +49,7 @@ def ridge_coefficients(n: float, s: np.ndarray, p: np.ndarray, alpha: float, sta
 
 def solve(grams: DataFrame, alpha: float = 0.0, standardize: bool = False, min_n: int = 1) -> DataFrame:
     """Adds ``coef`` (intercept first). Groups under ``min_n`` rows are left out for the fallback to serve."""
+    ship_package(grams.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def fit(n: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:

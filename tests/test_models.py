@@ -1,5 +1,10 @@
 """Solvers against numpy, and invariants of splits, encodings and fits."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 from emberline.operators import boosting, rates, regress, samples
 from emberline.plans.linear import gram, solve
 from emberline.schema import require_columns
+from emberline.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +95,38 @@ def test_required_columns_are_listed_sorted(spark):
 def test_quota_and_dense_ids(spark):
     d = spark.createDataFrame([(i,) for i in (5, 3, 9)], "k long")
     assert {r.k: r.quota for r in samples.allocate_quota(d, "k", 11).collect()} == {3: 4, 5: 4, 9: 3}
+
+
+def test_workers_get_the_package(tmp_path):
+    """From a foreign folder, without the package on the workers' path."""
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from emberline.plans.linear import gram, solve
+from emberline.session import build_session
+spark = build_session("foreign", "local[2]", 2)
+df = spark.createDataFrame([(1, float(i), 2.0 * i + 1) for i in range(9)], "k long, x double, y double")
+print("coef", [round(c, 6) for c in solve(gram(df, ["k"], ["x"], "y")).first().coef])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "coef [1.0, 2.0]" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
