@@ -153,7 +153,7 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents link when 100 * intersection >= ``percent`` * union of their shingle sets. 1. Rows of equal sets are one class
     (128-bit set hash, map-side combined). 2. Each class is entered in the multi-index; buckets of one class are dropped.
-    3. In each bucket every class is held against the smallest one: pairs within the signature radius are confirmed on whole sets, and
+    3. In each bucket every class is held against the most central one, which is likest to the text the others were made from: pairs within the signature radius are confirmed on whole sets, and
     joined to components. Copies of a text so cost one comparison each, however many they are. 4. Buckets that still hold
     several components are compared in full, in blocks over many tasks, and a pair only in its first common bucket. Shingles
     that no other document of these buckets has bound each intersection from above: documents and pairs whose bound is
@@ -181,9 +181,12 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["id", "key"])
 
     entries = classes.select("id", "sig").mapInArrow(entered, "id long, key long")
-    shared = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1"), "minhash-shared")
+    shared = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash-shared")
     multi = stage(entries.join(shared, "key"), "minhash-entries")
     unstage(shared)
+    # The middle of a bucket: of its classes the one that shares most places with others over all its buckets.
+    central = stage(multi.groupBy("id").agg(F.sum("n").alias("score")), "minhash-central")
+    hubs = stage(multi.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("hub")), "minhash-hubs")
 
     def near(batches):
         for batch in batches:
@@ -194,7 +197,7 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield batch.select([0, 1]).filter(pa.array(good))
 
     sig = classes.select("id", "sig", "n_shingles")
-    stars = multi.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = multi.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stars.join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
     stars = stage(stars.mapInArrow(near, "a long, b long"), "minhash-stars")
 
@@ -209,8 +212,8 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = confirmed(stars, "minhash-links")
     found = components(links)
-    placed = stage(multi.drop("hub").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "minhash-placed")
-    unstage(multi)
+    placed = stage(multi.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "minhash-placed")
+    unstage(multi, central, hubs)
     split = stage(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "minhash-split")
     left = stage(placed.join(split, "key").select("id").distinct().join(classes.select("id", "n_shingles"), "id"), "minhash-left")
     left = _linkable(left, texts, percent)
