@@ -42,8 +42,8 @@ def embedding_dedup(
     the group's components, not pairs. 4. Alternating stars join the components.
 
     Only rows of equal, non-null labels are compared. A vector that is null, empty, zero or holds null or non-finite components
-    links with nothing: n_links 0, its own component, kept. Vectors of unequal length do not link. Null ids are allowed; component_id is the smallest
-    id that is not null. Rows that repeat an id and vector link with each other. An empty table gives no rows.
+    links with nothing: n_links 0, its own component, kept. Vectors of unequal length do not link. component_id is the smallest id of a component
+    that is not null; a row of null id is kept only where that is null too. Rows that repeat an id and vector link with each other. An empty table gives no rows.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -112,7 +112,7 @@ def embedding_dedup(
     verdict = stage(verdict.select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "vector-verdict")
     out = rows.join(verdict, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left")
     component = F.when(F.col("v").isNull(), F.col("vid")).otherwise(F.col("component_id"))
-    return out.select(F.col("vid").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vid") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("vid").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vid") == component, component.isNull()).alias("kept"))
 
 
 def hash_text(s: str) -> int:

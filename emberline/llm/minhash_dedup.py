@@ -161,8 +161,8 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets. So no link within the radius that joins components is left out.
 
     ``percent`` should be 80 or more. The chance that a pair just at the threshold lies outside the radius is ``index.miss(percent / 100)``.
-    Null or blank text has no shingles: n_shingles 0, its own component, kept. Null ids are allowed; component_id is the smallest id that is not
-    null. Rows that repeat id and text share one verdict. An empty table gives no rows.
+    Null or blank text has no shingles: n_shingles 0, its own component, kept. component_id is the smallest id of a
+    component that is not null; a row of null id is kept only where that is null too. Rows that repeat id and text share one verdict. An empty table gives no rows.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -249,9 +249,10 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.select("id", "first", "h1", "h2").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     verdict = stage(named.join(lowest, "component").select("h1", "h2", "component_id"), "minhash-verdict")
+    unstage(classes, stars, texts, links, left, rest, more)
     out = signed.select("did", "n_shingles", "h1", "h2").join(verdict, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("did")).otherwise(F.col("component_id"))
-    return out.select(F.col("did").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("did") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("did").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("did") == component, component.isNull()).alias("kept"))
 
 
 def _linkable(left: DataFrame, texts: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
@@ -270,13 +271,14 @@ def _linkable(left: DataFrame, texts: DataFrame, percent: int, rounds: int = 2)
                     ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
 
-    held = stage(texts.join(left.select("id"), "id", "left_semi").mapInArrow(exploded, "id long, shingle long"), "minhash-shingles")
+    whole = held = stage(texts.join(left.select("id"), "id", "left_semi").mapInArrow(exploded, "id long, shingle long"), "minhash-shingles")
     for _ in range(rounds):
         single = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
         own = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
         left = left.select("id", "n_shingles").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         left = stage(left.filter(100 * (F.col("n_shingles") - F.col("own")) >= percent * F.col("n_shingles")), "minhash-left")
         held = held.join(left.select("id"), "id", "left_semi")
+    unstage(whole)
     return left
 
 
