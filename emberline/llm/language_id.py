@@ -84,8 +84,8 @@ def profiles(dimensions: int, seed: int) -> Profiles:
     return _READY[dimensions, seed]
 
 
-def _pieces(batch: pa.RecordBatch, chars: int = 1 << 20, most: int = 256) -> Iterator[list[list]]:
-    """Columns of a batch in runs of some 256 rows and a million characters."""
+def _pieces(batch: pa.RecordBatch, chars: int = 1 << 18, most: int = 128) -> Iterator[list[list]]:
+    """Columns of a batch in runs of some 128 rows and 262,144 characters, which bounds a worker's memory."""
     rows, size = [[] for _ in batch.columns], 0
     for k in range(0, batch.num_rows, 64):
         for values in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True):
