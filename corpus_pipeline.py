@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more share; documents left with no text go."""
-    return line_dedup(docs, min_docs=10).filter("text <> ''").select(docs.columns)
+    """Texts without the lines that ten different texts or more share, copies counted once; documents left with no text go."""
+    return line_dedup(docs, min_docs=10, by_text=True).filter("text <> ''").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def _key(line: Column) -> Column:
     return F.btrim(ascii_lower(line), F.lit(BLANKS))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, by_text: bool = False) -> DataFrame:
     """All columns of ``df`` with the text less its frequent lines, and ``n_lines`` (before) and ``n_dropped``.
 
     Lines are exploded, keyed by a 128-bit hash of the line without outer ASCII blanks and with A-Z in lower case, and
@@ -26,11 +26,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     ``min_chars`` code points always stay. Null ids count as one document. Rows are told apart by id and text, so an
     id that repeats with another text keeps its own lines; it counts as one document. ``n_lines`` and ``n_dropped`` of
     the input are replaced.
+
+    ``by_text`` counts different texts instead of documents: rows whose non-blank line keys are all the same count once,
+    so copies of one text do not make its lines frequent.
     """
     row, lines, gone = (free_name(df, x) for x in ("_row", "_lines", "_gone"))
     text = text_or_empty(f"`{text_col}`")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    keyed = df.select(ident.alias("doc"), digest128(F.concat_ws("\n", ident, text)).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    doc = digest128(F.array_join(F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k != ""), "\n")) if by_text else ident
+    keyed = df.select(doc.alias("doc"), digest128(F.concat_ws("\n", ident, text)).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = keyed.select("doc", "row", "pos", _key(F.col("line")).alias("key")).filter(F.char_length("key") >= max(min_chars, 1))
     keyed = keyed.select("doc", "row", "pos", digest128(F.col("key")).alias("h"))
     frequent = stage(keyed.groupBy("h").agg(F.countDistinct("doc").alias("n")).filter(F.col("n") >= min_docs).select("h"), "frequent-lines")
