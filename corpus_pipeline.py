@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
-from emberline.llm.minhash_dedup import minhash_dedup
+from emberline.llm.minhash_dedup import Index, minhash_dedup
 from emberline.llm.mixing import mix_documents
 from emberline.llm.packing import pack
 from emberline.plans.staging import stage, unstage
@@ -20,6 +20,9 @@ from emberline.plans.staging import stage, unstage
 #: A cosine that texts of random letters reach by chance: one standard deviation of random vectors of 1,024 places.
 NOISE = 1 / 32
 
+#: Percent of common shingles that make a near-duplicate, and an index whose radius misses a pair just there with 5e-5.
+NEAR, NEAR_INDEX = 80, Index(symbols=75, chunks=15)
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those no nearer to any language than noise; short clean ones stay."""
@@ -35,7 +38,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id; without shingles a document stays."""
-    kept = minhash_dedup(docs, percent=85).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = minhash_dedup(docs, percent=NEAR, index=NEAR_INDEX).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
 
 

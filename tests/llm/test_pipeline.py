@@ -19,3 +19,16 @@ def test_one_of_twelve_copies_comes_out(spark, tmp_path):
     assert out == set(range(11)) | {100}
     lines = corpus_pipeline.line_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
     assert len(lines) == len(texts) and not any("footer" in r["text"] for r in lines)
+
+
+def test_near_duplicates_from_80_percent(spark):
+    """A tail of k other words leaves (n - k) / (n + k) of n shingles in common."""
+    rows, gone = [], set()
+    for i in range(12):
+        words = clean(i, 94).split()
+        for j, k in enumerate((0, 8, 10, 11)):  # 83.7 %, 80 % exactly and 78.2 % of 90 shingles
+            rows.append((10 * i + j, " ".join(words[: 94 - k] + [f"tail{i}x{j}x{t}" for t in range(k)]), "en", "s", 0))
+        gone |= {10 * i + 1, 10 * i + 2}
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert {r[0] for r in rows} - got == gone
+    assert corpus_pipeline.NEAR_INDEX.miss(0.80) < 9e-5
