@@ -65,9 +65,10 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     Only windows with some template shingle can share a minimum with a template, so a join on the shingle keeps those,
     each row with its neighbours; nothing else leaves its task. 2. Each window has one MinHash per band, as has each
     window of a template (at every place). Windows that agree in a band retrieve the template; the number of bands follows from
-    ``miss``, see ``bands_for``. 3. The places of a retrieved template's shingles in the text are parted where more than
-    a quarter of its length (at least 4 shingles) lies between; a part that a retrieving window touches and that holds at least ``percent``
-    of the template's distinct shingles is a notice.
+    ``miss``, see ``bands_for``. 3. The places of a retrieved template's shingles in the text are parted where they no longer
+    fit one notice: where the next place is further off than the template is long, or not further on in the template. Neighbouring parts
+    that hold less than ``percent`` of the template's distinct shingles are joined. A part, or parts joined, that a retrieving
+    window touches and that holds at least ``percent`` is a notice, so words inserted cost only the shingles they break.
 
     ``templates`` are (name, text) pairs or a table with those columns, of at least five words each; shorter ones cannot be found.
     Null or short texts give no rows. Rows that repeat id and text count once; a null id is kept. Other columns are not read.
@@ -78,8 +79,9 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     bands = bands_for(miss)
     known = _hashes(templates.select("name", text_or_empty("text").alias("text")), ["name"], words_of(F.col("text")))
     known = stage(known.groupBy("name").agg(F.first("h").alias("h")), "licence-templates")
-    parts = known.select("name", F.explode("h").alias("h")).distinct()
-    sizes = parts.groupBy("name").agg(F.count(F.lit(1)).alias("n_template"))
+    # ``place`` in the template, null for a shingle it holds more than once; ``reach`` is the template's length in words.
+    parts = known.select("name", F.posexplode("h").alias("place", "h")).groupBy("name", "h").agg(F.when(F.count(F.lit(1)) == 1, F.min("place")).alias("place"))
+    sizes = parts.groupBy("name").agg(F.count(F.lit(1)).alias("n_template")).join(known.select("name", (F.size("h") + SHINGLE - 1).alias("reach")), "name")
     held = known.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(1))), lambda i: F.slice("h", i, WINDOW))).alias("win"))
     held = held.select("name", F.posexplode(_bands([F.get("win", k) for k in range(WINDOW)], bands)).alias("band", "value")).distinct()
 
@@ -99,12 +101,22 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     banded = windows.select("row", "at", F.posexplode(_bands([F.col(f"h{k}") for k in range(WINDOW)], bands)).alias("band", "value"))
     retrieved = banded.join(held, ["band", "value"]).select("row", "name", "at").distinct()
 
+    # A part ends where a shingle comes again or a place goes back in the template, or where the gap is longer than the template.
     order = Window.partitionBy("row", "name").orderBy("pos")
     placed = hits.select("id", "row", "pos", "h").distinct().join(parts, "h").join(sizes, "name")
-    gap = F.greatest(F.lit(4), F.ceil(F.col("n_template") / 4))
-    placed = placed.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(order) > gap).cast("int"), F.lit(0))).withColumn("part", F.sum("new").over(order))
-    found = placed.groupBy("row", "name", "part").agg(
-        F.first("id").alias("id"), F.min("pos").alias("first_word"), (F.max("pos") + SHINGLE - 1).alias("last_word"), F.countDistinct("h").alias("n_found"), F.first("n_template").alias("n_template")
+    back = F.col("place") <= F.last("place", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    far = lambda start, end: F.col(start) - F.col(end) > F.col("reach")
+    placed = placed.withColumn("before", F.lag("pos").over(order)).withColumn("new", F.coalesce((back | far("pos", "before")).cast("int"), F.lit(0))).withColumn("part", F.sum("new").over(order))
+    pieces = placed.groupBy("row", "name", "part").agg(
+        F.first("id").alias("id"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("h").alias("hs"), F.first("n_template").alias("n_template"), F.first("reach").alias("reach")
+    )
+    # Neighbouring parts too small on their own are taken together.
+    order = Window.partitionBy("row", "name").orderBy("part")
+    pieces = pieces.withColumn("whole", F.size("hs") * 100 >= F.col("n_template") * percent).withColumn("before", F.lag("last").over(order))
+    alone = F.col("whole") | F.lag("whole").over(order) | far("first", "before")
+    pieces = pieces.withColumn("part", F.sum(F.coalesce(alone.cast("int"), F.lit(0))).over(order))
+    found = pieces.withColumn("h", F.explode("hs")).groupBy("row", "name", "part").agg(
+        F.first("id").alias("id"), F.min("first").alias("first_word"), (F.max("last") + SHINGLE - 1).alias("last_word"), F.countDistinct("h").alias("n_found"), F.first("n_template").alias("n_template")
     )
     found = found.filter(F.col("n_found") * 100 >= F.col("n_template") * percent)
     touched = (F.col("at") <= F.col("last_word") - SHINGLE + 1) & (F.col("at") + WINDOW > F.col("first_word"))
