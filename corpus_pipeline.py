@@ -6,10 +6,14 @@ with null ids, null or empty texts and repeated rows pass through as each operat
 
 from __future__ import annotations
 
+import random
+import string
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm.common import text_or_empty
 from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
 from emberline.llm.minhash_dedup import Index, minhash_dedup
@@ -17,18 +21,69 @@ from emberline.llm.mixing import mix_documents
 from emberline.llm.packing import pack
 from emberline.plans.staging import stage, unstage
 
-#: A cosine that texts of random letters reach by chance: one standard deviation of random vectors of 1,024 places.
+#: Least cosine where no labelled text tells more: one standard deviation of random vectors of 1,024 places.
 NOISE = 1 / 32
 
+#: A text passes with this share of the cosine that all but LOW of its language's labelled texts of like length reach;
+#: fewer than ENOUGH texts say nothing of their own.
+SHARE, LOW, ENOUGH = 0.5, 0.01, 20
+
+#: And no text need pass this many times the largest cosine of 100 texts of random letters of its length, up to 2 ** 14 letters.
+OVER, BANDS = 1.25, 31
+RANDOM_TEXTS, RANDOM_BANDS = 100, 14
+
 #: Percent of common shingles that make a near-duplicate, and an index whose radius misses a pair just there with 5e-5.
 NEAR, NEAR_INDEX = 80, Index(symbols=75, chunks=15)
 
 
+def letter_band(text: Column) -> Column:
+    """Number of letters as a power of two, rounded down."""
+    letters = F.char_length(F.regexp_replace(text_or_empty(text), r"\P{L}+", ""))
+    return F.floor(F.log2(F.greatest(letters, F.lit(1)))).cast("int")
+
+
+def language_bounds(scored: DataFrame) -> dict[tuple[str | None, int], float]:
+    """Least cosine by language and letter band, from labelled texts that the prototypes have not seen.
+
+    Only texts placed in their own language count. A language with few texts in a band takes the bound of all languages
+    (key None); a band with few texts at all takes that of the next longer one, less by the root of the length as cosines of
+    short texts are, or else of the next shorter one. At most 31 numbers a language reach the driver.
+    """
+    own = scored.filter(F.col("lang_pred") == F.col("lang").cast("string")).select("lang_pred", letter_band(F.col("text")).alias("band"), "score")
+    own = own.select(F.explode(F.array(F.col("lang_pred"), F.lit(None).cast("string"))).alias("key"), "band", "score")
+    rows = own.groupBy("key", "band").agg(F.percentile_approx("score", LOW, 10_000).alias("low"), F.count(F.lit(1)).alias("n")).collect()
+    bounds = {(r["key"], r["band"]): SHARE * r["low"] for r in rows if r["n"] >= ENOUGH}
+    for band in range(BANDS):
+        if (None, band) not in bounds:
+            longer, shorter = ([b for k, b in bounds if k is None and (b > band) == up] for up in (True, False))
+            bounds[None, band] = bounds[None, min(longer)] * 2 ** ((band - min(longer)) / 2) if longer else bounds[None, max(shorter)] if shorter else NOISE
+    return bounds
+
+
+def random_bounds(spark: SparkSession, prototypes: dict[str, list[float]]) -> list[float]:
+    """Cosine by letter band that texts of random letters, half of them with spaces, stay below."""
+    rng, texts = random.Random(7), []
+    for band in range(RANDOM_BANDS):
+        for k in range(RANDOM_TEXTS):
+            texts.append((band, "".join(rng.choices(string.ascii_lowercase + " " * (k % 2 * 5), k=3 << band >> 1 or 1))))
+    scored = predict_language(spark.createDataFrame(texts, "doc_id long, text string"), prototypes)
+    most = {r["doc_id"]: r["most"] for r in scored.groupBy("doc_id").agg(F.max("score").alias("most")).collect()}
+    return [OVER * most[min(band, RANDOM_BANDS - 1)] for band in range(BANDS)]
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those no nearer to any language than noise; short clean ones stay."""
-    prototypes = fit_languages(docs.filter(~held_out(F.col("doc_id"))))
-    scored = predict_language(docs, prototypes)
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= NOISE)).select(docs.columns)
+    """Drops documents without a letter and those no nearer to any language than noise; short clean ones stay.
+
+    Noise is what lies both under ``language_bounds`` and under ``random_bounds``.
+    """
+    seen = ~held_out(F.col("doc_id"))
+    prototypes = fit_languages(docs.filter(seen))
+    bounds = language_bounds(predict_language(docs.filter(~seen & F.col("lang").isNotNull()), prototypes))
+    most = random_bounds(spark, prototypes)
+    least = spark.createDataFrame([(lang, band, min(most[band], bounds.get((lang, band), bounds[None, band]))) for lang in prototypes for band in range(BANDS)], "_lang string, _band int, _least double")
+    scored = predict_language(docs, prototypes).withColumn("_of", letter_band(F.col("text")))
+    held = scored.join(F.broadcast(least), (F.col("lang_pred") == F.col("_lang")) & (F.col("_of") == F.col("_band")))
+    return held.filter(F.col("score") >= F.col("_least")).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

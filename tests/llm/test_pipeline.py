@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import string
+
 import corpus_pipeline
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
@@ -32,3 +35,24 @@ def test_near_duplicates_from_80_percent(spark):
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert {r[0] for r in rows} - got == gone
     assert corpus_pipeline.NEAR_INDEX.miss(0.80) < 9e-5
+
+
+def test_random_letters_go_and_short_clean_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = random.Random(4)
+    noise = {-1 - k: "".join(rng.choice(letters) for _ in range(n)) for k, (n, letters) in enumerate((n, x) for n in (100, 300, 1000, 3000, 10_000) for x in (string.ascii_lowercase, string.ascii_letters + " " * 9) for _ in range(8))}
+    short = {-1001: "This is the house that was for sale.", -1002: "Das ist nicht der Weg, den wir gehen.", -1003: "Il est dans la maison avec les enfants.", -1004: "the end of the day", -1005: "and the"}
+    more = spark.createDataFrame([(i, t, None, "s", 0) for i, t in (noise | short).items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert set(short) <= got and not set(noise) & got
+    clean_ids = {r["doc_id"] for r in docs.filter(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert clean_ids <= got
+    assert corpus_pipeline.language_stage(spark, docs.filter("doc_id < 3"), "").count() <= 3
+
+
+def test_bounds_of_bands_without_texts(spark):
+    rows = [("a", "x" * n, "a", s) for n, s in ((16, 0.4), (300, 0.8)) for _ in range(20)] + [("b", "x" * 16, "b", 0.1)] * 3
+    bounds = corpus_pipeline.language_bounds(spark.createDataFrame(rows, "lang string, text string, lang_pred string, score double"))
+    assert bounds["a", 4] == 0.2 and bounds["a", 8] == 0.4 and ("b", 4) not in bounds
+    assert bounds[None, 4] == 0.05 and bounds[None, 2] == 0.025 and bounds[None, 6] == 0.2 and bounds[None, 30] == 0.4
+    assert set(corpus_pipeline.language_bounds(spark.createDataFrame([], "lang string, text string, lang_pred string, score double")).values()) == {1 / 32}
