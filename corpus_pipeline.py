@@ -98,8 +98,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the tempered weight of its source asks: once at least, twice at most."""
-    return mix_documents(docs, max_repeats=2.0).select(docs.columns)
+    """Each document as often as the tempered weight of its source asks: once at least, twice at most.
+
+    Rows are written in the order of the schedule's blocks and slots, so each file holds a run of it, and so does what is packed.
+    """
+    mixed = mix_documents(docs, max_repeats=2.0).select(*[F.col(f"`{c}`").alias(f"_d{k}") for k, c in enumerate(docs.columns)], "block", "slot")
+    ordered = mixed.repartitionByRange("block", "slot").sortWithinPartitions("block", "slot")
+    return ordered.select(*[F.col(f"_d{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

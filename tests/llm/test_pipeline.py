@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import string
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from emberline.llm.mixing import mix_schedule
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -56,3 +59,12 @@ def test_bounds_of_bands_without_texts(spark):
     assert bounds["a", 4] == 0.2 and bounds["a", 8] == 0.4 and ("b", 4) not in bounds
     assert bounds[None, 4] == 0.05 and bounds[None, 2] == 0.025 and bounds[None, 6] == 0.2 and bounds[None, 30] == 0.4
     assert set(corpus_pipeline.language_bounds(spark.createDataFrame([], "lang string, text string, lang_pred string, score double")).values()) == {1 / 32}
+
+
+def test_mixed_files_follow_the_schedule(spark, tmp_path):
+    rows = [(i, clean(i, 5000), "en", "big" if i % 4 else "small", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    corpus_pipeline.mixing_stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    want = [r["doc_id"] for r in mix_schedule(docs, max_repeats=2.0).orderBy("block", "slot").collect()]
+    got = spark.read.parquet(f"{tmp_path}/mixed").select("doc_id", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("k")).orderBy("file", "k").collect()
+    assert len(want) > len(rows) and [r["doc_id"] for r in got] == want
