@@ -71,13 +71,17 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     window touches and that holds at least ``percent`` is a notice, so words inserted cost only the shingles they break.
 
     ``templates`` are (name, text) pairs or a table with those columns, of at least five words each; shorter ones cannot be found.
+    A name may have several wordings; each is a template.
     Null or short texts give no rows. Rows that repeat id and text count once; a null id is kept. Other columns are not read.
     """
     spark = df.sparkSession
     if not isinstance(templates, DataFrame):
         templates = spark.createDataFrame(templates or TEMPLATES, "name string, text string")
     bands = bands_for(miss)
-    known = _hashes(templates.select("name", text_or_empty("text").alias("text")), ["name"], words_of(F.col("text")))
+    # Inside, ``name`` is the digest of name and wording, so several wordings of one name are searched each.
+    wordings = templates.select(F.col("name").alias("title"), text_or_empty("text").alias("text")).withColumn("name", digest128(F.concat_ws("\n", F.coalesce("title", F.lit("null")), "text")))
+    known = _hashes(wordings, ["name"], words_of(F.col("text")))
+    titles = wordings.groupBy("name").agg(F.first("title").alias("template"))
     known = stage(known.groupBy("name").agg(F.first("h").alias("h")), "licence-templates")
     # ``place`` in the template, null for a shingle it holds more than once; ``reach`` is the template's length in words.
     parts = known.select("name", F.posexplode("h").alias("place", "h")).groupBy("name", "h").agg(F.when(F.count(F.lit(1)) == 1, F.min("place")).alias("place"))
@@ -121,4 +125,4 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     found = found.filter(F.col("n_found") * 100 >= F.col("n_template") * percent)
     touched = (F.col("at") <= F.col("last_word") - SHINGLE + 1) & (F.col("at") + WINDOW > F.col("first_word"))
     matches = found.join(retrieved.withColumnsRenamed({"row": "_row", "name": "_name"}), (F.col("row") == F.col("_row")) & (F.col("name") == F.col("_name")) & touched, "left_semi")
-    return matches.select(F.col("id").alias(id_col), F.col("name").alias("template"), "first_word", "last_word", "n_found", "n_template")
+    return matches.join(titles, "name").select(F.col("id").alias(id_col), "template", "first_word", "last_word", "n_found", "n_template")

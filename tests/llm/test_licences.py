@@ -36,3 +36,10 @@ def test_parts_of_several_notices(spark):
     got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(r["doc_id"] for r in got) == Counter({1: 2, 4: 1, 5: 1, 6: 1})
     assert sorted((r["first_word"], r["last_word"]) for r in got if r["doc_id"] in (1, 5)) == sorted([(0, len(words) - 1), (len(words), 2 * len(words) - 1), (19, 19 + len(words) - 1)])
+
+
+def test_every_wording_of_a_name_is_searched(spark):
+    wordings = [("own", "these words are the first wording"), ("own", "quite another text of the same licence"), ("own", "quite another text of the same licence"), ("b", "one more template of five")]
+    rows = [(k, f"before {text} after") for k, (_, text) in enumerate(wordings)]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string"), wordings).collect()
+    assert Counter((r["doc_id"], r["template"]) for r in got) == Counter({(0, "own"): 1, (1, "own"): 1, (2, "own"): 1, (3, "b"): 1})
