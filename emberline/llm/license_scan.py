@@ -65,7 +65,7 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     Only windows with some template shingle can share a minimum with a template, so a join on the shingle keeps those,
     each row with its neighbours; nothing else leaves its task. 2. Each window has one MinHash per band, as has each
     window of a template (at every place). Windows that agree in a band retrieve the template; the number of bands follows from
-    ``miss``, see ``bands_for``. 3. The places of a retrieved template's shingles in the text are parted where they no longer
+    ``miss``, see ``bands_for``. 3. Only for the templates a text retrieved, the places of their shingles in it are parted where they no longer
     fit one notice: where the next place is further off than the template is long, or not further on in the template. Neighbouring parts
     that hold less than ``percent`` of the template's distinct shingles are joined. A part, or parts joined, that a retrieving
     window touches and that holds at least ``percent`` is a notice, so words inserted cost only the shingles they break.
@@ -103,11 +103,11 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | DataFrame | N
     windows = hits.select("id", "row", F.explode(F.when(start == 0, F.array(near(0), near(2))).otherwise(F.array(near(1), near(3)))).alias("w"))
     windows = windows.select("row", "w.*").filter("at >= 0").distinct()
     banded = windows.select("row", "at", F.posexplode(_bands([F.col(f"h{k}") for k in range(WINDOW)], bands)).alias("band", "value"))
-    retrieved = banded.join(held, ["band", "value"]).select("row", "name", "at").distinct()
+    retrieved = stage(banded.join(held, ["band", "value"]).select("row", "name", "at").distinct(), "licence-retrieved")
 
     # A part ends where a shingle comes again or a place goes back in the template, or where the gap is longer than the template.
     order = Window.partitionBy("row", "name").orderBy("pos")
-    placed = hits.select("id", "row", "pos", "h").distinct().join(parts, "h").join(sizes, "name")
+    placed = hits.select("id", "row", "pos", "h").distinct().join(parts, "h").join(retrieved.select("row", "name").distinct(), ["row", "name"], "left_semi").join(sizes, "name")
     back = F.col("place") <= F.last("place", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     far = lambda start, end: F.col(start) - F.col(end) > F.col("reach")
     placed = placed.withColumn("before", F.lag("pos").over(order)).withColumn("new", F.coalesce((back | far("pos", "before")).cast("int"), F.lit(0))).withColumn("part", F.sum("new").over(order))

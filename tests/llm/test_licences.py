@@ -43,3 +43,10 @@ def test_every_wording_of_a_name_is_searched(spark):
     rows = [(k, f"before {text} after") for k, (_, text) in enumerate(wordings)]
     got = license_scan(spark.createDataFrame(rows, "doc_id long, text string"), wordings).collect()
     assert Counter((r["doc_id"], r["template"]) for r in got) == Counter({(0, "own"): 1, (1, "own"): 1, (2, "own"): 1, (3, "b"): 1})
+
+
+def test_containment_is_computed_for_retrieved_pairs_only(spark):
+    rows = spark.createDataFrame([(1, TEMPLATES[3][1])], "doc_id long, text string")
+    plan = license_scan(rows)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window") :]
+    assert plan.count("LeftSemi") == 2 and "LeftSemi" in below  # the second restricts the places before they are parted
