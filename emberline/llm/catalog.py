@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from emberline.llm.embedding_dedup import embedding_dedup
 from emberline.llm.exact_dedup import exact_dedup
 from emberline.llm.common import text_or_empty
+from emberline.llm.interpolated_lm import interpolated_scores
 from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.license_scan import TEMPLATES, license_scan
 from emberline.llm.line_dedup import line_dedup
 from emberline.llm.minhash_dedup import minhash_dedup
 from emberline.llm.mixing import mix_schedule
 from emberline.llm.packing import pack
+from emberline.llm.prefix_trie import prefix_trie
 from emberline.llm.sharding import shuffle_into_shards
+from emberline.llm.vector_codes import codebooks_digest, vector_codes
 from emberline.llm.wavelet import read_documents, write_token_shards
 from emberline.plans.staging import stage_path
 
@@ -78,12 +81,85 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op2_embedding_dedup, op3_license_scan, op4_line_dedup, op5_minhash_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup)}
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6, scale=4096)
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=5, most=8)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op2_embedding_dedup, op3_license_scan, op4_line_dedup, op5_minhash_dedup, op6_shard, op7_language_id, op8_mix, op9_wavelet, op10_exact_dedup, op11_lm_score, op12_vector_codes, op13_prefix_trie)}
+
+
+# Unsigned CRC-32 of an ASCII string: eight shifts a byte, by the reflected polynomial.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda s: ascii(s)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def vector_codes_sql(rounds: int = 6) -> str:
+    """Assignments and floored means, one pair of subqueries a round."""
+
+    def assigned(k: int) -> str:
+        dist = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        return f"a{k} AS (SELECT vec_id, label, p, x, min({{'dist': {dist}, 'e': e}}) AS best FROM parts JOIN b{k} USING (p) GROUP BY vec_id, label, p, x)"
+
+    steps = []
+    for k in range(rounds):
+        steps += [
+            assigned(k),
+            f"""s{k} AS (
+  SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, best.e AS e, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY p, e, i)""",
+            f"m{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{k} GROUP BY p, e)",
+            f"b{k + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (p, e))",
+        ]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+parts AS (SELECT vec_id, label, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x FROM kept, range(8) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS e, x AS c FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id, x) <= 16),
+{(',' + chr(10)).join(steps)},
+{assigned(rounds)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.dist) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(y, ',' ORDER BY p, e, i)) AS d FROM (SELECT p, e, CAST(unnest(c) AS VARCHAR) AS y, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM coded, digest"""
+
 
 # A-Z only, in either engine.
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": vector_codes_sql(),
+    "op13_prefix_trie": f"""
+WITH numbered AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, {CRC32.format("CAST(c AS VARCHAR)")} % 9 AS h FROM numbered),
+rebuilt AS (
+  SELECT v.c, 0 AS part, b.pos, b.role, b.text FROM convs v JOIN numbered b ON b.c = v.c - v.c % 5 AND b.pos <= v.h
+  UNION ALL SELECT c, 1, pos, role, text FROM numbered JOIN convs USING (c) WHERE pos > h),
+sequences AS (
+  SELECT v.c, coalesce(list({{'role': r.role, 'text': r.text}} ORDER BY part, pos) FILTER (r.c IS NOT NULL), []) AS turns
+  FROM convs v LEFT JOIN rebuilt r ON v.c = r.c GROUP BY v.c),
+ways AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM sequences),
+-- a node is known by its smallest member and its depth
+paths AS (SELECT c, d, min(c) OVER (PARTITION BY d, turns[1:d]) AS m, d = len(turns) AS ends, CASE WHEN d = 0 THEN 0 ELSE strlen(turns[d].text) END AS bytes FROM ways),
+nodes AS (SELECT m, d, count(*) AS n, max(bytes) AS bytes, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ids FROM paths GROUP BY m, d),
+upward AS (SELECT x.*, p.m AS up FROM nodes x LEFT JOIN paths p ON p.c = x.m AND p.d = x.d - 1),
+children AS (SELECT up AS m, d - 1 AS d, count(*) AS k FROM upward WHERE up IS NOT NULL GROUP BY up, d),
+totals AS (
+  SELECT p.m, p.d, count(*) FILTER (k IS NULL) AS leaves, sum((x.n - 1) * x.bytes) AS saved
+  FROM nodes x LEFT JOIN children k ON x.m = k.m AND x.d = k.d JOIN paths p ON p.c = x.m AND p.d <= x.d GROUP BY p.m, p.d)
+SELECT u.m AS conv_id, u.d AS depth, up AS parent_conv_id, n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM upward u JOIN totals USING (m, d) LEFT JOIN children c ON u.m = c.m AND u.d = c.d""",
     "op2_embedding_dedup": """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
