@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.plans.staging import stage
+from emberline.plans.staging import stage, unstage
 from emberline.session import ship_package
 
 END = "\n"  # No word holds white space.
@@ -61,62 +61,76 @@ def _pieces(batch: pa.RecordBatch, piece_bytes: int):
 
 
 class Block:
-    """Some hundred thousand tokens of neighbouring texts, and the distinct words, pairs and triples among them.
+    """Some million tokens of neighbouring texts, and the distinct words, pairs and triples among them.
 
     A text is one segment, or several if it is longer than a block. A segment starts with two tokens of context: the
-    words before it, or two start marks. The distinct words, then pairs, then triples have consecutive slots.
+    words before it, or two start marks. ``codes`` are places in the sorted word hashes.
     """
 
-    def __init__(self, words: list[str], codes: np.ndarray, lens: np.ndarray, kinds: np.ndarray):
-        self.words, self.codes, self.lens, self.kinds = words, codes, lens, kinds
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray, lens: np.ndarray, kinds: np.ndarray):
+        self.hashes, self.codes, self.lens = hashes, codes, lens
         self.starts = np.cumsum(lens) - lens
-        n = len(codes)
-        place = np.arange(n) - np.repeat(self.starts, lens)
+        place = np.arange(len(codes)) - np.repeat(self.starts, lens)
         self.scored = place >= 2
-        self.kind = np.repeat(kinds, lens)
+        self.kind = np.where(self.scored, np.repeat(kinds, lens), HELD)
         self.marked = (place == 1) & (codes == BOS)
         self.paired = self.scored | ((place == 1) & (codes != BOS))
 
-    def words_counted(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.bincount(self.codes[self.scored & (self.kind == k)], minlength=len(self.words)) for k in (COUNTED, WEIGHED))
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, slot of each paired place, slot of each scored place) of pairs and triples."""
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        h = np.append(hashes, np.uint64(0x51ED270B)).take(self.codes)  # code -1 is the last
-        before = np.roll(h, 1)
-        pairs = _mix(before, h, 2)
-        triples = _mix(np.roll(pairs, 1), h, 3)
-        two, at2 = np.unique(pairs[self.paired], return_inverse=True)
-        three, at3 = np.unique(triples[self.scored], return_inverse=True)
-        return np.concatenate((two, three)), at2, len(two) + at3
-
-    def grams_counted(self, keys, at2, at3) -> tuple[np.ndarray, np.ndarray]:
-        two, three = (self.scored & self.paired)[self.paired], self.scored
-        out = []
-        for k in (COUNTED, WEIGHED):
-            counts = np.bincount(at2[two & (self.kind[self.paired] == k)], minlength=len(keys))
-            counts += np.bincount(at3[self.kind[three] == k], minlength=len(keys))
-            out.append(counts)
-        return tuple(out)
+    def _counted(self, slots: np.ndarray, where: np.ndarray, n: int) -> list[np.ndarray]:
+        return [np.bincount(slots[self.kind[where] == k], minlength=n) for k in (COUNTED, WEIGHED)]
+
+    def words(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(sorted keys, counts by kind) of the words."""
+        return self.hashes, self._counted(self.codes[self.scored], self.scored, len(self.hashes))
+
+    def grams(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(sorted keys, counts by kind, slot of each paired place, slot of each scored place) of pairs and triples."""
+        h = np.append(self.hashes, np.uint64(0x51ED270B)).take(self.codes)  # code -1 is the last
+        pairs = _mix(np.roll(h, 1), h, 2)
+        triples = _mix(np.roll(pairs, 1), h, 3)[self.scored]
+        pairs = pairs[self.paired]
+        keys, slots = np.unique(np.concatenate((pairs, triples)), return_inverse=True)
+        two, three = slots[: len(pairs)], slots[len(pairs) :]
+        counts = [a + b for a, b in zip(self._counted(two, self.paired, len(keys)), self._counted(three, self.scored, len(keys)), strict=True)]
+        return keys, counts, two, three
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, k: int) -> Block:
-        row = {name: batch.column(name)[k] for name in ("words", "codes", "lens", "kinds")}
-        codes, lens, kinds = (np.frombuffer(row[c].as_py(), "<i4") for c in ("codes", "lens", "kinds"))
-        return cls(row["words"].as_py(), codes, lens, kinds)
+        raw = {name: batch.column(name)[k].as_py() for name in ("hashes", "codes", "lens", "kinds")}
+        lens, kinds = (np.frombuffer(raw[c], "<i4") for c in ("lens", "kinds"))
+        return cls(_ascending(raw["hashes"]), _inflated(raw["codes"], 4 * int(lens.sum()), "<i4"), lens, kinds)
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences, bytes of one weight together, which compresses well."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
-def _packed(a: np.ndarray) -> bytes:
-    return a.astype("<i4" if not len(a) or a.max() < 1 << 31 else "<i8").tobytes()
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, bytes of one weight together, compressed, after a byte with the width."""
+    most = int(counts.max()) if len(counts) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + _deflated(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i4" if len(raw) == 4 * n else "<i8").astype(np.int64)
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return _inflated(raw[1:], n * raw[0], np.uint8).reshape(raw[0], n).T.copy().view(f"<u{raw[0]}").ravel().astype(np.int64)
+
+
+def _deflated(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def _inflated(raw: bytes, size: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), kind)
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
-    """One row per block: its words, codes, segments; ids and row numbers of the segments' texts."""
+    """One row per block: word hashes, codes, segments; ids and row numbers of the segments' texts; sums by kind of text."""
     kind_of_id = df.schema[id_col].dataType
 
     def cut(batches):
@@ -131,17 +145,20 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Dat
             marks, counts, ends = (np.array(x, np.int64) for x in (marks, counts, ends))
             lens = 2 * marks + counts + ends
             starts = np.cumsum(lens) - lens
+            kinds = np.array(kinds)
+            hashes, place = np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in (*coded.dictionary.to_pylist(), END)], np.uint64), return_inverse=True)
             out = np.full(lens.sum(), BOS, np.int32)
-            out[np.repeat(starts + 2 * marks - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = codes
-            out[(starts + lens - 1)[ends == 1]] = len(coded.dictionary)
+            out[np.repeat(starts + 2 * marks - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = place[codes]
+            out[(starts + lens - 1)[ends == 1]] = place[-1]
+            sums = [pa.array([int(x[kinds == k].sum())]) for x in (lens - 2, marks) for k in (COUNTED, WEIGHED, HELD)]
             arrays = [
                 pa.array([part << 33 | block]),
                 pa.array([rows], pa.list_(pa.int64())),
                 pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays(ids)),
-                *[pa.array([a.astype("<i4").tobytes()]) for a in (np.array(kinds), lens, out)],
-                pa.array([coded.dictionary.to_pylist() + [END]], pa.list_(pa.string())),
+                *[pa.array([x]) for x in (kinds.astype("<i4").tobytes(), lens.astype("<i4").tobytes(), _deflated(out.tobytes()), _planes(hashes))],
+                *sums,
             ]
-            return pa.RecordBatch.from_arrays(arrays, ["block", "rows", "ids", "kinds", "lens", "codes", "words"])
+            return pa.RecordBatch.from_arrays(arrays, schema.names)
 
         for batch in batches:
             for piece in _pieces(batch, 1 << 22):
@@ -168,8 +185,8 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Dat
             T.StructField("block", T.LongType()),
             T.StructField("rows", T.ArrayType(T.LongType())),
             T.StructField("ids", T.ArrayType(kind_of_id)),
-            *[T.StructField(c, T.BinaryType()) for c in ("kinds", "lens", "codes")],
-            T.StructField("words", T.ArrayType(T.StringType())),
+            *[T.StructField(c, T.BinaryType()) for c in ("kinds", "lens", "codes", "hashes")],
+            *[T.StructField(f"{c}{k}", T.LongType()) for c in ("tokens", "texts") for k in (COUNTED, WEIGHED, HELD)],
         ]
     )
     ident = F.col(f"`{id_col}`")
@@ -177,87 +194,115 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Dat
     return df.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), kind.alias("kind")).mapInArrow(cut, schema)
 
 
-def _requests(blocks: DataFrame, words: bool) -> DataFrame:
-    """(key, block, slot, counted, weighed): what each block has of a word, or of a pair or triple of words."""
-    kind = pa.string() if words else pa.int64()
+def _requests(blocks: DataFrame, level: str, buckets: int) -> DataFrame:
+    """(level, bucket, block, keys, counted, weighed): what each block has of the words, or pairs and triples, whose hash starts with a bucket's bits."""
 
     def listed(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                b = Block.of(batch, k)
-                if words:
-                    keys, slots, (counted, weighed) = pa.array(b.words, kind), np.arange(len(b.words)), b.words_counted()
-                else:
-                    grams = b.grams()
-                    keys, slots, (counted, weighed) = pa.array(grams[0].view(np.int64)), len(b.words) + np.arange(len(grams[0])), b.grams_counted(*grams)
-                of = np.full(len(slots), batch.column("block")[k].as_py(), np.int64)
-                arrays = [keys, pa.array(of), *[pa.array(a, pa.int32()) for a in (slots, counted, weighed)]]
-                rows = pa.RecordBatch.from_arrays(arrays, ["key", "block", "slot", "counted", "weighed"])
-                for at in range(0, rows.num_rows, 1 << 16):
-                    yield rows.slice(at, 1 << 16)
+                keys, counts, *_ = getattr(Block.of(batch, k), level)()
+                cuts = _cuts(keys, buckets)
+                full = np.flatnonzero(np.diff(cuts))
+                slices = [(level, b, batch.column("block")[k].as_py(), _planes(keys[cuts[b] : cuts[b + 1]]), *[_small(c[cuts[b] : cuts[b + 1]]) for c in counts]) for b in full.tolist()]
+                for at in range(0, len(slices), 64):
+                    kinds = pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*slices[at : at + 64], strict=True), kinds, strict=True)], ["level", "bucket", "block", "keys", "counted", "weighed"])
+
+    return blocks.select("block", "kinds", "lens", "codes", "hashes").mapInArrow(listed, "level string, bucket long, block long, keys binary, counted binary, weighed binary")
+
 
-    return blocks.select("block", "kinds", "lens", "codes", "words").mapInArrow(listed, f"key {'string' if words else 'long'}, block long, slot int, counted int, weighed int")
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the keys of each of a power of two of buckets start, and the end."""
+    if buckets == 1:
+        return np.array([0, len(keys)])
+    first = np.arange(buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
+    return np.append(np.searchsorted(keys, first), len(keys))
 
 
 def _replies(requests: DataFrame) -> DataFrame:
-    """(block, slot, counted, weighed) over all blocks, for what two blocks or more have; a block knows the rest itself."""
-    of = Window.partitionBy("key")
-    total = requests.select("block", "slot", F.count(F.lit(1)).over(of).alias("n"), F.sum("counted").over(of).alias("counted"), F.sum("weighed").over(of).alias("weighed"))
-    return total.filter("n > 1").drop("n")
-
-
-def _shares(c1, c2, c3, b: Block, tokens: int, texts: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """([p3, p2, p1], bucket) at the scored places from counts at all places; the bucket is the bit lengths of both contexts' counts."""
-    one = np.where(b.codes == BOS, texts, c1)
-    two = np.where(b.marked, texts, c2)
-    at = np.flatnonzero(b.scored)
-    wide, narrow = two[at - 1], one[at - 1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        shares = [np.where(d > 0, n[at] / np.maximum(d, 1), 0.0) for n, d in ((c3, wide), (c2, narrow))]
-    shares.append(c1[at] / tokens if tokens else np.ones(len(at)))  # without tokens, as the uniform estimate over none
+    """Per block and bucket which of its keys other blocks have too (``shared``, bits) and their counts over all blocks; a block
+    knows the rest itself. A row of null block counts the bucket's keys that texts learned from, or texts counted, have."""
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = table.select(["block", "keys", "counted", "weighed"]).to_pylist()
+        keys = [_ascending(r["keys"]) for r in rows]
+        sizes = [len(k) for k in keys]
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        ranked = np.concatenate(keys)[order]
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        at = np.flatnonzero(new)
+        totals = [np.add.reduceat(np.concatenate([_counts(r[c], m) for r, m in zip(rows, sizes, strict=True)])[order], at) for c in ("counted", "weighed")]
+        slot = np.empty(len(order), np.int64)
+        slot[order] = np.cumsum(new) - 1
+        common = np.diff(np.append(at, len(order))) > 1
+        out, start = [], 0
+        for r, n in zip(rows, sizes, strict=True):
+            own = slot[start : start + n]
+            start += n
+            shared = common[own]
+            if shared.any():
+                out.append((r["block"], np.packbits(shared).tobytes(), *[_small(t[own[shared]]) for t in totals], 0, 0))
+        out.append((None, None, None, None, int((sum(totals) > 0).sum()), int((totals[0] > 0).sum())))
+        kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+        columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.table([pa.array([table.column(c)[0].as_py()] * len(out), t) for c, t in (("level", pa.string()), ("bucket", pa.int64()))] + columns, ["level", "bucket", "block", "shared", "counted", "weighed", "learned", "main"])
+
+    return requests.groupBy("level", "bucket").applyInArrow(added, "level string, bucket long, block long, shared binary, counted binary, weighed binary, learned long, main long")
+
+
+def _shares(words, c2, c3, b: Block, tokens: int, texts: int, only=slice(None)) -> tuple[list[np.ndarray], np.ndarray]:
+    """([p3, p2, p1], bucket) at scored places from counts of words and of all places; the bucket is the bit lengths of both contexts' counts."""
+    at = np.flatnonzero(b.scored)[only]
+    wide = np.where(b.marked[at - 1], texts, c2[at - 1])
+    narrow = np.where(b.codes[at - 1] == BOS, texts, words[b.codes[at - 1]])
+    shares = [np.where(d > 0, n[at] / np.maximum(d, 1), 0.0) for n, d in ((c3, wide), (c2, narrow))]
+    shares.append(words[b.codes[at]] / tokens if tokens else np.ones(len(at)))  # without tokens, as the uniform estimate over none
     return shares, np.frexp(wide.astype(np.float64))[1] * SIDE + np.frexp(narrow.astype(np.float64))[1]
 
 
-def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int]) -> DataFrame:
+def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets: int) -> DataFrame:
     """Blocks with their places' counts over all texts learned from, segment sums, and shares for fitting the weights."""
     seg = "rows array<long>, n_tokens array<long>, n_known array<long>, base array<double>"
-    schema = T._parse_datatype_string(f"block long, {seg}, codes binary, lens binary, kinds binary, c1 binary, c2 binary, c3 binary, shares binary, buckets binary")
+    schema = T._parse_datatype_string(f"block long, {seg}, codes binary, lens binary, kinds binary, n_words int, words binary, c2 binary, c3 binary, shares binary, buckets binary")
     schema.add("ids", blocks.schema["ids"].dataType)
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.combine_chunks().to_batches()[0]
         b = Block.of(batch, 0)
-        keys, at2, at3 = b.grams()
-        counts = [np.concatenate((w, g)).astype(np.int64) for w, g in zip(b.words_counted(), b.grams_counted(keys, at2, at3), strict=True)]
-        slot = right.column("slot").to_numpy()
-        for c, name in zip(counts, ("counted", "weighed"), strict=True):
-            c[slot] = right.column(name).to_numpy()
+        grams = b.grams()
+        found = {"words": b.words(), "grams": grams[:2]}
+        cuts = {level: _cuts(keys, buckets) for level, (keys, _) in found.items()}
+        for r in right.to_pylist():
+            low, high = cuts[r["level"]][r["bucket"] : r["bucket"] + 2]
+            at = low + np.flatnonzero(np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=high - low))
+            for counts, name in zip(found[r["level"]][1], ("counted", "weighed"), strict=True):
+                counts[at] = _counts(r[name], len(at))
         places = {}
-        for name, c in (("all", counts[0] + counts[1]), ("main", counts[0])):
-            c1, c2, c3 = (np.zeros(len(b.codes), np.int64) for _ in range(3))
-            real = b.codes != BOS
-            c1[real] = c[b.codes[real]]
-            c2[b.paired] = c[len(b.words) + at2]
-            c3[b.scored] = c[len(b.words) + at3]
-            places[name] = c1, c2, c3
-        c1, c2, c3 = places["all"]
+        for name, (w, g) in {"all": [sum(found[level][1]) for level in ("words", "grams")], "main": [found[level][1][0] for level in ("words", "grams")]}.items():
+            c2, c3 = np.zeros(len(b.codes), np.int64), np.zeros(len(b.codes), np.int64)
+            c2[b.paired], c3[b.scored] = g[grams[2]], g[grams[3]]
+            places[name] = w, c2, c3
+        words, c2, c3 = places["all"]
+        c1 = words[b.codes]
         known = np.where(b.scored, c1 > 0, 0)
         base = np.where(b.scored, np.log10((c1 + 1) / (n["tokens"] + n["words"] + 1)), 0.0)
-        shares, bucket = _shares(*places["main"], b, n["main_tokens"], n["main_texts"])
         fit = b.kind[b.scored] == WEIGHED
+        shares, bucket = _shares(*places["main"], b, n["main_tokens"], n["main_texts"], fit)
         values = {
             "block": batch.column("block"),
             "rows": batch.column("rows"),
             **{name: pa.array([np.add.reduceat(x, b.starts)], pa.list_(kind)) for name, x, kind in (("n_tokens", b.scored.astype(np.int64), pa.int64()), ("n_known", known, pa.int64()), ("base", base, pa.float64()))},
             **{c: batch.column(c) for c in ("codes", "lens", "kinds")},
-            **{name: pa.array([_packed(c)], pa.binary()) for name, c in (("c1", c1), ("c2", c2), ("c3", c3))},
-            "shares": pa.array([np.stack(shares)[:, fit].astype("<f8").tobytes()], pa.binary()),
-            "buckets": pa.array([bucket[fit].astype("<i4").tobytes()], pa.binary()),
+            "n_words": pa.array([len(words)], pa.int32()),
+            **{name: pa.array([_small(c)], pa.binary()) for name, c in (("words", words), ("c2", c2), ("c3", c3))},
+            "shares": pa.array([np.stack(shares).astype("<f8").tobytes()], pa.binary()),
+            "buckets": pa.array([bucket.astype("<i4").tobytes()], pa.binary()),
             "ids": batch.column("ids"),
         }
-        return pa.table([values[f.name] for f in schema.fields], [f.name for f in schema.fields])
+        return pa.table([values[f.name] for f in schema.fields], schema.names)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(resolve, schema)
+    kept = blocks.select("block", "rows", "ids", "kinds", "lens", "codes", "hashes")
+    return kept.groupBy("block").cogroup(replies.select("level", "bucket", "block", "shared", "counted", "weighed").groupBy("block")).applyInArrow(resolve, schema)
 
 
 def starting_weights() -> np.ndarray:
@@ -320,21 +365,21 @@ def _scored(resolved: DataFrame, w: np.ndarray, n: dict[str, int]) -> DataFrame:
     def score(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                codes, lens, kinds = (np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("codes", "lens", "kinds"))
-                b = Block([], codes, lens, kinds)
-                c1, c2, c3 = (_unpacked(batch.column(c)[k].as_py(), len(codes)) for c in ("c1", "c2", "c3"))
-                shares, bucket = _shares(c1, c2, c3, b, n["tokens"], n["texts"])
-                p = np.zeros(len(codes))
+                lens, kinds = (np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("lens", "kinds"))
+                b = Block(np.zeros(0, np.uint64), _inflated(batch.column("codes")[k].as_py(), 4 * int(lens.sum()), "<i4"), lens, kinds)
+                words, c2, c3 = (_counts(batch.column(c)[k].as_py(), m) for c, m in (("words", batch.column("n_words")[k].as_py()), ("c2", len(b.codes)), ("c3", len(b.codes))))
+                shares, bucket = _shares(words, c2, c3, b, n["tokens"], n["texts"])
+                p = np.zeros(len(b.codes))
                 p[b.scored] = np.log10((np.stack((*shares, np.full(len(bucket), 1 / (n["words"] + 1)))) * w[bucket].T).sum(0))
                 lists = [batch.column(c).slice(k, 1).flatten() for c in ("rows", "ids", "n_tokens", "n_known", "base")]
                 yield pa.RecordBatch.from_arrays([*lists[:2], pa.array(kinds), *lists[2:], pa.array(np.add.reduceat(p, b.starts))], ["row", "id", "kind", "n_tokens", "n_known", "base", "score"])
 
     schema = T._parse_datatype_string("row long, kind int, n_tokens long, n_known long, base double, score double")
     schema = T.StructType([schema["row"], T.StructField("id", kind_of_id), *schema.fields[1:]])
-    return resolved.select("rows", "ids", "n_tokens", "n_known", "base", "codes", "lens", "kinds", "c1", "c2", "c3").mapInArrow(score, schema)
+    return resolved.select("rows", "ids", "n_tokens", "n_known", "base", "codes", "lens", "kinds", "n_words", "words", "c2", "c3").mapInArrow(score, schema)
 
 
-def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 19, rounds: int = 12, gain: float = 1e-4) -> DataFrame:
+def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, rounds: int = 12, gain: float = 1e-4) -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the whole text (runs without ASCII white space, A-Z in lower case) and one end. The model
@@ -343,23 +388,27 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     from expectation-maximisation on a tenth of the texts learned from, under counts from the other nine tenths. Scores
     use the counts of all texts learned from. base_score is the sum of log10((c + 1) / (N + V + 1)).
 
-    Texts are tokenised once and written in blocks of ``block_tokens``. Each block lists its distinct words, pairs and triples with
-    its own counts; rows of one key are added up by a window (at most one row a block, so a frequent word is no hot
-    task) and sent back only if two blocks or more have it, since a block knows the count of what it alone has. A longer text fills several
-    blocks, each with the two words before it. Words are compared as strings; pairs and triples by 64-bit hashes, so one
-    count in 2 ** 64 / (number of keys) may be shared.
+    Texts are tokenised once and written in blocks of ``block_tokens``. Each block lists its distinct words, pairs and triples as
+    64-bit hashes with its own counts, sorted, and cut by the hashes' first bits into buckets of some half a million keys of
+    all blocks, at most one entry a block and key, so a frequent word is no hot task. A bucket's counts are added up in one task and
+    sent back for keys that two blocks or more have, since a block knows the counts of what it alone has. A longer text fills several
+    blocks, each with the two words before it. That two of n words share a hash has the probability n ** 2 / 2 ** 65.
 
     Null or empty text is the end alone. A null id is learned from. Rows that repeat an id are scored, and counted, each; other columns are ignored. Without texts
     to learn from, every token has the probability of an unknown one. An empty table gives no rows.
     """
     ship_package(df.sparkSession)
     blocks = stage(_blocks(df, id_col, text_col, block_tokens), "lm-blocks")
-    words = stage(_requests(blocks, True).groupBy("key").agg(F.sum("counted").alias("counted"), F.sum(F.col("counted") + F.col("weighed")).alias("c")).filter("c > 0"), "lm-words")
-    known = F.sum("c"), F.count(F.lit(1)), F.sum("counted"), F.count_if(F.col("counted") > 0), F.sum(F.when(F.col("key") == END, F.col("c"))), F.sum(F.when(F.col("key") == END, F.col("counted")))
-    names = "tokens", "words", "main_tokens", "main_words", "texts", "main_texts"
-    n = {k: v or 0 for k, v in words.agg(*[c.alias(k) for c, k in zip(known, names, strict=True)]).collect()[0].asDict().items()}
-    replies = _replies(_requests(blocks, True)).unionByName(_replies(_requests(blocks, False)))
-    resolved = stage(_resolved(blocks, replies, n), "lm-resolved")
+    sums = blocks.agg(*[F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("tokens", "texts") for k in (COUNTED, WEIGHED, HELD)]).collect()[0]
+    n = {"main_tokens": sums["tokens0"] or 0, "main_texts": sums["texts0"] or 0}
+    n |= {"tokens": n["main_tokens"] + (sums["tokens1"] or 0), "texts": n["main_texts"] + (sums["texts1"] or 0)}
+    buckets = 1 << ((n["tokens"] + (sums["tokens2"] or 0)) >> 19).bit_length()
+    words = stage(_replies(_requests(blocks, "words", buckets)), "lm-words")
+    known = words.filter("block IS NULL").agg(F.sum("learned"), F.sum("main")).collect()[0]
+    n |= {"words": known[0] or 0, "main_words": known[1] or 0}
+    replies = words.unionByName(_replies(_requests(blocks, "grams", buckets))).filter("block IS NOT NULL")
+    resolved = stage(_resolved(blocks, replies, n, buckets), "lm-resolved")
+    unstage(blocks, words)
     w = fit_weights(resolved, 1 / (n["main_words"] + 1), rounds, gain)
     segments = _scored(resolved, w, n)
     out = segments.groupBy("row").agg(F.first("id").alias("id"), F.first("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])

@@ -113,7 +113,7 @@ def as_rows(df):
     return sorted(((None if r.doc_id is None else str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("block_tokens", [2, 37, 1 << 19])
+@pytest.mark.parametrize("block_tokens", [2, 37, 1 << 20])
 def test_scores_equal_the_plain_model(spark, block_tokens):
     rows = corpus()
     got, want = as_rows(interpolated_scores(table(spark, rows), block_tokens=block_tokens)), sorted(plain(rows), key=repr)
