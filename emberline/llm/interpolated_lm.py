@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.plans.staging import stage, unstage
+from emberline.plans.staging import stage, stage_path, unstage
 from emberline.session import ship_package
 
 END = "\n"  # No word holds white space.
@@ -83,15 +83,15 @@ class Block:
         """(sorted keys, counts by kind) of the words."""
         return self.hashes, self._counted(self.codes[self.scored], self.scored, len(self.hashes))
 
-    def grams(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(sorted keys, counts by kind, slot of each paired place, slot of each scored place) of pairs and triples."""
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(sorted keys of so many high bits, counts by kind, slot of each paired place, slot of each scored place) of pairs and, in order 3, triples."""
         h = np.append(self.hashes, np.uint64(0x51ED270B)).take(self.codes)  # code -1 is the last
         pairs = _mix(np.roll(h, 1), h, 2)
-        triples = _mix(np.roll(pairs, 1), h, 3)[self.scored]
-        pairs = pairs[self.paired]
-        keys, slots = np.unique(np.concatenate((pairs, triples)), return_inverse=True)
+        triples = _mix(np.roll(pairs, 1), h, 3)[self.scored & (order == 3)]
+        pairs, low = pairs[self.paired], np.uint64(64 - bits)
+        keys, slots = np.unique(np.concatenate((pairs, triples)) >> low << low, return_inverse=True)
         two, three = slots[: len(pairs)], slots[len(pairs) :]
-        counts = [a + b for a, b in zip(self._counted(two, self.paired, len(keys)), self._counted(three, self.scored, len(keys)), strict=True)]
+        counts = [a + b for a, b in zip(self._counted(two, self.paired, len(keys)), self._counted(three, self.scored & (order == 3), len(keys)), strict=True)]
         return keys, counts, two, three
 
     @classmethod
@@ -102,12 +102,13 @@ class Block:
 
 
 def _planes(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as differences, bytes of one weight together, which compresses well."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending 64-bit keys as differences, bytes of one weight together, compressed, after eight bytes with their number."""
+    return len(keys).to_bytes(8, "little") + _deflated(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _ascending(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+    n = int.from_bytes(raw[:8], "little")
+    return np.cumsum(_inflated(raw[8:], 8 * n, np.uint8).reshape(8, n).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -194,13 +195,24 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Dat
     return df.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), kind.alias("kind")).mapInArrow(cut, schema)
 
 
-def _requests(blocks: DataFrame, level: str, buckets: int) -> DataFrame:
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table bucketed by block, so that replies come to them and they are not shuffled again."""
+    spark = blocks.sparkSession
+    path = stage_path(spark, "lm-blocks")
+    name = f"lm_blocks_{path[-32:]}"
+    blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.name, out.staged_at = name, path
+    return out
+
+
+def _requests(blocks: DataFrame, level: str, buckets: int, *how: int) -> DataFrame:
     """(level, bucket, block, keys, counted, weighed): what each block has of the words, or pairs and triples, whose hash starts with a bucket's bits."""
 
     def listed(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, counts, *_ = getattr(Block.of(batch, k), level)()
+                keys, counts, *_ = getattr(Block.of(batch, k), level)(*how)
                 cuts = _cuts(keys, buckets)
                 full = np.flatnonzero(np.diff(cuts))
                 slices = [(level, b, batch.column("block")[k].as_py(), _planes(keys[cuts[b] : cuts[b + 1]]), *[_small(c[cuts[b] : cuts[b + 1]]) for c in counts]) for b in full.tolist()]
@@ -250,26 +262,29 @@ def _replies(requests: DataFrame) -> DataFrame:
     return requests.groupBy("level", "bucket").applyInArrow(added, "level string, bucket long, block long, shared binary, counted binary, weighed binary, learned long, main long")
 
 
-def _shares(words, c2, c3, b: Block, tokens: int, texts: int, only=slice(None)) -> tuple[list[np.ndarray], np.ndarray]:
-    """([p3, p2, p1], bucket) at scored places from counts of words and of all places; the bucket is the bit lengths of both contexts' counts."""
-    at = np.flatnonzero(b.scored)[only]
-    wide = np.where(b.marked[at - 1], texts, c2[at - 1])
-    narrow = np.where(b.codes[at - 1] == BOS, texts, words[b.codes[at - 1]])
-    shares = [np.where(d > 0, n[at] / np.maximum(d, 1), 0.0) for n, d in ((c3, wide), (c2, narrow))]
-    shares.append(words[b.codes[at]] / tokens if tokens else np.ones(len(at)))  # without tokens, as the uniform estimate over none
-    return shares, np.frexp(wide.astype(np.float64))[1] * SIDE + np.frexp(narrow.astype(np.float64))[1]
+#: Counts of the scored places (c) and, without the texts that weights are fitted on, of the places of those texts (m); see ``_resolved``.
+COUNTS = "n_c long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
+
+
+def _shares(batch: pa.RecordBatch, k: int, letter: str, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimates after two words, after one, alone; bucket) by place; the bucket is the bit lengths of both contexts' counts."""
+    n = batch.column(f"n_{letter}")[k].as_py()
+    three, wide, two, narrow, one = (_counts(batch.column(f"{letter}{j}")[k].as_py(), n) for j in range(5))
+    shares = [np.where(d > 0, c / np.maximum(d, 1), 0.0) for c, d in ((three, wide), (two, narrow))]
+    shares.append(one / tokens if tokens else np.ones(n))  # without tokens, as the uniform estimate over none
+    return np.stack(shares), np.frexp(wide.astype(np.float64))[1] * SIDE + np.frexp(narrow.astype(np.float64))[1]
 
 
-def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets: int) -> DataFrame:
+def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets: int, *how: int) -> DataFrame:
     """Blocks with their places' counts over all texts learned from, segment sums, and shares for fitting the weights."""
     seg = "rows array<long>, n_tokens array<long>, n_known array<long>, base array<double>"
-    schema = T._parse_datatype_string(f"block long, {seg}, codes binary, lens binary, kinds binary, n_words int, words binary, c2 binary, c3 binary, shares binary, buckets binary")
+    schema = T._parse_datatype_string(f"block long, {seg}, lens binary, kinds binary, {COUNTS}, {COUNTS.replace('c', 'm')}")
     schema.add("ids", blocks.schema["ids"].dataType)
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.combine_chunks().to_batches()[0]
         b = Block.of(batch, 0)
-        grams = b.grams()
+        grams = b.grams(*how)
         found = {"words": b.words(), "grams": grams[:2]}
         cuts = {level: _cuts(keys, buckets) for level, (keys, _) in found.items()}
         for r in right.to_pylist():
@@ -279,24 +294,25 @@ def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets:
                 counts[at] = _counts(r[name], len(at))
         places = {}
         for name, (w, g) in {"all": [sum(found[level][1]) for level in ("words", "grams")], "main": [found[level][1][0] for level in ("words", "grams")]}.items():
-            c2, c3 = np.zeros(len(b.codes), np.int64), np.zeros(len(b.codes), np.int64)
-            c2[b.paired], c3[b.scored] = g[grams[2]], g[grams[3]]
-            places[name] = w, c2, c3
-        words, c2, c3 = places["all"]
-        c1 = words[b.codes]
+            c1, c2, c3 = w[b.codes], *np.zeros((2, len(b.codes)), np.int64)
+            c2[b.paired] = g[grams[2]]
+            c3[b.scored & (how[0] == 3)] = g[grams[3]]
+            texts = n["texts" if name == "all" else "main_texts"]
+            at = np.flatnonzero(b.scored) if name == "all" else np.flatnonzero(b.kind == WEIGHED)
+            # of a token after two words, of those two, of it after one, of that one, and alone
+            places[name] = c3[at], np.where(b.marked[at - 1], texts, c2[at - 1]), c2[at], np.where(b.codes[at - 1] == BOS, texts, c1[at - 1]), c1[at]
+        c1 = np.zeros(len(b.codes), np.int64)
+        c1[b.scored] = places["all"][4]
         known = np.where(b.scored, c1 > 0, 0)
         base = np.where(b.scored, np.log10((c1 + 1) / (n["tokens"] + n["words"] + 1)), 0.0)
-        fit = b.kind[b.scored] == WEIGHED
-        shares, bucket = _shares(*places["main"], b, n["main_tokens"], n["main_texts"], fit)
         values = {
             "block": batch.column("block"),
             "rows": batch.column("rows"),
             **{name: pa.array([np.add.reduceat(x, b.starts)], pa.list_(kind)) for name, x, kind in (("n_tokens", b.scored.astype(np.int64), pa.int64()), ("n_known", known, pa.int64()), ("base", base, pa.float64()))},
-            **{c: batch.column(c) for c in ("codes", "lens", "kinds")},
-            "n_words": pa.array([len(words)], pa.int32()),
-            **{name: pa.array([_small(c)], pa.binary()) for name, c in (("words", words), ("c2", c2), ("c3", c3))},
-            "shares": pa.array([np.stack(shares).astype("<f8").tobytes()], pa.binary()),
-            "buckets": pa.array([bucket.astype("<i4").tobytes()], pa.binary()),
+            **{c: batch.column(c) for c in ("lens", "kinds")},
+            **{f"{letter}{k}": pa.array([_small(c)], pa.binary()) for letter, name in (("c", "all"), ("m", "main")) for k, c in enumerate(places[name])},
+            "n_m": pa.array([len(places["main"][0])], pa.int64()),
+            "n_c": pa.array([len(places["all"][0])], pa.int64()),
             "ids": batch.column("ids"),
         }
         return pa.table([values[f.name] for f in schema.fields], schema.names)
@@ -325,12 +341,12 @@ def maximised(w: np.ndarray, bucket: np.ndarray, expected: np.ndarray) -> np.nda
     return out / out.sum(1, keepdims=True)
 
 
-def fit_weights(resolved: DataFrame, uniform: float, rounds: int, gain: float) -> np.ndarray:
+def fit_weights(resolved: DataFrame, tokens: int, words: int, rounds: int, gain: float) -> np.ndarray:
     """Mixture weights by expectation-maximisation on the deleted texts; each round reads all their places and sends four sums a bucket.
 
     Ends after ``rounds``, or once the mean log10 probability of a token grows by less than ``gain``.
     """
-    places = resolved.select("shares", "buckets").filter(F.octet_length("buckets") > 0)
+    places = resolved.select("n_m", *[f"m{j}" for j in range(5)]).filter("n_m > 0")
     w, last = starting_weights(), -np.inf
     for _ in range(rounds):
 
@@ -338,8 +354,8 @@ def fit_weights(resolved: DataFrame, uniform: float, rounds: int, gain: float) -
             total = np.zeros((SIDE * SIDE, 5))
             for batch in batches:
                 for k in range(batch.num_rows):
-                    bucket = np.frombuffer(batch.column(1)[k].as_py(), "<i4")
-                    p = np.concatenate((np.frombuffer(batch.column(0)[k].as_py(), "<f8").reshape(3, -1), np.full((1, len(bucket)), uniform))) * w[bucket].T
+                    shares, bucket = _shares(batch, k, "m", tokens)
+                    p = np.concatenate((shares, np.full((1, len(bucket)), 1 / (words + 1)))) * w[bucket].T
                     sums = p.sum(0)
                     for j, x in enumerate((*p / sums, np.log10(sums))):
                         total[:, j] += np.bincount(bucket, x, SIDE * SIDE)
@@ -366,20 +382,18 @@ def _scored(resolved: DataFrame, w: np.ndarray, n: dict[str, int]) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 lens, kinds = (np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("lens", "kinds"))
-                b = Block(np.zeros(0, np.uint64), _inflated(batch.column("codes")[k].as_py(), 4 * int(lens.sum()), "<i4"), lens, kinds)
-                words, c2, c3 = (_counts(batch.column(c)[k].as_py(), m) for c, m in (("words", batch.column("n_words")[k].as_py()), ("c2", len(b.codes)), ("c3", len(b.codes))))
-                shares, bucket = _shares(words, c2, c3, b, n["tokens"], n["texts"])
-                p = np.zeros(len(b.codes))
-                p[b.scored] = np.log10((np.stack((*shares, np.full(len(bucket), 1 / (n["words"] + 1)))) * w[bucket].T).sum(0))
+                shares, bucket = _shares(batch, k, "c", n["tokens"])
+                p = np.log10((np.concatenate((shares, np.full((1, len(bucket)), 1 / (n["words"] + 1)))) * w[bucket].T).sum(0))
+                starts = np.cumsum(lens - 2) - (lens - 2)
                 lists = [batch.column(c).slice(k, 1).flatten() for c in ("rows", "ids", "n_tokens", "n_known", "base")]
-                yield pa.RecordBatch.from_arrays([*lists[:2], pa.array(kinds), *lists[2:], pa.array(np.add.reduceat(p, b.starts))], ["row", "id", "kind", "n_tokens", "n_known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([*lists[:2], pa.array(kinds), *lists[2:], pa.array(np.add.reduceat(p, starts))], ["row", "id", "kind", "n_tokens", "n_known", "base", "score"])
 
     schema = T._parse_datatype_string("row long, kind int, n_tokens long, n_known long, base double, score double")
     schema = T.StructType([schema["row"], T.StructField("id", kind_of_id), *schema.fields[1:]])
-    return resolved.select("rows", "ids", "n_tokens", "n_known", "base", "codes", "lens", "kinds", "n_words", "words", "c2", "c3").mapInArrow(score, schema)
+    return resolved.select("rows", "ids", "n_tokens", "n_known", "base", "lens", "kinds", "n_c", *[f"c{j}" for j in range(5)]).mapInArrow(score, schema)
 
 
-def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, rounds: int = 12, gain: float = 1e-4) -> DataFrame:
+def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, block_tokens: int = 1 << 20, rounds: int = 12, gain: float = 1e-4) -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the whole text (runs without ASCII white space, A-Z in lower case) and one end. The model
@@ -388,28 +402,31 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     from expectation-maximisation on a tenth of the texts learned from, under counts from the other nine tenths. Scores
     use the counts of all texts learned from. base_score is the sum of log10((c + 1) / (N + V + 1)).
 
-    Texts are tokenised once and written in blocks of ``block_tokens``. Each block lists its distinct words, pairs and triples as
-    64-bit hashes with its own counts, sorted, and cut by the hashes' first bits into buckets of some half a million keys of
+    Texts are tokenised once and written in blocks of ``block_tokens``. Each block lists its distinct words, pairs and triples
+    (pairs alone in ``order`` 2) as hashes with its own counts, sorted, and cut by the hashes' first bits into buckets of some half a million keys of
     all blocks, at most one entry a block and key, so a frequent word is no hot task. A bucket's counts are added up in one task and
     sent back for keys that two blocks or more have, since a block knows the counts of what it alone has. A longer text fills several
-    blocks, each with the two words before it. That two of n words share a hash has the probability n ** 2 / 2 ** 65.
+    blocks, each with the two words before it. Words have hashes of 64 bits, so two of n words share one with probability n ** 2 / 2 ** 65.
+    Pairs and triples have 17 bits more than the number of tokens, so about one in 100,000 shares its count with another, at any size.
 
     Null or empty text is the end alone. A null id is learned from. Rows that repeat an id are scored, and counted, each; other columns are ignored. Without texts
     to learn from, every token has the probability of an unknown one. An empty table gives no rows.
     """
     ship_package(df.sparkSession)
-    blocks = stage(_blocks(df, id_col, text_col, block_tokens), "lm-blocks")
+    blocks = _bucketed(_blocks(df, id_col, text_col, block_tokens))
     sums = blocks.agg(*[F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("tokens", "texts") for k in (COUNTED, WEIGHED, HELD)]).collect()[0]
     n = {"main_tokens": sums["tokens0"] or 0, "main_texts": sums["texts0"] or 0}
     n |= {"tokens": n["main_tokens"] + (sums["tokens1"] or 0), "texts": n["main_texts"] + (sums["texts1"] or 0)}
-    buckets = 1 << ((n["tokens"] + (sums["tokens2"] or 0)) >> 19).bit_length()
+    total = n["tokens"] + (sums["tokens2"] or 0)
+    buckets, bits = 1 << (total >> 19).bit_length(), min(64, total.bit_length() + 17)
     words = stage(_replies(_requests(blocks, "words", buckets)), "lm-words")
     known = words.filter("block IS NULL").agg(F.sum("learned"), F.sum("main")).collect()[0]
     n |= {"words": known[0] or 0, "main_words": known[1] or 0}
-    replies = words.unionByName(_replies(_requests(blocks, "grams", buckets))).filter("block IS NOT NULL")
-    resolved = stage(_resolved(blocks, replies, n, buckets), "lm-resolved")
+    replies = words.unionByName(_replies(_requests(blocks, "grams", buckets, order, bits))).filter("block IS NOT NULL")
+    resolved = stage(_resolved(blocks, replies, n, buckets, order, bits), "lm-resolved")
+    df.sparkSession.sql(f"DROP TABLE {blocks.name}")
     unstage(blocks, words)
-    w = fit_weights(resolved, 1 / (n["main_words"] + 1), rounds, gain)
+    w = fit_weights(resolved, n["main_tokens"], n["main_words"], rounds, gain)
     segments = _scored(resolved, w, n)
     out = segments.groupBy("row").agg(F.first("id").alias("id"), F.first("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(F.col("id").alias(id_col), (F.col("kind") == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(n["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
