@@ -82,7 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpolated_scores(documents(spark, sf_dir))
+    return interpolated_scores(documents(spark, sf_dir), order=2)
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,23 +262,22 @@ def _replies(requests: DataFrame) -> DataFrame:
     return requests.groupBy("level", "bucket").applyInArrow(added, "level string, bucket long, block long, shared binary, counted binary, weighed binary, learned long, main long")
 
 
-#: Counts of the scored places (c) and, without the texts that weights are fitted on, of the places of those texts (m); see ``_resolved``.
-COUNTS = "n_c long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
-
-
-def _shares(batch: pa.RecordBatch, k: int, letter: str, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates after two words, after one, alone; bucket) by place; the bucket is the bit lengths of both contexts' counts."""
-    n = batch.column(f"n_{letter}")[k].as_py()
-    three, wide, two, narrow, one = (_counts(batch.column(f"{letter}{j}")[k].as_py(), n) for j in range(5))
-    shares = [np.where(d > 0, c / np.maximum(d, 1), 0.0) for c, d in ((three, wide), (two, narrow))]
-    shares.append(one / tokens if tokens else np.ones(n))  # without tokens, as the uniform estimate over none
-    return np.stack(shares), np.frexp(wide.astype(np.float64))[1] * SIDE + np.frexp(narrow.astype(np.float64))[1]
+def _shares(batch: pa.RecordBatch, k: int, letter: str, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimates after two words, after one, alone; bucket; starts) of the scored places of segments; the bucket is the bit lengths of both contexts' counts."""
+    lens = np.frombuffer(batch.column("lens" if letter == "c" else "fitted")[k].as_py(), "<i4").astype(np.int64)
+    one, two, three = (_counts(batch.column(f"{letter}{j}")[k].as_py(), int(lens.sum())) for j in (1, 2, 3))
+    at = np.flatnonzero(np.arange(len(one)) - np.repeat(np.cumsum(lens) - lens, lens) >= 2)
+    wide, narrow = two[at - 1], one[at - 1]
+    shares = [np.where(d > 0, c[at] / np.maximum(d, 1), 0.0) for c, d in ((three, wide), (two, narrow))]
+    shares.append(one[at] / tokens if tokens else np.ones(len(at)))  # without tokens, as the uniform estimate over none
+    return np.stack(shares), np.frexp(wide.astype(np.float64))[1] * SIDE + np.frexp(narrow.astype(np.float64))[1], np.cumsum(lens - 2) - (lens - 2)
 
 
 def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets: int, *how: int) -> DataFrame:
     """Blocks with their places' counts over all texts learned from, segment sums, and shares for fitting the weights."""
     seg = "rows array<long>, n_tokens array<long>, n_known array<long>, base array<double>"
-    schema = T._parse_datatype_string(f"block long, {seg}, lens binary, kinds binary, {COUNTS}, {COUNTS.replace('c', 'm')}")
+    counts = ", ".join(f"{c}{k} binary" for c in "cm" for k in (1, 2, 3))
+    schema = T._parse_datatype_string(f"block long, {seg}, lens binary, kinds binary, fitted binary, {counts}")
     schema.add("ids", blocks.schema["ids"].dataType)
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -297,22 +296,24 @@ def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets:
             c1, c2, c3 = w[b.codes], *np.zeros((2, len(b.codes)), np.int64)
             c2[b.paired] = g[grams[2]]
             c3[b.scored & (how[0] == 3)] = g[grams[3]]
-            texts = n["texts" if name == "all" else "main_texts"]
-            at = np.flatnonzero(b.scored) if name == "all" else np.flatnonzero(b.kind == WEIGHED)
-            # of a token after two words, of those two, of it after one, of that one, and alone
-            places[name] = c3[at], np.where(b.marked[at - 1], texts, c2[at - 1]), c2[at], np.where(b.codes[at - 1] == BOS, texts, c1[at - 1]), c1[at]
-        c1 = np.zeros(len(b.codes), np.int64)
-        c1[b.scored] = places["all"][4]
+            # start marks: every text has them
+            c1[b.codes == BOS] = c2[b.marked] = n["texts" if name == "all" else "main_texts"]
+            places[name] = c1, c2, c3
+        c1 = places["all"][0]
         known = np.where(b.scored, c1 > 0, 0)
         base = np.where(b.scored, np.log10((c1 + 1) / (n["tokens"] + n["words"] + 1)), 0.0)
+        fit = b.kind == WEIGHED
+        for k in (1, 2):  # with the places that the counts of their contexts stand at
+            fit |= np.roll(b.kind == WEIGHED, -k)
+        places["main"] = [c[fit] for c in places["main"]]
+        fitted = np.add.reduceat(fit, b.starts)
         values = {
             "block": batch.column("block"),
             "rows": batch.column("rows"),
             **{name: pa.array([np.add.reduceat(x, b.starts)], pa.list_(kind)) for name, x, kind in (("n_tokens", b.scored.astype(np.int64), pa.int64()), ("n_known", known, pa.int64()), ("base", base, pa.float64()))},
             **{c: batch.column(c) for c in ("lens", "kinds")},
-            **{f"{letter}{k}": pa.array([_small(c)], pa.binary()) for letter, name in (("c", "all"), ("m", "main")) for k, c in enumerate(places[name])},
-            "n_m": pa.array([len(places["main"][0])], pa.int64()),
-            "n_c": pa.array([len(places["all"][0])], pa.int64()),
+            "fitted": pa.array([fitted[fitted > 0].astype("<i4").tobytes()], pa.binary()),
+            **{f"{letter}{k}": pa.array([_small(c)], pa.binary()) for letter, name in (("c", "all"), ("m", "main")) for k, c in enumerate(places[name], 1)},
             "ids": batch.column("ids"),
         }
         return pa.table([values[f.name] for f in schema.fields], schema.names)
@@ -321,40 +322,41 @@ def _resolved(blocks: DataFrame, replies: DataFrame, n: dict[str, int], buckets:
     return kept.groupBy("block").cogroup(replies.select("level", "bucket", "block", "shared", "counted", "weighed").groupBy("block")).applyInArrow(resolve, schema)
 
 
-def starting_weights() -> np.ndarray:
+def starting_weights(order: int) -> np.ndarray:
     """(bucket, component): equal weights of triple, pair, word and uniform; none for a component whose context never occurs."""
     w = np.full((SIDE * SIDE, 4), 0.25)
     w[:SIDE, 0] = 0
+    w[:, 0] *= order == 3
     w[::SIDE, 1] = 0
     return w / w.sum(1, keepdims=True)
 
 
-def maximised(w: np.ndarray, bucket: np.ndarray, expected: np.ndarray) -> np.ndarray:
+def maximised(start: np.ndarray, bucket: np.ndarray, expected: np.ndarray) -> np.ndarray:
     """New weights from expected counts by bucket. Each allowed component has one count more, so none becomes zero; a bucket
     without counts takes those of all buckets of its wider context, or else of all."""
-    open_ = starting_weights() > 0
-    table = np.zeros_like(w)
+    table = np.zeros_like(start)
     table[bucket] = expected
     wide = table.reshape(SIDE, SIDE, 4).sum(1).repeat(SIDE, 0)
     table = np.where(table.sum(1, keepdims=True) > 0, table, np.where(wide.sum(1, keepdims=True) > 0, wide, table.sum(0)))
-    out = np.where(open_, table + 1, 0.0)
+    out = np.where(start > 0, table + 1, 0.0)
     return out / out.sum(1, keepdims=True)
 
 
-def fit_weights(resolved: DataFrame, tokens: int, words: int, rounds: int, gain: float) -> np.ndarray:
+def fit_weights(resolved: DataFrame, order: int, tokens: int, words: int, rounds: int, gain: float) -> np.ndarray:
     """Mixture weights by expectation-maximisation on the deleted texts; each round reads all their places and sends four sums a bucket.
 
     Ends after ``rounds``, or once the mean log10 probability of a token grows by less than ``gain``.
     """
-    places = resolved.select("n_m", *[f"m{j}" for j in range(5)]).filter("n_m > 0")
-    w, last = starting_weights(), -np.inf
+    places = resolved.select("fitted", "m1", "m2", "m3").filter(F.octet_length("fitted") > 0)
+    start = starting_weights(order)
+    w, last = start, -np.inf
     for _ in range(rounds):
 
         def expected(batches, w=w):
             total = np.zeros((SIDE * SIDE, 5))
             for batch in batches:
                 for k in range(batch.num_rows):
-                    shares, bucket = _shares(batch, k, "m", tokens)
+                    shares, bucket, _ = _shares(batch, k, "m", tokens)
                     p = np.concatenate((shares, np.full((1, len(bucket)), 1 / (words + 1)))) * w[bucket].T
                     sums = p.sum(0)
                     for j, x in enumerate((*p / sums, np.log10(sums))):
@@ -366,7 +368,7 @@ def fit_weights(resolved: DataFrame, tokens: int, words: int, rounds: int, gain:
         if not sums.num_rows:
             return w
         e = np.stack([sums.column(c).to_numpy() for c in ("e3", "e2", "e1", "e0")], 1)
-        w = maximised(w, sums.column("bucket").to_numpy(), e)
+        w = maximised(start, sums.column("bucket").to_numpy(), e)
         fit = sums.column("fit").to_numpy().sum() / e.sum()
         if fit - last < gain:
             break
@@ -381,16 +383,15 @@ def _scored(resolved: DataFrame, w: np.ndarray, n: dict[str, int]) -> DataFrame:
     def score(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                lens, kinds = (np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("lens", "kinds"))
-                shares, bucket = _shares(batch, k, "c", n["tokens"])
+                kinds = np.frombuffer(batch.column("kinds")[k].as_py(), "<i4")
+                shares, bucket, starts = _shares(batch, k, "c", n["tokens"])
                 p = np.log10((np.concatenate((shares, np.full((1, len(bucket)), 1 / (n["words"] + 1)))) * w[bucket].T).sum(0))
-                starts = np.cumsum(lens - 2) - (lens - 2)
                 lists = [batch.column(c).slice(k, 1).flatten() for c in ("rows", "ids", "n_tokens", "n_known", "base")]
                 yield pa.RecordBatch.from_arrays([*lists[:2], pa.array(kinds), *lists[2:], pa.array(np.add.reduceat(p, starts))], ["row", "id", "kind", "n_tokens", "n_known", "base", "score"])
 
     schema = T._parse_datatype_string("row long, kind int, n_tokens long, n_known long, base double, score double")
     schema = T.StructType([schema["row"], T.StructField("id", kind_of_id), *schema.fields[1:]])
-    return resolved.select("rows", "ids", "n_tokens", "n_known", "base", "lens", "kinds", "n_c", *[f"c{j}" for j in range(5)]).mapInArrow(score, schema)
+    return resolved.select("rows", "ids", "n_tokens", "n_known", "base", "lens", "kinds", "c1", "c2", "c3").mapInArrow(score, schema)
 
 
 def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, block_tokens: int = 1 << 20, rounds: int = 12, gain: float = 1e-4) -> DataFrame:
@@ -426,7 +427,7 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     resolved = stage(_resolved(blocks, replies, n, buckets, order, bits), "lm-resolved")
     df.sparkSession.sql(f"DROP TABLE {blocks.name}")
     unstage(blocks, words)
-    w = fit_weights(resolved, n["main_tokens"], n["main_words"], rounds, gain)
+    w = fit_weights(resolved, order, n["main_tokens"], n["main_words"], rounds, gain)
     segments = _scored(resolved, w, n)
     out = segments.groupBy("row").agg(F.first("id").alias("id"), F.first("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(F.col("id").alias(id_col), (F.col("kind") == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(n["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -30,7 +30,8 @@ def grams(words):
 
 
 class Counts:
-    def __init__(self, texts):
+    def __init__(self, texts, order=3):
+        self.order = order
         self.c3 = Counter(g for t in texts for g in grams(t))
         self.c2, self.c1, self.x2, self.x1 = Counter(), Counter(), Counter(), Counter()
         for (a, b, c), n in self.c3.items():
@@ -42,21 +43,22 @@ class Counts:
 
     def shares(self, g):
         a, b, c = g
+        # without triples there is nothing to divide by the count of a pair, which still tells the bucket
         x2, x1 = self.x2[a, b], self.x1[b]
-        p = [self.c3[g] / x2 if x2 else 0, self.c2[b, c] / x1 if x1 else 0, self.c1[c] / self.n if self.n else 1.0, 1 / (self.v + 1)]
+        p = [self.c3[g] / x2 if x2 and self.order == 3 else 0, self.c2[b, c] / x1 if x1 else 0, self.c1[c] / self.n if self.n else 1.0, 1 / (self.v + 1)]
         return np.array(p), (x2.bit_length(), x1.bit_length())
 
 
-def plain(rows, rounds=12, gain=1e-4):
+def plain(rows, order=3, rounds=12, gain=1e-4):
     texts = [(None if i is None else str(i), tokens(t)) for i, t in rows]
     held = [i is not None and crc(i) % 7 == 2 for i, _ in texts]
     dev = [not h and i is not None and crc("weights " + i) % 10 == 0 for (i, _), h in zip(texts, held)]
-    full = Counts([t for (_, t), h in zip(texts, held) if not h])
-    main = Counts([t for (_, t), h, d in zip(texts, held, dev) if not h and not d])
+    full = Counts([t for (_, t), h in zip(texts, held) if not h], order)
+    main = Counts([t for (_, t), h, d in zip(texts, held, dev) if not h and not d], order)
     places = [main.shares(g) for (_, t), d in zip(texts, dev) if d for g in grams(t)]
 
     def allowed(key):
-        return np.array([key[0] > 0, key[1] > 0, True, True], float)
+        return np.array([key[0] > 0 and order == 3, key[1] > 0, True, True], float)
 
     found, last = {}, -math.inf
 
@@ -113,10 +115,10 @@ def as_rows(df):
     return sorted(((None if r.doc_id is None else str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("block_tokens", [2, 37, 1 << 20])
-def test_scores_equal_the_plain_model(spark, block_tokens):
+@pytest.mark.parametrize("block_tokens, order", [(2, 3), (37, 3), (1 << 20, 3), (50, 2)])
+def test_scores_equal_the_plain_model(spark, block_tokens, order):
     rows = corpus()
-    got, want = as_rows(interpolated_scores(table(spark, rows), block_tokens=block_tokens)), sorted(plain(rows), key=repr)
+    got, want = as_rows(interpolated_scores(table(spark, rows), block_tokens=block_tokens, order=order)), sorted(plain(rows, order), key=repr)
     assert len(got) == len(rows)
     for g, w in zip(got, want):
         assert g[:5] == w[:5]
