@@ -74,7 +74,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "token-shards")
     write_token_shards(documents(spark, sf_dir), path, BPE)
-    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_documents(spark, path, checksums=True)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ def _key(line: Column) -> Column:
     return F.btrim(ascii_lower(line), F.lit(BLANKS))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, by_text: bool = False) -> DataFrame:
+def line_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, by_text: bool = False, classes: DataFrame | None = None
+) -> DataFrame:
     """All columns of ``df`` with the text less its frequent lines, and ``n_lines`` (before) and ``n_dropped``.
 
     Lines are exploded, keyed by a 128-bit hash of the line without outer ASCII blanks and with A-Z in lower case, and
@@ -28,16 +30,22 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     the input are replaced.
 
     ``by_text`` counts different texts instead of documents: rows whose non-blank line keys are all the same count once,
-    so copies of one text do not make its lines frequent.
+    so copies of one text do not make its lines frequent. ``classes`` (id, class), one row an id, counts classes of documents instead, say
+    near-duplicates; only lines' hashes and ids are joined with it. An id without a class is one of its own.
     """
     row, lines, gone = (free_name(df, x) for x in ("_row", "_lines", "_gone"))
     text = text_or_empty(f"`{text_col}`")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     doc = digest128(F.array_join(F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k != ""), "\n")) if by_text else ident
-    keyed = df.select(doc.alias("doc"), digest128(F.concat_ws("\n", ident, text)).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    keyed = keyed.select("doc", "row", "pos", _key(F.col("line")).alias("key")).filter(F.char_length("key") >= max(min_chars, 1))
+    # Digests of whole texts are computed below the explode; beside it, every line would compute them again.
+    keyed = df.select(doc.alias("doc"), digest128(F.concat_ws("\n", ident, text)).alias("row"), F.split(text, "\n").alias("lines"))
+    keyed = keyed.select("doc", "row", F.posexplode("lines").alias("pos", "line")).select("doc", "row", "pos", _key(F.col("line")).alias("key")).filter(F.char_length("key") >= max(min_chars, 1))
     keyed = keyed.select("doc", "row", "pos", digest128(F.col("key")).alias("h"))
-    frequent = stage(keyed.groupBy("h").agg(F.countDistinct("doc").alias("n")).filter(F.col("n") >= min_docs).select("h"), "frequent-lines")
+    counted = keyed
+    if classes is not None:
+        of = classes.toDF("of", "class").select(F.coalesce(F.col("of").cast("string"), F.lit("null")).alias("doc"), F.concat(F.lit("class "), F.col("class").cast("string")).alias("class"))
+        counted = keyed.select("doc", "h").distinct().join(of, "doc", "left").select("h", F.coalesce("class", "doc").alias("doc"))
+    frequent = stage(counted.groupBy("h").agg(F.countDistinct("doc").alias("n")).filter(F.col("n") >= min_docs).select("h"), "frequent-lines")
     dropped = keyed.join(frequent, "h", "left_semi").groupBy("row").agg(F.collect_set("pos").alias(gone)).withColumnRenamed("row", row)
     whole = df.select(
         *[F.col(f"`{c}`") for c in df.columns if c != text_col],

@@ -85,7 +85,12 @@ def pack(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow, strict=True)], names)
 
         ids, raws, size = [], [], 0
-        for i, raw in encoded_rows(batches, tokenizer, end_id):
+        def typed():
+            for batch in batches:
+                arrow[0] = batch.schema.field(0).type
+                yield batch
+
+        for i, raw in encoded_rows(typed(), tokenizer, end_id):
             ids.append(i)
             raws.append(raw)
             size += len(raw) // 4
@@ -96,8 +101,7 @@ def pack(
             yield from flush(ids, raws)
 
     kind = df.schema[id_col].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    arrow = [arrow_id, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    arrow = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "piece_cost", "sequence_cost"]
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, piece_cost double, sequence_cost double"
     out = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(packed, schema)

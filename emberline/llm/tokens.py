@@ -20,10 +20,11 @@ class Encoder:
     The byte-level splitter never joins a character that is not white space to a space after it, so a text may be cut
     before such a space and the parts encoded alone; ids of frequent words are kept. Words new to a batch are encoded
     in one call, parted by line feeds, which are a token of their own. Texts with irregular runs of white space are
-    encoded whole. ``cache_words`` bounds the memory of the table, not the result.
+    encoded whole. ``cache_words`` bounds the memory of the table, not the result: once a table is full it becomes the
+    older one, whose words move to the next table when they are met again, and the rest of it goes.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,6 +33,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.line_feed = self._ids([NEWLINE_ID])[0]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.room = cache_words
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -41,8 +43,8 @@ class Encoder:
         """Ids of each word with a space before it."""
         out: dict[str, bytes] = {}
         plain = [w for w in words if w and not BLANK.search(w)]
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
+        for k in range(0, len(plain), 20_000):
+            part = plain[k : k + 20_000]
             raw = self._ids([" " + "\n ".join(part)])[0]
             ids = np.frombuffer(raw, "<u4")
             cuts = (4 * np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0])).tolist()
@@ -53,7 +55,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, plans, unknown, whole = self.words.get, [], {}, []
+        known, kept, plans, unknown, whole = self.words.get, self.older.get, [], {}, []
         for t in texts:
             if IRREGULAR.search(t):
                 whole.append(t)
@@ -63,7 +65,9 @@ class Encoder:
             parts: list = list(map(known, words))
             gaps = [i for i, p in enumerate(parts) if p is None]
             for i in gaps:
-                unknown[words[i]] = None
+                parts[i] = ids = kept(words[i])
+                (unknown if ids is None else self.words)[words[i]] = ids
+            gaps = [i for i in gaps if parts[i] is None]
             whole.append(head)
             plans.append((parts, gaps, words))
         new = self._learn(list(unknown))
@@ -76,10 +80,9 @@ class Encoder:
             for i in gaps:
                 parts[i] = new[words[i]]
             out.append(head + b"".join(parts))
-        if self.room > len(self.words):
-            for w, ids in new.items():
-                if len(w) <= 40:
-                    self.words[w] = ids
+        self.words.update((w, ids) for w, ids in new.items() if len(w) <= 40)
+        if len(self.words) > self.room:
+            self.words, self.older = {}, self.words
         return out
 
 

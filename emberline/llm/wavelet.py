@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -111,18 +113,21 @@ def write_token_shards(
 ) -> None:
     """Write ``df`` as token shards in ascending id order, null ids first.
 
-    Rows are range-partitioned by id (the text is shuffled once), sorted within, and each partition is one shard: one
+    Rows are range-partitioned by id and a hash of the text, so that texts of one id or of none are spread (the text is shuffled once), sorted within, and each partition is one shard: one
     zstd parquet file with a row per segment of whole documents, about ``segment_tokens`` ids each, so a task holds one
     segment at a time. A segment has the wavelet matrix (bit planes, zeros, a rank for every 512 bits) and its documents'
     ids and lengths. Null or empty text has the end id alone; rows that repeat an id follow one another. Ids must fit ``bits`` bits.
     """
     ship_package(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    types = [pa.int32(), pa.int32(), pa.list_(arrow_id), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
     def segments(batches):
-        shard, segment = TaskContext.get().partitionId(), 0
+        shard, segment, types = TaskContext.get().partitionId(), 0, []
+
+        def typed():
+            for batch in batches:
+                types[:] = [pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+                yield batch
 
         def flush(ids, raws):
             tokens = np.frombuffer(b"".join(raws), "<u4")
@@ -133,7 +138,7 @@ def write_token_shards(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], COLUMNS)
 
         ids, raws, size = [], [], 0
-        for i, raw in encoded_rows(batches, tokenizer, end_id):
+        for i, raw in encoded_rows(typed(), tokenizer, end_id):
             ids.append(i)
             raws.append(raw)
             size += len(raw) // 4
@@ -145,7 +150,8 @@ def write_token_shards(
 
     schema = f"shard int, segment int, doc_ids array<{kind}>, doc_tokens array<long>, n_tokens long, zeros array<long>, planes array<binary>, ranks array<binary>"
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(segments, schema).write.option("compression", "zstd").parquet(path)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text").mapInArrow(segments, schema).write.option("compression", "zstd").parquet(path)
 
 
 def segment_starts(files: DataFrame) -> DataFrame:
@@ -156,28 +162,37 @@ def segment_starts(files: DataFrame) -> DataFrame:
     return files.select("shard", "segment", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("own")).join(ahead, "shard").select("shard", "segment", (F.col("own") + F.col("ahead")).alias("before"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document decoded from the files; ``start`` counts the ids of all documents before it."""
+def read_documents(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document decoded from the files; ``start`` counts the ids of all documents before it.
+
+    With ``checksums`` the column ids_crc32 stands in place of the ids: they are decoded in full, but do not leave their task.
+    """
     ship_package(spark)
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
+    content, content_type = ("ids_crc32", "long") if checksums else ("ids", "binary")
+
     def decoded(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+                row = batch.slice(k, 1).select([c for c in COLUMNS if c != "doc_ids"]).to_pylist()[0]
                 ids = WaveletMatrix.from_row(row).decode().astype("<u4")
                 n = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(n)
                 cuts = np.concatenate(([0], 4 * ends)).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(ids.tobytes())])
+                if checksums:
+                    whole = memoryview(ids).cast("B")
+                    raw = pa.array([zlib.crc32(whole[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.int64())
+                else:
+                    raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * len(n), pa.int32()), pa.array([row["segment"]] * len(n), pa.int32()), batch.slice(k, 1).column(2).flatten(), pa.array(ends - n), pa.array(n), raw],
-                    ["shard", "segment", "doc_id", "local", "n_tokens", "ids"],
+                    ["shard", "segment", "doc_id", "local", "n_tokens", content],
                 )
 
-    docs = files.select(*COLUMNS).mapInArrow(decoded, f"shard int, segment int, doc_id {kind}, local long, n_tokens long, ids binary")
-    return docs.join(segment_starts(files), ["shard", "segment"]).select("doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids")
+    docs = files.select(*COLUMNS).mapInArrow(decoded, f"shard int, segment int, doc_id {kind}, local long, n_tokens long, {content} {content_type}")
+    return docs.join(segment_starts(files), ["shard", "segment"]).select("doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", content)
 
 
 def token_counts(spark: SparkSession, path: str, token: int) -> DataFrame:

@@ -201,3 +201,25 @@ def test_signature_estimates_similarity():
     real = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     same = (signature(a, 2048) == signature(b, 2048)).mean()
     assert abs(same - real) < 0.05
+
+
+@pytest.mark.parametrize("how", ["plain", "by_text", "classes"])
+def test_a_document_of_very_many_frequent_lines(spark, how):
+    """Whole texts are digested once a document, not once a line."""
+    text = "\n".join(f"line {k}" for k in range(200_000))
+    df = spark.createDataFrame([(i, f"{text}\nown {i}") for i in range(2)] + [(9, "line 1")], "doc_id long, text string")
+    classes = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, class long")
+    out = line_dedup(df, min_docs=2, **{"plain": {}, "by_text": {"by_text": True}, "classes": {"classes": classes}}[how])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.orderBy("doc_id").collect()] == [(0, 200_001, 200_000, "own 0"), (1, 200_001, 200_000, "own 1"), (9, 1, 1, "")]
+    for at, line in enumerate(lines := plan.split("\n")):
+        if "Generate" in line:
+            above = lines[at - 1]
+            assert "Project" not in above or "md5(concat_ws" not in above
+
+
+def test_lines_counted_by_class(spark):
+    df = spark.createDataFrame([(i, f"shared\nown {i}") for i in range(4)] + [(None, "shared")], "doc_id long, text string")
+    classes = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "doc_id long, class long")
+    dropped = {k: line_dedup(df, min_docs=k, classes=classes).filter("n_dropped > 0").count() for k in (3, 4)}
+    assert dropped == {3: 5, 4: 0}  # one class, and ids 3 and null of their own

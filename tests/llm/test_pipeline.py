@@ -68,3 +68,37 @@ def test_mixed_files_follow_the_schedule(spark, tmp_path):
     want = [r["doc_id"] for r in mix_schedule(docs, max_repeats=2.0).orderBy("block", "slot").collect()]
     got = spark.read.parquet(f"{tmp_path}/mixed").select("doc_id", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("k")).orderBy("file", "k").collect()
     assert len(want) > len(rows) and [r["doc_id"] for r in got] == want
+
+
+def test_documents_without_labels_stay(spark, tmp_path):
+    rows = [(i, clean(i), None, "s", 0) for i in range(20)] + [(50, "123 !", None, "s", 0), (51, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == set(range(20))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
+
+
+def test_near_copies_keep_the_lines_they_share(spark):
+    """Twelve near-copies of twenty lines, one line of their own each, and a footer that other documents share, too."""
+    shared = [clean(k, 28) for k in range(20)]
+    rows = [(i, "\n".join([*shared[: i + 1], clean(100 + i, 28), *shared[i + 1 :], "the footer"]), "en", "s", 0) for i in range(12)]
+    rows += [(50 + i, f"{clean(200 + i)}\nthe footer", "en", "s", 0) for i in range(10)]
+    lines = corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), "")
+    got = {r["doc_id"]: r for r in lines.collect()}
+    assert all(len(got[i]["text"].split()) == 21 * 28 for i in range(12)) and not any("footer" in r["text"] for r in got.values())
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, lines, "").collect()}
+    assert kept == {0} | set(range(50, 60))
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(7, clean(1), "en", "s", 0)] * 5 + [(8, clean(2) + " " + "long " * 100_000, "en", "s", 0), (None, clean(3), None, None, None), (None, clean(3), None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("_of", "lang_pred", "score", "band", "kept_id", "class", "h"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for name, step in corpus_pipeline.STAGES[:4]:
+        kept, docs = docs, step(spark, docs, "")
+        assert docs.columns[5:] == ["_of", "lang_pred", "score", "band", "kept_id", "class", "h"]
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in docs.columns[5:])
+        docs = kept if name == "language_id" else docs  # three texts are too few to tell languages by
+    assert sorted({r["doc_id"] or 0 for r in docs.collect()}) == [0, 7, 8]

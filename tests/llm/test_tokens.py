@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from emberline.llm.packing import assign, pack
@@ -116,3 +117,15 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
 def test_too_few_bits(spark, tmp_path):
     with pytest.raises(Exception, match="needs more than 8 bits"):
         write_token_shards(rows(spark), str(tmp_path / "small"), BPE, bits=8)
+
+
+def test_checksums_equal_texts_and_other_ids(spark, tmp_path):
+    """Texts of one id or none are spread over shards; ids of any type; checksums are those of the decoded ids."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast("decimal(10,2)"))
+    path = str(tmp_path / "shards")
+    write_token_shards(df, path, BPE)
+    whole = read_documents(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    assert sorted(whole.collect(), key=str) == sorted(read_documents(spark, path, checksums=True).collect(), key=str)
+    assert sum(1 for r in whole.collect() if r.doc_id == 7) == 5
+    assert pack(df, BPE).count() >= len(rows)
