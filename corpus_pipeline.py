@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet before the next reads it.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, except the last, which returns pieces. Rows
-with null ids, null or empty texts and repeated rows pass through as each operator defines; an empty table stays empty.
+with null ids pass through as each operator defines; null and empty texts go with the language stage, all but one of repeated rows (same id
+and text) with the near-duplicate stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import text_or_empty
+from emberline.llm.common import free_name, replacing, text_or_empty
 from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
 from emberline.llm.minhash_dedup import Index, minhash_dedup
@@ -74,27 +75,47 @@ def random_bounds(spark: SparkSession, prototypes: dict[str, list[float]]) -> li
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those no nearer to any language than noise; short clean ones stay.
 
-    Noise is what lies both under ``language_bounds`` and under ``random_bounds``.
+    Noise is what lies both under ``language_bounds`` and under ``random_bounds``. Without labelled rows to learn from, every
+    document with a letter stays.
     """
     seen = ~held_out(F.col("doc_id"))
     prototypes = fit_languages(docs.filter(seen))
+    if not prototypes:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     bounds = language_bounds(predict_language(docs.filter(~seen & F.col("lang").isNotNull()), prototypes))
     most = random_bounds(spark, prototypes)
-    least = spark.createDataFrame([(lang, band, min(most[band], bounds.get((lang, band), bounds[None, band]))) for lang in prototypes for band in range(BANDS)], "_lang string, _band int, _least double")
-    scored = predict_language(docs, prototypes).withColumn("_of", letter_band(F.col("text")))
-    held = scored.join(F.broadcast(least), (F.col("lang_pred") == F.col("_lang")) & (F.col("_of") == F.col("_band")))
-    return held.filter(F.col("score") >= F.col("_least")).select(docs.columns)
+    least = spark.createDataFrame([(k, b, min(most[b], bounds.get((k, b), bounds[None, b]))) for k in prototypes for b in range(BANDS)], "lang string, band int, lowest double")
+    # Columns have plain names meanwhile, so that none has a name that the operator or the bounds use.
+    plain = ["text" if c == "text" else f"_d{k}" for k, c in enumerate(docs.columns)]
+    scored = predict_language(docs.toDF(*plain), prototypes).withColumn("length", letter_band(F.col("text")))
+    held = scored.join(F.broadcast(least), (F.col("lang_pred") == F.col("lang")) & (F.col("length") == F.col("band")))
+    return held.filter(F.col("score") >= F.col("lowest")).select(plain).toDF(*docs.columns)
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class): the near-duplicates a document belongs to; an id with several texts takes the smallest."""
+    return minhash_dedup(docs.select("doc_id", "text"), percent=NEAR, index=NEAR_INDEX).groupBy("doc_id").agg(F.min("component_id").alias("class"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten different texts or more share, copies counted once; documents left with no text go."""
-    return line_dedup(docs, min_docs=10, by_text=True).filter("text <> ''").select(docs.columns)
+    """Texts without the lines that ten documents or more share, near-duplicates counted as one; documents left with no text go.
+
+    So a text keeps the lines it shares with its copies only, and the next stage keeps one copy whole. ``n_chars`` follows the text.
+    """
+    out = line_dedup(docs, min_docs=10, classes=near_classes(docs)).filter("text <> ''").select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = replacing(out, {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}).select(docs.columns)
+    return out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id; without shingles a document stays."""
-    kept = minhash_dedup(docs, percent=NEAR, index=NEAR_INDEX).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates, the one of the smallest id; without shingles a document stays.
+
+    Of rows that repeat an id and text one stays, too.
+    """
+    name = free_name(docs, "kept_id")
+    kept = minhash_dedup(docs.select("doc_id", "text"), percent=NEAR, index=NEAR_INDEX).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
