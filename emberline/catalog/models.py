@@ -357,16 +357,34 @@ def stratified_drift_metrics(spark, sf):
     return metrics.stratified_metrics(scored, metrics.drift_strata(), ["model"])
 
 
+# The check series has one humidity, which stands in for that outdoors.
+ols_ctes("an", "asplit", {c: "indoor_humidity" if c == "outdoor_humidity" else c for c in regress.NINE_EFFECTS}, "log_duration", alpha=1.0)
+
+
+def nine_effect_parts(spark, sf):
+    return parts(active_split(spark, sf).withColumn("outdoor_humidity", F.col("indoor_humidity")))
+
+
+@query(
+    """SELECT event_id, exp(fit + coalesce(o.v, 0)) AS pred, o.v IS NOT NULL AS has_offset FROM {an} JOIN {asplit} d USING (event_id) LEFT JOIN
+      (SELECT home_id, is_heating, avg(log_duration - fit) * count(*) / (count(*) + 10) AS v FROM {an} JOIN {asplit} d USING (event_id) WHERE d.is_train GROUP BY 1, 2 HAVING count(*) >= 3) o
+      ON d.home_id = o.home_id AND d.is_heating = o.is_heating WHERE NOT d.is_train""",
+    "pred",
+)
+def ridge_nine_effects(spark, sf):
+    """Nine effects, and an offset for each home and mode with three training episodes or more."""
+    train, test = nine_effect_parts(spark, sf)
+    keys = ["home_id", "is_heating"]
+    enough = train.groupBy(*keys).agg((F.count(F.lit(1)) >= 3).alias("has_offset"))
+    scored = regress.ridge_plus_offsets(train, test, regress.NINE_EFFECTS, keys)
+    return scored.join(enough, keys, "left").select("event_id", "pred", F.coalesce("has_offset", F.lit(False)).alias("has_offset"))
+
+
 @query()
 def random_intercept_model(spark, sf):
-    train, test = parts(active_split(spark, sf))
-    wide = ["log_gap", "is_heating", "signed_outdoor_drive", "outdoor_temp", "start_temp", "system_running", "hour_sin", "hour_cos", "indoor_humidity"]
-    return stacked(
-        {
-            "three": regress.predict_random_intercept(train, test, regress.ACTIVE_RIDGE_FEATURES),
-            "nine": regress.predict_random_intercept(train, test, wide),
-        }
-    )
+    train, test = nine_effect_parts(spark, sf)
+    models = {"three": regress.ACTIVE_RIDGE_FEATURES, "nine": regress.NINE_EFFECTS}
+    return stacked({k: regress.predict_random_intercept(train, test, xs) for k, xs in models.items()}, "event_id", "pred", "fit_by")
 
 
 def judged(models: dict[str, tuple[DataFrame, float, float]]) -> DataFrame:

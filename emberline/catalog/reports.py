@@ -199,3 +199,25 @@ def hard_vs_easy_profile(spark, sf):
 def improvement_vs_baseline(spark, sf):
     m = metrics.error_metrics(horizon_predictions(spark, sf), ["model"])
     return metrics.improvement(m, "persistence")
+
+
+CTES["rpreds"] = """
+SELECT 'minutes_per_degree' AS model, initial_gap, elapsed_min, remaining_min::DOUBLE AS actual, k * abs(current_gap) AS pred FROM {rsplit},
+  (SELECT sum(abs(current_gap) * remaining_min) / (sum(current_gap * current_gap) + 1e-8) AS k FROM {rsplit} WHERE is_train) WHERE NOT is_train"""
+
+
+@query(
+    f"""SELECT model, dim, stratum, {_STRAT} FROM (SELECT *, unnest([{{'dim': 'initial_gap', 'stratum': CASE WHEN abs(initial_gap) < 1 THEN NULL WHEN abs(initial_gap) < 2 THEN '1-2F' WHEN abs(initial_gap) < 3 THEN '2-3F' WHEN abs(initial_gap) < 5 THEN '3-5F' WHEN abs(initial_gap) < 100 THEN '>5F' END}},
+      {{'dim': 'elapsed', 'stratum': CASE WHEN elapsed_min < 5 THEN 'start' WHEN elapsed_min < 15 THEN 'early' WHEN elapsed_min < 30 THEN 'mid' WHEN elapsed_min < 10000 THEN 'late' END}}], recursive := true) FROM {{rpreds}}) WHERE stratum IS NOT NULL GROUP BY 1, 2, 3""",
+    "mae rmse bias mape",
+)
+def stratified_setpoint_metrics(spark, sf):
+    """Remaining minutes of setpoint responses, by initial gap and minutes since the change."""
+    from emberline.catalog.models import remaining_split
+    from emberline.catalog.models import parts as train_and_test
+
+    train, test = train_and_test(remaining_split(spark, sf))
+    p = rates.minutes_per_degree(train, test, "global").select(
+        F.lit("minutes_per_degree").alias("model"), "initial_gap", "elapsed_min", F.col("remaining_min").cast("double").alias("actual"), "pred"
+    )
+    return metrics.stratified_metrics(p, metrics.setpoint_strata(), ["model"])

@@ -61,25 +61,21 @@ def clamp_setpoints(heat="heat_setpoint", cool="cool_setpoint") -> dict[str, Col
     return {"heat_setpoint": clip(heat, *HEAT_LIMITS), "cool_setpoint": clip(cool, *COOL_LIMITS)}
 
 
-# Action level for each hour 1 to 24.
+# First hour, last hour and action level of each strategy, hours 1 to 24; the level at all other hours.
 HOUR_ACTIONS = {
-    "constant": {"default": 0.5},
-    "moderate": {"default": 0.7, 1.0: (14, 16), 0.3: (17, 20), 0.8: (21, 23)},
-    "aggressive": {"default": 0.6, 1.0: (12, 16), 0.1: (17, 20), "late": (21, 23, 1.0)},
+    "constant": [],
+    "moderate": [(14, 16, 1.0), (17, 20, 0.3), (21, 23, 0.8)],
+    "aggressive": [(12, 16, 1.0), (17, 20, 0.1), (21, 23, 1.0)],
 }
+OTHER_HOURS = {"constant": 0.5, "moderate": 0.7, "aggressive": 0.6}
 
 
 def hour_schedule_action(df: DataFrame, strategy: str, hour: str = "hour_of_day") -> DataFrame:
     """Action by hour 1 to 24 from a schedule."""
-    rules = HOUR_ACTIONS[strategy]
-    h = F.col(hour)
     out = F.when(F.lit(False), F.lit(0.0))
-    for level, span in rules.items():
-        if level == "late":
-            out = out.when(h.between(span[0], span[1]), span[2])
-        elif level != "default":
-            out = out.when(h.between(*span), level)
-    return df.withColumn("action", out.otherwise(rules["default"]).cast("double"))
+    for first, last, level in HOUR_ACTIONS[strategy]:
+        out = out.when(F.col(hour).between(first, last), level)
+    return df.withColumn("action", out.otherwise(OTHER_HOURS[strategy]).cast("double"))
 
 
 # Gain and bias per hour class (normal, preheat, peak).
@@ -186,6 +182,7 @@ def peak_ladder(scored: DataFrame, config: dict[str, float]) -> DataFrame:
         reason = F.concat(F.lit(text), tail) if with_forecast else F.lit(text)
         return F.struct(F.lit(phase).alias("phase"), reason.alias("reason"))
 
+    # Phases and the sentences that explain them.
     choice = (
         F.when(F.col("window_start").isNull(), step("normal", "no peak window in horizon", False))
         .when(F.col("in_window") & past, step("peak_maintain", "comfort boundary reached during peak"))

@@ -2,7 +2,7 @@
 
 Segments never cross a month. Within one, rows fall into islands (no gap, no missing reading, equipment
 off). Inside an island only two things can end a segment or start the next one: a change of the setpoint
-pair and the first row with enough thermal delta. So an island is reduced, by a map-side combined
+pair and the first row with enough temperature difference. So an island is reduced, by a map-side combined
 aggregate, to its runs of constant setpoints, and only those runs pass through the greedy anchor walk.
 """
 

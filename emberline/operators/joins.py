@@ -14,43 +14,36 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, value:
     ``backward``: latest point at or before the row. ``interpolate``: linear in time between neighbours.
     NULL where the series does not reach; null keys match each other.
 
-    Rows and points are put in cells of ``cell_min`` minutes. Inside a cell (and key) they form one ordered line, points
-    before rows at the same instant. What a cell needs from outside is the nearest point in an earlier or later cell: a
-    table with one row per key and cell, from a map-side combined aggregate. So no task gets more than a cell, and an empty
-    ``by`` is as safe as any key.
+    Rows and points are put in cells of ``cell_min`` minutes, which should hold few points. A cell's points are one sorted array, beside the nearest
+    point before and after the cell: a table with one row per key and cell. Rows join it on key and cell and pick inside the
+    row, so nothing is sorted but points, rows go through no window, and the adaptive join splits a cell that very many rows ask for, with or without
+    ``by``. Of points at one instant the largest value counts.
     """
     if mode not in ("backward", "interpolate"):
         raise ValueError(f"unknown mode {mode!r}")
-    cell = F.floor(F.unix_micros("_t") / F.lit(cell_min * 60_000_000)).alias("_cell")
-    row = F.struct(*[F.col(c) for c in left.columns])
-    lines = left.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast("double").alias("_v"))
-    marks = right.select(
-        *by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(lines.schema["_row"].dataType).alias("_row"), F.col(value).cast("double").alias("_v")
-    )
-    line = lines.unionByName(marks).select("*", cell)
-    point = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    at = F.when(F.col("_side") == 0, F.col("_t"))
-    ends = line.groupBy(*by, "_cell").agg(F.max_by(point, at).alias("_last"), F.min_by(point, at).alias("_first"))
-    cells = Window.partitionBy(*by or [F.lit(0)])  # a row per cell
-    before = cells.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    after = cells.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    near = {"_past": F.last("_last", ignorenulls=True).over(before), "_next": F.last("_first", ignorenulls=True).over(after)}
-    wanted = ["_past"] if mode == "backward" else ["_past", "_next"]
-    joined = null_safe_join(line, ends.select(*by, "_cell", *[near[c].alias(c) for c in wanted]), [*by, "_cell"])
-    own = Window.partitionBy(*by, "_cell")
-    upto = own.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    joined = joined.withColumn("_p", F.coalesce(F.last(point, ignorenulls=True).over(upto), F.col("_past")))
+
+    def cell(c: str) -> Column:
+        return F.floor(F.unix_micros(c) / F.lit(cell_min * 60_000_000))
+
+    point = F.struct(F.unix_micros(ts).alias("t"), F.col(value).cast("double").alias("v"))
+    points = right.where(F.col(ts).isNotNull()).select(*by, cell(ts).alias("_cell"), point.alias("_p")).groupBy(*by, "_cell").agg(F.array_sort(F.collect_list("_p")).alias("_points"))
+    asked = left.select(*by, cell(ts).alias("_cell")).distinct().select("*", F.lit(None).cast(points.schema["_points"].dataType).alias("_points"))
+    cells = points.unionByName(asked).groupBy(*by, "_cell").agg(F.first("_points", ignorenulls=True).alias("_points"))
+    order = Window.partitionBy(*by or [F.lit(0)])  # a row per cell
+    before = order.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = order.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = {"_past": F.last(F.element_at("_points", -1), ignorenulls=True).over(before), "_next": F.last(F.element_at("_points", 1), ignorenulls=True).over(after)}
+    near = cells.select(*by, "_cell", "_points", *[ends[c].alias(c) for c in (["_past"] if mode == "backward" else ["_past", "_next"])])
+    joined = null_safe_join(left.withColumn("_cell", cell(ts)), near, [*by, "_cell"])
+    now = F.unix_micros(ts)
+    inside = F.coalesce("_points", F.array().cast(points.schema["_points"].dataType))
+    p = F.coalesce(F.try_element_at(F.filter(inside, lambda x: x["t"] <= now), F.lit(-1)), F.col("_past"))
     if mode == "backward":
-        hit = F.col("_p.v")
+        hit = p["v"]
     else:
-        # Forward looks run backwards: a frame that is open at its far end is re-read for every row.
-        onward = own.orderBy(F.col("_t").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        joined = joined.withColumn("_q", F.coalesce(F.last(point, ignorenulls=True).over(onward), F.col("_next")))
-        here, a, b = F.unix_micros("_t"), F.unix_micros("_p.t"), F.unix_micros("_q.t")
-        hit = F.when(F.col("_p.t") == F.col("_t"), F.col("_p.v")).when(
-            F.col("_q.t").isNotNull() & (b > a), F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * ((here - a) / (b - a))
-        )
-    return joined.where(F.col("_side") == 1).select("_row.*", hit.alias(out))
+        q = F.coalesce(F.try_element_at(F.filter(inside, lambda x: x["t"] > now), F.lit(1)), F.col("_next"))
+        hit = F.when(p["t"] == now, p["v"]).when(q["t"] > p["t"], p["v"] + (q["v"] - p["v"]) * ((now - p["t"]) / (q["t"] - p["t"])))
+    return joined.withColumn(out, hit).select(*[F.col(f"`{c}`") for c in left.columns if c != out], out)
 
 
 def overlapping_windows(windows: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalar import TOU_PRICES, tou_price
 from emberline.operators.joins import relative_to
 from emberline.plans.lookup import beside
-from emberline.plans.series import Series, null_safe_join
+from emberline.plans.series import Series, epoch, null_safe_join
 
 
 def par(load: DataFrame, by: list[str], value: str = "consumption_kw") -> DataFrame:
@@ -25,25 +25,30 @@ def day_blocks(load: DataFrame, by: list[str], step: str, block: int) -> DataFra
 
 def daily_par(load: DataFrame, by: list[str], step: str = "step", value: str = "consumption_kw", block: int = 24) -> DataFrame:
     """Mean of block-wise peak over average, over complete blocks with a positive mean; else the plain ratio."""
-    blocks = day_blocks(load, by, step, block).groupBy(*by, "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max(value).alias("mx"), F.avg(value).alias("av"), F.sum(value).alias("sm")
+    return block_sums(load, by, step, value, block).groupBy(*by).agg(*daily_ratios(block))
+
+
+def block_sums(load: DataFrame, by: list[str], step: str, value: str, block: int) -> DataFrame:
+    return day_blocks(load, by, step, block).groupBy(*by, "block").agg(
+        F.count(F.lit(1)).alias("n"), F.count(value).alias("known"), F.max(value).alias("mx"), F.avg(value).alias("av"), F.sum(value).alias("sm")
     )
+
+
+def daily_ratios(block: int) -> list[Column]:
+    """Of blocks: how many are complete, and their mean peak over average."""
     full = F.col("n") == block
-    return blocks.groupBy(*by).agg(
-        F.count(F.when(full, 1)).alias("n_days"),
-        F.when(F.count(F.when(full, 1)) == 0, F.max("mx") / (F.sum("sm") / F.sum("n")))
-        .otherwise(F.avg(F.when(full & (F.col("av") > 0), F.col("mx") / F.col("av"))))
-        .alias("daily_par"),
-    )
+    n_days = F.count(F.when(full, 1))
+    ratio = F.when(n_days == 0, F.max("mx") / (F.sum("sm") / F.sum("n"))).otherwise(F.avg(F.when(full & (F.col("av") > 0), F.col("mx") / F.col("av"))))
+    return [n_days.alias("n_days"), ratio.alias("daily_par")]
 
 
 def hourly_profile(load: DataFrame, by: list[str], step: str = "step", value: str = "consumption_kw", block: int = 24) -> DataFrame:
     """Mean and population deviation by slot over complete blocks."""
     b = day_blocks(load, by, step, block)
-    whole = b.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == block).select(*by, "block")
+    # The window's key is one block.
+    whole = b.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "block"))).where(F.col("_n") == block)
     return (
-        b.join(whole, [*by, "block"], "left_semi")
-        .groupBy(*by, "slot")
+        whole.groupBy(*by, "slot")
         .agg(F.avg(value).alias("mean_kw"), F.stddev_pop(value).alias("std_kw"), F.count(F.lit(1)).alias("n_days"))
     )
 
@@ -54,7 +59,7 @@ def policy_kpis(history: DataFrame, by: list[str], prices: list[float] = TOU_PRI
     The step length is the distance of a run's first two rows (1 h if there is one row): two minima, nothing is
     sorted. All sums are plain and are scaled by it afterwards, so one aggregate serves everything.
     """
-    place = F.struct("timestamp", "event_id")
+    place = F.struct(*[c for c in ("timestamp", "event_id") if c in history.columns])
     rows = null_safe_join(history, history.groupBy(*by).agg(F.min(place).alias("_first")), by)
     second = F.min(F.when(place > F.col("_first"), place))["timestamp"]
     power = F.col("hvac_power_kw")
@@ -96,15 +101,13 @@ def savings_vs_reference(kpis: DataFrame, reference: str, keys: list[str], polic
 
 def controller_summary(load: DataFrame, kpis: DataFrame, names: list[str], by: str = "run") -> DataFrame:
     """One row per controller: ratios, total, peak, mean and selected named indicator values."""
-    mean = F.avg("consumption_kw")
-    base = load.groupBy(by).agg(
-        F.sum("consumption_kw").alias("total_kwh"),
-        F.max("consumption_kw").alias("peak_kw"),
-        mean.alias("mean_kw"),
-        (F.max("consumption_kw") / F.nullif(mean, F.lit(0.0))).alias("par"),
+    # Everything adds up from the day blocks, so the load is read and ordered once.
+    mean = F.sum("sm") / F.sum("known")
+    base = block_sums(load, [by], "step", "consumption_kw", 24).groupBy(by).agg(
+        F.sum("sm").alias("total_kwh"), F.max("mx").alias("peak_kw"), mean.alias("mean_kw"), (F.max("mx") / F.nullif(mean, F.lit(0.0))).alias("par"), daily_ratios(24)[1]
     )
     picked = kpis.groupBy(by).agg(*[F.max(F.when(F.col("cost_function") == n, F.col("value"))).alias(n) for n in names])
-    return base.join(daily_par(load, [by]).drop("n_days"), by).join(picked, by, "left")
+    return base.join(picked, by, "left")
 
 
 def sanity_checks(load: DataFrame, baseline: str, by: str = "run") -> DataFrame:
@@ -153,3 +156,49 @@ def sanity_checks(load: DataFrame, baseline: str, by: str = "run") -> DataFrame:
     absent = check("Baseline exists", F.lit(False), F.lit("No baseline results"))
     missing = beside(known, base).where("_found is null").select(by, F.inline(F.array(absent)))
     return report.unionByName(missing)
+
+
+def peak_day_kpis(history: DataFrame, by: list[str], peak: tuple[int, int] = (17, 20), lead_hours: int = 2, max_step_min: float = 60.0) -> DataFrame:
+    """Per run and day: run time in and before the peak window, energy in it and in all, and minutes and degree-minutes out of comfort.
+
+    A reading holds until the next one of its run, at most ``max_step_min``; the last holds for no time. Its interval is cut at midnight and
+    at the window's borders, and minutes and energy are apportioned to the parts, so an interval over midnight or over a border counts on
+    both sides. Days without readings have no row. Readings without time are left out; missing power is none.
+    """
+    micros = 60_000_000
+    s = Series(history.where(F.col("timestamp").isNotNull()), by, [c for c in ("timestamp", "event_id") if c in history.columns], epoch("timestamp"))
+    s.shift({"_next": (F.unix_micros("timestamp"), -1)})
+    start = F.unix_micros("timestamp")
+    rows = s.done().withColumns({"_a": start, "_b": F.least(F.coalesce("_next", start), start + F.lit(int(max_step_min * micros)))})
+    day = 86_400 * 1_000_000
+    first, last = F.floor(F.col("_a") / day), F.floor(F.greatest(F.col("_b") - 1, F.col("_a")) / day)
+    parts = rows.withColumn("_day", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+
+    def minutes(low, high) -> Column:
+        """Of the interval, between two offsets of the day in microseconds."""
+        inside = F.least(F.col("_b"), F.col("_day") * day + high) - F.greatest(F.col("_a"), F.col("_day") * day + low)
+        return F.greatest(inside, F.lit(0)) / F.lit(float(micros))
+
+    hour = 3_600 * 1_000_000
+    power = F.coalesce(F.col("hvac_power_kw"), F.lit(0.0))
+    t, lower, upper = F.col("indoor_temp"), F.col("heat_setpoint") - 1.0, F.col("cool_setpoint") + 1.0
+    deviation = F.coalesce(F.when(t < lower, lower - t).when(t > upper, t - upper), F.lit(0.0))
+    parts = parts.withColumns({"_all": minutes(0, day), "_peak": minutes(peak[0] * hour, peak[1] * hour), "_lead": minutes((peak[0] - lead_hours) * hour, peak[0] * hour), "_on": (power > 0).cast("double"), "_kw": power, "_dev": deviation})
+    return parts.groupBy(*by, F.date_from_unix_date(F.col("_day").cast("int")).alias("day")).agg(
+        F.sum(F.col("_on") * F.col("_peak")).alias("peak_runtime_min"),
+        F.sum(F.col("_on") * F.col("_lead")).alias("pre_peak_runtime_min"),
+        F.sum(F.col("_kw") * F.col("_peak") / 60).alias("peak_energy_kwh"),
+        F.sum(F.col("_kw") * F.col("_all") / 60).alias("total_energy_kwh"),
+        F.sum(F.when(F.col("_dev") > 0, F.col("_all")).otherwise(0.0)).alias("violation_min"),
+        F.sum(F.col("_dev") * F.col("_all")).alias("violation_degree_min"),
+        F.max("_dev").alias("max_violation_f"),
+    )
+
+
+def with_reference_day(kpis: DataFrame, reference: str, keys: list[str], policy: str = "policy") -> DataFrame:
+    """Adds percent less peak run time and percent more energy than the reference policy on the same day; null where it has none."""
+    ref = kpis.where(F.col(policy) == reference).select(*keys, F.col("peak_runtime_min").alias("_run"), F.col("total_energy_kwh").alias("_kwh"))
+    out = null_safe_join(kpis, ref, keys)
+    less = 100 * (F.col("_run") - F.col("peak_runtime_min")) / F.nullif("_run", F.lit(0.0))
+    more = 100 * (F.col("total_energy_kwh") - F.col("_kwh")) / F.nullif("_kwh", F.lit(0.0))
+    return out.withColumns({"peak_runtime_reduction_pct": less, "energy_overhead_pct": more}).drop("_run", "_kwh")

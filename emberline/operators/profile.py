@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalar import bucketize, comfort_mode, gradient_class, setpoint_gap
 from emberline.plans.quantiles import agg_with_quantiles
-from emberline.plans.series import telemetry_series
+from emberline.plans.series import identity, telemetry_series
 
 
 def mode_share(t: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def mode_share(t: DataFrame) -> DataFrame:
 
 def mode_episodes(t: DataFrame) -> DataFrame:
     """Maximal runs of heating or cooling. An invalid row ends a run like any other change of mode."""
-    s = telemetry_series(t.select("home_id", "ts", "event_id", comfort_mode().alias("mode"), setpoint_gap().alias("gap")))
+    s = telemetry_series(t.select(*identity(t), comfort_mode().alias("mode"), setpoint_gap().alias("gap")))
     s.shift({"prev": (F.col("mode"), 1)})
     s.cumsum({"run": F.when(F.col("mode").eqNullSafe(F.col("prev")), 0).otherwise(1).cast("long")})
     active = s.done().where(F.col("mode").isin("heating", "cooling"))
@@ -37,7 +37,7 @@ def mode_episodes(t: DataFrame) -> DataFrame:
 
 def setpoint_changes(t: DataFrame, min_delta: float = 1.0) -> DataFrame:
     """One row per setpoint move of at least ``min_delta``; a pair with any missing setpoint is skipped."""
-    s = telemetry_series(t.select("home_id", "ts", "event_id", "indoor", "outdoor", "heat_sp", "cool_sp"))
+    s = telemetry_series(t.select(*identity(t), "indoor", "outdoor", "heat_sp", "cool_sp"))
     s.shift({"heat_prev": (F.col("heat_sp"), 1), "cool_prev": (F.col("cool_sp"), 1)})
     full = s.done().where(
         F.col("heat_sp").isNotNull() & F.col("heat_prev").isNotNull() & F.col("cool_sp").isNotNull() & F.col("cool_prev").isNotNull()
@@ -55,21 +55,19 @@ def setpoint_changes(t: DataFrame, min_delta: float = 1.0) -> DataFrame:
             ]
         )
     )
-    return full.select("home_id", "ts", "event_id", "indoor", "outdoor", sides).where(F.abs("delta") >= min_delta)
+    return full.select(*identity(t), "indoor", "outdoor", sides).where(F.abs("delta") >= min_delta)
 
 
 def setpoint_change_counts(t: DataFrame, min_rows: int = 100, min_delta: float = 1.0) -> DataFrame:
     """Changes per home, zero included; homes with fewer than ``min_rows`` rows are dropped."""
-    homes = t.groupBy("home_id").agg(F.count(F.lit(1)).alias("n_samples")).where(F.col("n_samples") >= min_rows)
-    n = setpoint_changes(t, min_delta).groupBy("home_id").agg(
-        F.count(F.when(F.col("kind") == "heat", 1)).alias("h"), F.count(F.when(F.col("kind") == "cool", 1)).alias("c")
-    )
-    zero = F.lit(0).cast("long")
-    j = homes.join(n, "home_id", "left")
-    heat, cool = F.coalesce("h", zero), F.coalesce("c", zero)
-    return j.select(
-        "home_id", "n_samples", heat.alias("n_heat_changes"), cool.alias("n_cool_changes"), (heat + cool).alias("n_changes")
+    s = telemetry_series(t.select(*identity(t), "heat_sp", "cool_sp"))
+    s.shift({"heat_prev": (F.col("heat_sp"), 1), "cool_prev": (F.col("cool_sp"), 1)})
+    moves = {k: F.col(f"{k}_sp") - F.col(f"{k}_prev") for k in ("heat", "cool")}
+    whole = moves["heat"].isNotNull() & moves["cool"].isNotNull()
+    counts = s.done().groupBy("home_id").agg(
+        F.count(F.lit(1)).alias("n_samples"), *[F.count_if(whole & (F.abs(d) >= min_delta)).alias(f"n_{k}_changes") for k, d in moves.items()]
     )
+    return counts.where(F.col("n_samples") >= min_rows).withColumn("n_changes", F.col("n_heat_changes") + F.col("n_cool_changes"))
 
 
 def describe(df: DataFrame, col: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
@@ -96,6 +94,7 @@ def histogram(df: DataFrame, bucket: Column, by: list[str] | None = None) -> Dat
     return n.withColumn("pct", 100 * F.col("n") / total)
 
 
+# Edges and labels of the profile buckets.
 DURATION_EDGES = [0, 5, 10, 15, 30, 60, 120, 240, math.inf]
 DURATION_LABELS = ["<=5min", "5-10min", "10-15min", "15-30min", "30-60min", "1-2hr", "2-4hr", ">4hr"]
 GAP_EDGES = [0, 0.5, 1, 2, 3, 5, 10, math.inf]
@@ -169,3 +168,42 @@ def home_threshold_table(counts: DataFrame, thresholds: list[int] = [10, 50, 100
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Sorted limit: each task keeps k rows. ``order`` must end in a unique tie-breaker."""
     return df.orderBy(*order).limit(k)
+
+
+def home_features(t: DataFrame, sensors: list[str], max_gap_min: float = 10.0, min_readings: int = 100) -> DataFrame:
+    """One row per home: equipment, sensors, typical setpoints, decay rate when off, and entropy of the heating schedule.
+
+    ``equipment`` says which run times are ever above zero; ``n_sensors`` counts columns with more than ``min_readings`` values. ``decay_per_hour`` pools, over pairs of neighbouring
+    readings with the equipment off at both and at most ``max_gap_min`` apart, the slope of the logarithm of the indoor-outdoor difference
+    (the first reading's outdoor temperature, at least one degree away). ``schedule_entropy`` is in bits, over heating setpoints weighted with the minutes they hold, to the
+    next reading and at most ``max_gap_min``. Everything comes from one order of the readings; homes without usable pairs have no rate.
+    """
+    used = sorted({*sensors, "indoor", "outdoor", "heat_sp", "cool_sp", "heat_run", "cool_run"})
+    s = telemetry_series(t.select(*identity(t), *used))
+    off = ~((F.coalesce(F.col("heat_run"), F.lit(0.0)) > 0) | (F.coalesce(F.col("cool_run"), F.lit(0.0)) > 0))
+    s.shift({"_next": (F.unix_micros("ts"), -1), "_in": (F.col("indoor"), -1), "_off": (off, -1)})
+    hours = (F.col("_next") - F.unix_micros("ts")) / F.lit(3_600_000_000.0)
+    near = hours * 60 <= max_gap_min
+    away = F.col("indoor") - F.col("outdoor")
+    ratio = F.when(off & F.col("_off") & near & (hours > 0) & (F.abs(away) >= 1), (F.col("_in") - F.col("outdoor")) / away)
+    fall = F.when(ratio > 0.01, F.log(ratio))
+    rows = s.done().withColumns({"_held": F.least(hours * 60, F.lit(max_gap_min)), "_h": F.when(fall.isNotNull(), hours), "_fall": fall})
+    # By home and setpoint first: the entropy needs those sums, and everything else adds up from them.
+    runs = {c: F.coalesce(F.max(c) > 0, F.lit(False)) for c in ("heat_run", "cool_run")}
+    by_setpoint = rows.groupBy("home_id", "heat_sp").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_n_{c}") for c in {*sensors, "cool_sp"}], F.sum("cool_sp").alias("_cool"), F.sum("_held").alias("_w"),
+        F.sum(F.col("_h") * F.col("_fall")).alias("_hf"), F.sum(F.col("_h") * F.col("_h")).alias("_hh"), *[v.alias(f"_{c}") for c, v in runs.items()],
+    )
+    w = F.when(F.col("heat_sp").isNotNull(), F.coalesce("_w", F.lit(0.0)))
+    heat, cool = F.max("_heat_run"), F.max("_cool_run")
+    n_heat = F.sum(F.when(F.col("heat_sp").isNotNull(), F.col("n")))
+    total, plogs = F.sum(w), F.sum(F.when(w > 0, w * F.log2(w)).otherwise(0.0))
+    return by_setpoint.groupBy("home_id").agg(
+        F.sum("n").alias("n"),
+        F.when(heat & cool, "both").when(heat, "heating").when(cool, "cooling").otherwise("none").alias("equipment"),
+        sum(((F.sum(f"_n_{c}") > min_readings).cast("int") for c in sensors), F.lit(0)).alias("n_sensors"),
+        (F.sum(F.col("heat_sp") * F.col("n")) / n_heat).alias("typical_heat"),
+        (F.sum("_cool") / F.nullif(F.sum("_n_cool_sp"), F.lit(0))).alias("typical_cool"),
+        (-F.sum("_hf") / F.nullif(F.sum("_hh"), F.lit(0.0))).alias("decay_per_hour"),
+        F.when(total > 0, F.greatest(F.log2(total) - plogs / total, F.lit(0.0))).alias("schedule_entropy"),
+    )

@@ -212,3 +212,34 @@ def newton_predict(train_steps: DataFrame, train: DataFrame, test: DataFrame, pe
     return (
         beside(scored, mid).withColumn("pred", F.greatest(F.lit(5.0), F.coalesce(minutes, F.col("_mid")))).drop("_mid")
     )
+
+
+def predict_trend(test: DataFrame, now: str = "indoor", past: str = "indoor_past", ahead: float = 1.0) -> DataFrame:
+    """The last change goes on for ``ahead`` times its own length; without an earlier reading the value stays."""
+    return test.withColumn("pred", F.col(now) + F.coalesce(F.col(now) - F.col(past), F.lit(0.0)) * ahead)
+
+
+def decay_goal() -> Column:
+    """What the indoor temperature moves to: the setpoint it is beyond, else the outdoor temperature ahead."""
+    return F.when(F.col("mode") == "heating", F.col("heat_sp")).when(F.col("mode") == "cooling", F.col("cool_sp")).otherwise(F.col("outdoor_future"))
+
+
+def fit_decay(train: DataFrame, minutes: float, taus: list[float]) -> DataFrame:
+    """(mode, n, tau, sse): the time constant of least squared error by mode, out of ``taus``.
+
+    With f = exp(-minutes / tau), the error is a quadratic in f, so three sums by mode serve every tau: one aggregate whatever the
+    grid. Of equal errors the smallest tau wins.
+    """
+    y, x = F.col("target") - decay_goal(), F.col("indoor") - decay_goal()
+    sums = train.groupBy("mode").agg(F.count(x * y).alias("n"), F.sum(x * x).alias("_xx"), F.sum(x * y).alias("_xy"), F.sum(F.when(x.isNotNull(), y * y)).alias("_yy"))
+    f = lambda tau: F.exp(F.lit(-minutes) / tau)
+    errors = F.transform(F.array(*[F.lit(float(t)) for t in sorted(taus)]), lambda tau: F.struct((F.col("_yy") - 2 * f(tau) * F.col("_xy") + f(tau) * f(tau) * F.col("_xx")).alias("sse"), tau.alias("tau")))
+    best = F.array_min(errors)
+    return sums.where("n > 0").select("mode", "n", best["tau"].alias("tau"), F.greatest(best["sse"], F.lit(0.0)).alias("sse"))
+
+
+def predict_decay(train: DataFrame, test: DataFrame, minutes: float, taus: list[float]) -> DataFrame:
+    """Exponential approach to the goal of the mode; a mode not seen in training stays where it is."""
+    scored = lookup_with_fallback(test, [(fit_decay(train, minutes, taus), ["mode"])], "tau", F.lit(None).cast("double"), "_tau")
+    moved = decay_goal() + (F.col("indoor") - decay_goal()) * F.exp(F.lit(-minutes) / F.col("_tau"))
+    return scored.withColumn("pred", F.coalesce(moved, F.col("indoor"))).drop("_tau")

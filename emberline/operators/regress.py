@@ -10,11 +10,11 @@ from emberline.functions.scalar import clip
 from emberline.operators.rates import residual_offset
 from emberline.plans.linear import gram, linear_value, solve, unpack
 from emberline.plans.lookup import beside, lookup_with_fallback
-from emberline.plans.staging import stage
+from emberline.plans.staging import stage, unstage
 
 # outdoor_drive is outdoor minus indoor, so beside both of them it adds nothing and is left out.
 HORIZON_FEATURES = {
-    "thermal": ["indoor", "outdoor", "heat_sp", "cool_sp"],
+    "weather": ["indoor", "outdoor", "heat_sp", "cool_sp"],
     "mode": ["indoor", "outdoor", "heat_sp", "cool_sp", "is_heating", "is_cooling"],
     "gap": ["indoor", "outdoor", "heat_sp", "cool_sp", "is_heating", "is_cooling", "gap_to_target"],
     "time": ["indoor", "outdoor", "heat_sp", "cool_sp", "is_heating", "is_cooling", "gap_to_target", "hour_sin", "hour_cos"],
@@ -100,6 +100,7 @@ DRIFT_RIDGE_FEATURES = [
     "hour_sin", "hour_cos", "month_sin", "month_cos",
 ]
 ACTIVE_RIDGE_FEATURES = ["log_gap", "is_heating", "signed_outdoor_drive"]
+NINE_EFFECTS = [*ACTIVE_RIDGE_FEATURES, "hour_sin", "hour_cos", "month_sin", "month_cos", "system_running", "outdoor_humidity"]
 
 
 def ridge_plus_offsets(
@@ -118,6 +119,10 @@ def ridge_plus_offsets(
     return scored.withColumn("pred", clip(pred, lo, hi) if lo is not None else pred).drop("_log", "_off")
 
 
+class NotConverged(RuntimeError):
+    """The variances of a mixed model did not settle."""
+
+
 def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterations: int = 200, tol: float = 1e-5) -> tuple[np.ndarray, DataFrame]:
     """Linear model with a normal random intercept per group, fitted by expectation-maximisation until the variances
     change by less than the share ``tol``; an error where ``iterations`` do not suffice.
@@ -126,7 +131,7 @@ def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterat
     the p by p totals reach the driver, whatever the number of groups.
     """
     p = len(xs) + 1
-    stats = gram(train.select(group, *xs, y), [group], xs, y).persist()
+    stats = stage(gram(train.select(group, *xs, y), [group], xs, y), "group-sums")
     try:
         whole = stats.agg(
             F.sum("n").alias("n"),
@@ -177,20 +182,30 @@ def random_intercept(train: DataFrame, group: str, xs: list[str], y: str, iterat
             jump[:2] = np.maximum(jump[:2], np.log(1e-9))
             theta = step(jump)
         else:
-            raise RuntimeError(f"not converged after {iterations} rounds: variances {np.exp(theta[:2])}")
+            raise NotConverged(f"not converged after {iterations} rounds: variances {np.exp(theta[:2])}")
         sigma2, tau2, beta = float(np.exp(theta[0])), float(np.exp(theta[1])), theta[2:]
         resid = F.col("sy") - sum((F.col("o")[i] * float(beta[i]) for i in range(p)), F.lit(0.0))
         w = F.lit(float(tau2)) / (F.lit(float(sigma2)) + F.col("n") * F.lit(float(tau2)))
         offsets = stats.select(group, "n", ones.alias("o"), F.col("s")[p - 1].alias("sy")).select(group, "n", (w * resid).alias("offset"))
+        # The offsets are a table of their own, so the sums can go.
+        offsets = stage(offsets, "group-offsets")
     finally:
-        stats.unpersist()
+        unstage(stats)
     return beta, offsets
 
 
-def predict_random_intercept(train: DataFrame, test: DataFrame, xs: list[str], y: str = "log_duration") -> DataFrame:
-    beta, offsets = random_intercept(train, "home_id", xs, y)
+def predict_random_intercept(train: DataFrame, test: DataFrame, xs: list[str], y: str = "log_duration", mode: str = "is_heating", iterations: int = 200) -> DataFrame:
+    """``pred`` and ``fit_by``: ``mixed``, or ``ridge`` where the mixed model cannot be fitted in ``iterations`` rounds.
+
+    The fallback is the global ridge with shrunken mean residuals by home and mode, from three residuals on. Without training rows
+    every offset and effect is missing and so is the prediction. ``y`` is in log minutes.
+    """
+    try:
+        beta, offsets = random_intercept(train, "home_id", xs, y, iterations)
+    except NotConverged:
+        return ridge_plus_offsets(train, test, xs, ["home_id", mode]).withColumn("fit_by", F.lit("ridge"))
     fixed = F.lit(float(beta[0]))
     for b, x in zip(beta[1:], xs):
         fixed = fixed + F.lit(float(b)) * F.col(x)
     scored = lookup_with_fallback(test, [(offsets, ["home_id"])], "offset", F.lit(0.0), "_u")
-    return scored.withColumn("pred", F.exp(fixed + F.col("_u"))).drop("_u")
+    return scored.withColumn("pred", F.exp(fixed + F.col("_u"))).drop("_u").withColumn("fit_by", F.lit("mixed"))

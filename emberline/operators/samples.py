@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalar import (
@@ -15,18 +17,22 @@ from emberline.functions.scalar import (
     outdoor_drive,
     time_features,
 )
-from emberline.plans.series import Series, hash_series, telemetry_series
+from emberline.plans.series import Series, hash_series, identity, telemetry_series
 
 SEED = 42
 
 
-def horizon_samples(t: DataFrame, horizon: int = 6, stride: int = 72, offset: int = 5) -> DataFrame:
-    """Every ``stride``-th row from ``offset`` (0-based) with the state ``horizon`` rows later; invalid rows dropped."""
-    s = telemetry_series(t.select("home_id", "ts", "event_id", "indoor", "outdoor", "heat_sp", "cool_sp")).row_number()
+def horizon_samples(t: DataFrame, horizon: int = 6, stride: int = 72, offset: int = 5, past: int | None = None) -> DataFrame:
+    """Every ``stride``-th row from ``offset`` (0-based) with the state ``horizon`` rows later; invalid rows dropped.
+
+    With ``past`` also ``indoor_past``, the temperature so many rows before, missing or not.
+    """
+    s = telemetry_series(t.select(*identity(t), "indoor", "outdoor", "heat_sp", "cool_sp")).row_number()
     s.shift(
         {
             "target": (F.col("indoor"), -horizon),
             "outdoor_future": (F.col("outdoor"), -horizon),
+            **({"indoor_past": (F.col("indoor"), past)} if past else {}),
         }
     )
     r0 = F.col("rn") - 1
@@ -42,9 +48,7 @@ def horizon_samples(t: DataFrame, horizon: int = 6, stride: int = 72, offset: in
     tf = time_features("ts")
     mode = comfort_mode()
     return whole.select(
-        "home_id",
-        "ts",
-        "event_id",
+        *identity(t),
         "indoor",
         "outdoor",
         "outdoor_future",
@@ -59,6 +63,7 @@ def horizon_samples(t: DataFrame, horizon: int = 6, stride: int = 72, offset: in
         tf["hour"].alias("hour"),
         tf["hour_sin"].alias("hour_sin"),
         tf["hour_cos"].alias("hour_cos"),
+        *(["indoor_past"] if past else []),
     )
 
 
@@ -241,8 +246,8 @@ def first_row_label(e: DataFrame, step_min: int = 5) -> DataFrame:
         ),
         F.col("timestep_idx"),
     )
-    label = e.groupBy("episode_id").agg(F.min(hit).alias("_hit"))
-    j = e.join(label, "episode_id")
+    # A window, since joining an aggregate of its own would run the episodes twice; it spills, and its key is one episode.
+    j = e.withColumn("_hit", F.min(hit).over(Window.partitionBy("episode_id")))
     return j.withColumn("time_to_target_min", F.when(F.col("timestep_idx") == 0, F.col("_hit") * step_min)).drop("_hit")
 
 
@@ -274,3 +279,13 @@ def allocate_quota(dim: DataFrame, key: str, n: int) -> DataFrame:
     base = F.floor(F.lit(n) / F.col("_m"))
     extra = F.when(F.col("_i") <= F.lit(n) % F.col("_m"), 1).otherwise(0)
     return m.select(key, (base + extra).cast("long").alias("quota"))
+
+
+def capped_training_samples(tasks: dict[str, tuple[DataFrame, str]], cap: int = 80_000, seed: int = SEED) -> DataFrame:
+    """Episode samples of several tasks under one roof, at most ``cap`` random ones of each task and direction.
+
+    ``tasks``: {task: (samples, its direction column)}. Columns that all tasks have are kept, beside ``task`` and ``direction``.
+    """
+    common = [c for c in next(iter(tasks.values()))[0].columns if all(c in df.columns for df, _ in tasks.values())]
+    rows = [df.select(F.lit(task).alias("task"), F.col(direction).alias("direction"), *common) for task, (df, direction) in tasks.items()]
+    return cap_per_group(reduce(DataFrame.unionByName, rows), ["task", "direction"], "episode_id", cap, seed)

@@ -18,8 +18,12 @@ SKETCH = 10000
 def agg_with_quantiles(
     df: DataFrame, by: list[str], aggs: list[Column], value: Column, probs: dict[str, float]
 ) -> DataFrame:
-    """``groupBy(by).agg(*aggs)`` plus one exact quantile of ``value`` per entry of ``probs``."""
-    quants = bracketed_quantiles(df, by, value, probs)
+    """``groupBy(by).agg(*aggs)`` plus one exact quantile of ``value`` per entry of ``probs``.
+
+    ``df`` is evaluated once: it is written with the value, and both read the columns they need.
+    """
+    df = stage(df.withColumn("_v", value.cast("double")), "quantile-input")
+    quants = bracketed_quantiles(df, by, F.col("_v"), probs)
     base = df.groupBy(*by).agg(*aggs) if aggs else df.select(*by).distinct()
     if not by:
         return base.crossJoin(quants)
@@ -32,8 +36,8 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, floa
 
 
 def bracketed_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
-    # Only the keys and the value are kept, and they are written once: three passes follow.
-    vals = stage(df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")), "quantile-values")
+    """The quantiles alone; ``df`` is read three times, so it should be a table."""
+    vals = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     slack = 3.0 / SKETCH
     low = F.array(*[F.lit(max(p - slack, 0.0)) for p in probs.values()])
     high = F.array(*[F.lit(min(p + slack, 1.0)) for p in probs.values()])

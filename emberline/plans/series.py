@@ -219,6 +219,11 @@ class Series:
         return self
 
 
+def identity(t: DataFrame) -> list[str]:
+    """Home and time of a reading, and its event id where the table has one."""
+    return [c for c in ("home_id", "ts", "event_id") if c in t.columns]
+
+
 def telemetry_series(df: DataFrame, by_month: bool = False) -> Series:
     keys = ["home_id", "month"] if by_month else ["home_id"]
     # Readings at one instant follow their event id where the table has one.

@@ -24,7 +24,19 @@ def _long(c: Column) -> Column:
 
 
 def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return as_telemetry(table(spark, sf_dir, "events"))
+
+
+def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 8) -> DataFrame:
+    """The telemetry view over the files of ``events`` as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    # A pattern, since a stream takes one file only by a pattern.
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/[e]vents.parquet")
+    return clean(as_telemetry(events))
+
+
+def as_telemetry(events: DataFrame) -> DataFrame:
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
     eid = F.col("event_id")
     nan = F.lit(float("nan"))
 

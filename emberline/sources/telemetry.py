@@ -17,7 +17,7 @@ def grid_to_long(grid: DataFrame, measures: list[str]) -> DataFrame:
 
 def home_state_dim(t: DataFrame, value: str = "state") -> DataFrame:
     """The attribute at a home's first time step; empty text is dropped."""
-    first = t.groupBy("home_id").agg(F.min_by(value, F.struct("ts", "event_id")).alias(value))
+    first = t.groupBy("home_id").agg(F.min_by(value, F.struct(*[c for c in ("ts", "event_id") if c in t.columns])).alias(value))
     return first.where(F.col(value) != "")
 
 
@@ -52,32 +52,6 @@ def filter_dim(dim: DataFrame, **equals) -> DataFrame:
     return out
 
 
-# The building registry.
-BUILDING_COLUMNS = ["id", "climate_zone", "floor_area_sqft", "vintage", "hvac_type", "hvac_capacity_kw", "zone_name"]
-BUILDINGS = [
-    ("small_cold_heatpump", "cold", 1000, "pre1980", "heatpump", 5.0, "conditioned space"),
-    ("medium_cold_heatpump", "cold", 2000, "1980_2000", "heatpump", 8.0, "conditioned space"),
-    ("large_cold_resistance", "cold", 3000, "post2000", "ac_resistance", 12.0, "conditioned space"),
-    ("small_hot_heatpump", "hot", 1000, "pre1980", "heatpump", 5.0, "conditioned space"),
-    ("medium_hot_heatpump", "hot", 2000, "1980_2000", "heatpump", 8.0, "conditioned space"),
-    ("large_hot_ac", "hot", 3000, "post2000", "ac_resistance", 14.0, "conditioned space"),
-    ("small_mixed_heatpump", "mixed", 1000, "pre1980", "heatpump", 5.0, "conditioned space"),
-    ("medium_mixed_heatpump", "mixed", 2000, "1980_2000", "heatpump", 8.0, "conditioned space"),
-    ("large_mixed_ac", "mixed", 3000, "post2000", "ac_resistance", 12.0, "conditioned space"),
-]
-
-
-def buildings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BUILDINGS, BUILDING_COLUMNS)
-
-
-def building(spark: SparkSession, building_id: str) -> DataFrame:
-    known = sorted(b[0] for b in BUILDINGS)
-    if building_id not in known:
-        raise KeyError(f"unknown building {building_id!r}; available: {known}")
-    return filter_dim(buildings(spark), id=building_id)
-
-
 def attach_dim(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Left join to a one-row-per-key table; the planner broadcasts it while it is small."""
     return df.join(dim, key, "left")

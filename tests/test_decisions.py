@@ -66,13 +66,12 @@ def test_validation(spark):
     assert {(r.state_id, r.rule) for r in decide.check_states(bad).collect()} == {(1, "indoor_temp_f must be plausible"), (1, "mode must be heating or cooling")}
     with pytest.raises(ValueError, match="mode must be"):
         decide.policy_setback(mode="off")
+    homes = spark.createDataFrame([("a", "new", "pump"), ("b", "new", "coil"), ("c", "old", "coil")], "id string, vintage string, kind string")
     with pytest.raises(ValueError, match="unknown attributes"):
-        src.filter_dim(src.buildings(spark), colour="red")
-    with pytest.raises(KeyError, match="unknown building"):
-        src.building(spark, "castle")
+        src.filter_dim(homes, colour="red")
     with pytest.raises(ValueError, match="must be positive"):
-        samples.sample_keys(src.buildings(spark), "id", 0)
-    assert src.filter_dim(src.buildings(spark), vintage="post2000", hvac_type="ac_resistance").count() == 3
+        samples.sample_keys(homes, "id", 0)
+    assert [r.id for r in src.filter_dim(homes, vintage="new", kind="coil").collect()] == ["b"]
 
 
 def test_interpolation_leaves_outside_empty(spark):
