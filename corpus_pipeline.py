@@ -37,6 +37,14 @@ RANDOM_TEXTS, RANDOM_BANDS = 100, 14
 NEAR, NEAR_INDEX = 80, Index(symbols=75, chunks=15)
 
 
+#: Rows of an Arrow batch. A batch of texts stands in memory several times over, in the executor and in its Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def letter_band(text: Column) -> Column:
     """Number of letters as a power of two, rounded down."""
     letters = F.char_length(F.regexp_replace(text_or_empty(text), r"\P{L}+", ""))
@@ -78,6 +86,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Noise is what lies both under ``language_bounds`` and under ``random_bounds``. Without labelled rows to learn from, every
     document with a letter stays.
     """
+    small_batches(spark)
     seen = ~held_out(F.col("doc_id"))
     prototypes = fit_languages(docs.filter(seen))
     if not prototypes:
@@ -102,6 +111,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     So a text keeps the lines it shares with its copies only, and the next stage keeps one copy whole. ``n_chars`` follows the text.
     """
+    small_batches(spark)
     out = line_dedup(docs, min_docs=10, classes=near_classes(docs)).filter("text <> ''").select(docs.columns)
     if "n_chars" in docs.columns:
         out = replacing(out, {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}).select(docs.columns)
@@ -113,6 +123,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat an id and text one stays, too.
     """
+    small_batches(spark)
     name = free_name(docs, "kept_id")
     kept = minhash_dedup(docs.select("doc_id", "text"), percent=NEAR, index=NEAR_INDEX).filter("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
@@ -130,6 +141,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens."""
+    small_batches(spark)
     out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
