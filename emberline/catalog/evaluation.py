@@ -29,8 +29,14 @@ GROUP BY home_id, run, mode"""
 )
 def stream_mode_sessions(spark, sf):
     path = stage_path(spark, "mode-sessions")
-    done = run_sessions(telemetry_stream(spark, sf), path, f"{path}-state", max_gap_min=MAX_GAP_MIN, delay="1 hour")
-    done.awaitTermination()
+    key = "spark.sql.shuffle.partitions"
+    # The number of state stores is fixed for the life of a stream; this one is short.
+    partitions = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(partitions), 8)))
+    try:
+        run_sessions(telemetry_stream(spark, sf), path, f"{path}-state", max_gap_min=MAX_GAP_MIN, delay="1 hour").awaitTermination()
+    finally:
+        spark.conf.set(key, partitions)
     return spark.read.parquet(path)
 
 

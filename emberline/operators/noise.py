@@ -60,7 +60,7 @@ def forecast_noise(
     """One noisy forecast of each series and seed: keys, ts, value, seed, ``error`` and ``forecast`` = value + error.
 
     The error is phi times the error before plus normal noise whose spread grows with the hours since the series' first time, up to ``most``. Noise comes from
-    digests of keys, time and seed. Rows of one time follow their value. A series of any length is cut into chunks (``affine_scan``). Rows of null time are left out; a null value has an error and a null forecast.
+    digests of keys, place in the series and seed. Rows of one time follow their value. A series of any length is cut into chunks (``affine_scan``). Rows of null time are left out; a null value has an error and a null forecast.
     """
     rows = truth.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_ts"), F.col(value).alias("_value"))
     s = Series(rows, keys, ["_ts", "_value"], epoch("_ts")).row_number("_step")

@@ -11,9 +11,13 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
 SAMPLE = [
     "grid_to_long", "mode_episodes", "setpoint_changes", "horizon_samples", "setpoint_responses", "gradient_totals", "policy_kpis",
-    "sanity_checks", "baseline_relative", "stratified_home_split", "peak_decision", "validate_domain", "log_log_ridge",
+    "sanity_checks", "baseline_relative", "stratified_home_split", "peak_decision", "validate_domain", "log_log_ridge", "asof_interpolate",
+    "stream_mode_sessions", "hazard_steps", "survival_curve", "bootstrap_intervals", "apply_scales", "holdout_cells", "holdout_leaks", "ridge_nine_effects",
+]
+CHUNKED = [
+    "mode_episodes", "daily_par", "setpoint_changes", "setpoint_change_counts", "horizon_samples", "drift_episodes", "window_overlap_check", "within_home_split", "dense_episode_ids",
+    "fill_gaps", "change_by_horizon", "peak_day_kpis", "home_features", "signed_rank_tests", "ar1_forecast", "trend_and_decay", "capped_training_samples",
 ]
-CHUNKED = ["mode_episodes", "asof_interpolate", "daily_par", "setpoint_changes", "horizon_samples", "drift_episodes", "policy_kpis", "window_overlap_check", "within_home_split", "dense_episode_ids"]
 
 
 @pytest.fixture(scope="module")
