@@ -19,6 +19,7 @@ from emberline.llm.language_id import fit_languages, held_out, predict_language
 from emberline.llm.line_dedup import line_dedup
 from emberline.llm.minhash_dedup import Index, minhash_dedup
 from emberline.llm.mixing import mix_documents
+from emberline.llm.near_classes import near_classes
 from emberline.llm.packing import pack
 from emberline.plans.staging import stage, unstage
 
@@ -101,18 +102,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return held.filter(F.col("score") >= F.col("lowest")).select(plain).toDF(*docs.columns)
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class): the near-duplicates a document belongs to; an id with several texts takes the smallest."""
-    return minhash_dedup(docs.select("doc_id", "text"), percent=NEAR, index=NEAR_INDEX).groupBy("doc_id").agg(F.min("component_id").alias("class"))
-
-
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents or more share, near-duplicates counted as one; documents left with no text go.
 
     So a text keeps the lines it shares with its copies only, and the next stage keeps one copy whole. ``n_chars`` follows the text.
+    DataFrame operations only.
     """
-    small_batches(spark)
-    out = line_dedup(docs, min_docs=10, classes=near_classes(docs)).filter("text <> ''").select(docs.columns)
+    out = line_dedup(docs, min_docs=10, classes=near_classes(docs, percent=NEAR)).filter("text <> ''").select(docs.columns)
     if "n_chars" in docs.columns:
         out = replacing(out, {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}).select(docs.columns)
     return out
