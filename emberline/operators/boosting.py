@@ -32,9 +32,14 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_gbt(train: DataFrame, features: list[str], y: str = "log_duration", params: dict | None = None) -> GBTRegressionModel:
-    """Distributed boosting. Training is data-parallel over rows, so a very large home needs no special care."""
+    """Distributed boosting. Training is data-parallel over rows, so a very large home needs no special care.
+
+    A written split of millions of samples is a file or two, and each level of each tree is a pass over the rows, so they are
+    dealt over all cores first.
+    """
     est = GBTRegressor(featuresCol="features", labelCol=y, predictionCol="_raw", cacheNodeIds=True, **{**DEFAULTS, **(params or {})})
-    return est.fit(assemble(train, features).select("features", y))
+    rows = assemble(train, features).select("features", y)
+    return est.fit(rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 1)))
 
 
 def raw_predictions(model: GBTRegressionModel, df: DataFrame, features: list[str]) -> DataFrame:
