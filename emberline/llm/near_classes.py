@@ -60,15 +60,33 @@ def _places() -> Column:
     return F.sequence(F.lit(0), F.greatest(F.size("words") - WIDTH, F.lit(0)))
 
 
+def _prefixes(held: DataFrame, percent: int) -> DataFrame:
+    """Entries (s, id, component, size, most): every two sets of different components with the similarity share one's s, each within the other's ``most``.
+
+    Shingles of one component only come first in every set, the others follow by the number of sets that have them. The first
+    shingle two sets share has all else they share behind it in both, so only a set of ``most`` shingles or fewer can reach the
+    similarity with what is left. Rarely shared shingles so stand for a set, and what all copies of a text have comes last.
+    """
+    exploded = held.select("id", "component", "size", F.explode("set").alias("s"))
+    common = exploded.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s", "n")
+    ordered = exploded.join(common, "s").groupBy("id", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    ranked = ordered.select("id", "component", "size", F.size("shared").alias("all"), F.posexplode("shared").alias("place", "of"))
+    most = F.floor((F.col("all") - F.col("place")) * (100 + percent) / percent) - F.col("size")
+    entries = ranked.select("id", "component", "size", F.col("of.s").alias("s"), most.alias("most"))
+    return stage(entries.filter(100 * F.col("most") >= percent * F.col("size")), "near-prefixes")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shape: Bands | None = None, block_rows: int = 512) -> DataFrame:
     """(id, class) of every id whose text is not blank: the smallest id reachable over links, the smallest of an id's texts.
 
     Documents link when 100 * intersection >= ``percent`` * union of their sets of five-word shingles (all words of a shorter
     text). Only DataFrame functions run: 1. Texts of the same words are one class. Shingles are exploded as hashes and reduced
     in the map to the minima of ``shape``. 2. Classes that agree in a whole band meet in a bucket; each is held against the bucket's most central class
-    first. 3. Buckets that still hold several components are compared in full, in blocks of ``block_rows`` spread over tasks. Pairs with too few equal
-    minima for the similarity are let go, all others are confirmed on whole sets. A pair just at the threshold is missed with
-    ``shape.miss(percent / 100)``, plus 1e-6.
+    first. 3. The classes of buckets that still hold several components meet again by those of their rarest shingles of which
+    every linked pair shares one (``_prefixes``): each first with the most central class of the shingle, then with all of other
+    components, in blocks of ``block_rows`` spread over tasks. So copies of one text that are too far from each other do not meet in
+    pairs. Pairs with too few equal minima for the similarity are let go, all others are confirmed on whole sets. A pair just at
+    the threshold is missed with ``shape.miss(percent / 100)``, plus 1e-6.
     """
     shape = shape or Bands()
     rows = df.select(F.col(f"`{id_col}`").alias("did"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -110,19 +128,39 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(links)
     placed = stage(multi.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
     split = stage(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "near-split")
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    cut = placed.join(split, "key").join(traits, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    # Every pair of blocks of a bucket is a group of its own, with each of its rows in it.
-    upper = cut.select("key", F.col("block").alias("low"), F.explode(F.sequence("block", blocks - 1)).alias("high"), F.col("id").alias("x"), F.col("component").alias("c_x"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"))
-    lower = cut.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("id").alias("y"), F.col("component").alias("c_y"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"))
-    pairs = upper.join(lower, ["key", "low", "high"]).filter((F.col("c_x") != F.col("c_y")) & ((F.col("low") < F.col("high")) | (F.col("x") < F.col("y"))) & close)
-    rest = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = stage(rest, "near-rest")
-    more = confirmed(rest, "near-more")
-    final = components(links.union(more))
+    opened = stage(placed.join(split, "key").select("id", "component").distinct(), "near-open")
+    prefixes = _prefixes(opened.join(sets.select("id", "set", F.size("set").alias("size")), "id"), percent)
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among ``pairs`` (id_x, id_y) that were not stars."""
+        pairs = stage(pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct(), "near-pairs")
+        fresh = pairs.join(stars, ["a", "b"], "left_anti").join(traits.toDF("a", "sig_a", "size_a"), "a").join(traits.toDF("b", "sig_b", "size_b"), "b")
+        kept = stage(fresh.filter(close).select("a", "b"), "near-close")
+        out = confirmed(kept, name)
+        unstage(pairs, kept)
+        return out
+
+    # The middle of a shingle: of its sets the one with the fewest rarer shingles. What stands by it need not meet the others.
+    middles = prefixes.groupBy("s").agg(F.max(F.struct((F.col("most") / F.col("size")).alias("rank"), F.col("id").alias("id_y"), F.col("component").alias("component_y"), F.col("size").alias("size_y"), F.col("most").alias("most_y"))).alias("y"))
+    sides = [F.col(c).alias(f"{c}_x") for c in ("id", "component", "size", "most")]
+    fit = (F.col("component_x") != F.col("component_y")) & (F.col("size_y") <= F.col("most_x")) & (F.col("size_x") <= F.col("most_y"))
+    nearer = checked(prefixes.select("s", *sides).join(middles.select("s", "y.*"), "s").filter(fit), "near-nearer")
+    found = components(links.union(nearer))
+    entries = prefixes.join(found.withColumnRenamed("node", "id").withColumnRenamed("component", "joined"), "id", "left").withColumn("component", F.coalesce("joined", "id")).drop("joined")
+    # Those in the component of the middle, copies of one text, are not held against each other.
+    cores = entries.groupBy("s").agg(F.max(F.struct((F.col("most") / F.col("size")).alias("rank"), "component"))["component"].alias("core"))
+    entries = stage(entries.join(cores, "s").withColumn("main", F.col("component") == F.col("core")).drop("core"), "near-entered")
+    # Index: as the set of fewer shingles, by size. A frequent shingle's index is dealt to blocks, each with every probe in it.
+    index = entries.filter("most >= size").select("s", F.col("main").alias("main_y"), *[F.col(c).alias(f"{c}_y") for c in ("size", "id", "component", "most")])
+    listed = stage(index.groupBy("s", "main_y", "size_y").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "near-listed")
+    x = entries.select("s", "main", *sides).join(listed, "s").filter("size_y <= least(size_x, most_x) and not (main and main_y)").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("main", "blocks")
+    y = index.join(listed, ["s", "main_y", "size_y"]).withColumn("block", F.pmod(F.xxhash64("id_y"), F.col("blocks")).cast("int")).drop("blocks")
+    once = (F.col("size_y") < F.col("size_x")) | (F.col("id_y") < F.col("id_x"))
+    rest = checked(x.join(y, ["s", "main_y", "size_y", "block"]).filter(fit & once), "near-rest")
+    final = components(links.union(nearer).union(rest))
     named = classes.select("id", "first", "d1", "d2").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("first").alias("class"))
     of = signed.select("did", "d1", "d2").join(named.join(lowest, "component").select("d1", "d2", "class"), ["d1", "d2"])
     out = stage(of.groupBy("did").agg(F.min("class").alias("class")), "near-ids")
-    unstage(signed, classes, shared, multi, central, hubs, stars, read, sets, traits, links, placed, split, rest, more)
+    unstage(signed, classes, shared, multi, central, hubs, stars, read, sets, traits, links, placed, split, opened, prefixes, nearer, entries, listed, rest)
     return out.select(F.col("did").alias(id_col), "class")

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from emberline.llm import near_classes as module
 from emberline.llm.near_classes import Bands, near_classes
 
 DOCS = "doc_id long, text string"
@@ -69,6 +70,30 @@ def test_classes_against_brute_force(spark):
     assert near_classes(df.limit(0)).count() == 0
 
 
+def test_distant_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    text = [f"c{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        words = text.copy()
+        for at in rng.sample(range(150), i % 8):
+            words[at] = f"w{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    pairs = []
+
+    def counted(df, name):
+        out = stage(df, name)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    stage = module.stage
+    monkeypatch.setattr(module, "stage", counted)
+    got = {r["doc_id"]: r["class"] for r in near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == expected(rows, 80)
+    assert len(set(got.values())) > 100 and max(pairs) < 3 * len(rows)
+
+
 def test_chances_of_a_miss():
     shape = Bands()
     assert shape.miss(0.80) < 5e-5 and shape.least(0.80) < 0.80 * shape.symbols
